@@ -119,9 +119,15 @@ def _hash_buffer(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * inverse[starts]), starts, ends
 
 
-def to_bytes(text: object) -> bytes:
-    """UTF-8 with A-Z in lower case; null and NaN are empty."""
-    return text.encode("utf-8", "surrogatepass").lower() if isinstance(text, str) else b""
+_NO_PUNCTUATION = bytes(32 if c < 128 and not chr(c).isalnum() else ord(chr(c).lower()) if c < 128 else c for c in range(256))
+
+
+def to_bytes(text: object, punctuation: bool = True) -> bytes:
+    """UTF-8 with A-Z in lower case, ASCII punctuation as space where it isn't wanted; null and NaN are empty."""
+    if not isinstance(text, str):
+        return b""
+    raw = text.encode("utf-8", "surrogatepass")
+    return raw.lower() if punctuation else raw.translate(_NO_PUNCTUATION)
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -135,7 +141,7 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def word_hashes(texts: Iterable[object]) -> Iterator[np.ndarray]:
+def word_hashes(texts: Iterable[object], punctuation: bool = True) -> Iterator[np.ndarray]:
     """The 64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of each text, A-Z lower-cased; one array for each text.
 
     The polynomial hash of a word is a difference of prefix sums, so a chunk of texts takes a few numpy passes.
@@ -152,7 +158,7 @@ def word_hashes(texts: Iterable[object]) -> Iterator[np.ndarray]:
             held.clear()
 
     for text in texts:
-        raw = to_bytes(text)
+        raw = to_bytes(text, punctuation)
         if len(raw) > CHUNK:
             yield from flush()
             size = 0

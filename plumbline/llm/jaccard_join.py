@@ -164,7 +164,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = F.min("v").over(Window.partitionBy("key").orderBy("v"))
     meeting = exploded.withColumn("u", first).where("u <> v").select("u", "v").distinct()
     subtree = materialize(connected_components(meeting, "jaccard-meeting"), "jaccard-subtrees")
-    links = _links(rows, copies, sets, subtree, k, percent, max_block)
+    links = verified_links(rows, subtree, k, percent, max_block)
     found = connected_components(links, "jaccard-links")
     named = (
         sets.select("doc_id", "n", "h1", "h2")
@@ -176,8 +176,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return unkeyed(named.select("doc_id", F.col("n").alias("n_shingles"), known.alias("component_id")))
 
 
-def _links(rows: DataFrame, copies: DataFrame, sets: DataFrame, subtree: DataFrame, k: int, percent: int, max_block: int) -> DataFrame:
-    """Verified links (u, v) that span the components of each subtree."""
+def verified_links(rows: DataFrame, subtree: DataFrame, k: int, percent: int, max_block: int = MAX_BLOCK) -> DataFrame:
+    """Verified links (u, v) that span the components of each subtree (node, component) of rows (doc_id, text)."""
     sizes = subtree.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / max_block).cast("int"))
     wanted = subtree.join(sizes.where("blocks > 1"), "component", "left").select(F.col("node").alias("doc_id"), "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     small = subtree.count() <= MAX_BROADCAST

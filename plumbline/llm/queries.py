@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard_join, packing, token_counts, token_files, warc
+from plumbline.llm import decontamination, fingerprints, jaccard_join, lm_scoring, packing, substring_dedup, token_counts, token_files, toxicity, warc
 from plumbline.llm.common import shared_path
 
 
@@ -21,6 +21,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """The model of the labelled documents that aren't held out."""
+    labels = _table(spark, sf_dir, "labels")
+    return toxicity.fit(_table(spark, sf_dir, "documents"), labels.where(~toxicity.held_out()))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity_model(spark, sf_dir).score(_table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = token_files.write_token_files(_table(spark, sf_dir, "documents"), shared_path(spark, "token-files"), word_tokenizer(), end_id=2)
     return token_files.read_token_files(spark, parts)
@@ -35,6 +46,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1)
     return packing.with_crc(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -44,12 +59,30 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents")).drop("version")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_files": op2_token_files,
     "op3_warc": op3_warc,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_fingerprints": op5_fingerprints,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_decontamination": op9_decontamination,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
