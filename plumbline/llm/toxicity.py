@@ -27,7 +27,7 @@ MAX_LABELLED = 12_000
 MAX_ENTRIES, BEGINNINGS, LEAST_ODDS = 4000, (4, 5, 6), 3.0
 #: Words between a lexicon word and a second person that count as near.
 NEAR = 5
-TREES, DEPTH, STEP = 20, 4, 0.3
+TREES, DEPTH, STEP = 10, 4, 0.5
 
 # Insults, and words of the second person in English, French, German and Spanish.
 INSULTS = frozenset("idiot idiots moron morons stupid loser losers pathetic scum trash worthless disgusting clown dumb fool garbage filth filthy pig ugly hate shut imbecile imbécile débile crétin connard idiote dumm dummkopf idioten abschaum arschloch tonto estúpido estupido imbécil basura asqueroso".split())
@@ -60,8 +60,11 @@ class Lexicon:
         """(fixed, learned word, weight, beginning, obfuscated hit, second person) of a lower-case word; mostly nothing."""
         word = raw.strip(_EDGE)
         hidden = False
-        if any(not c.isalpha() for c in word) and (bare := plain(word)) and (bare in INSULTS or bare in self.words):
-            word, hidden = bare, True
+        if not raw.isalpha() and word not in INSULTS and word not in self.words:
+            for bare in (plain(word), plain(raw.strip(".,!?"))):
+                if bare in INSULTS or bare in self.words:
+                    word, hidden = bare, True
+                    break
         weight = self.words.get(word, 0.0)
         start = max((self.beginnings.get(word[:n], 0.0) for n in BEGINNINGS if len(word) >= n), default=0.0)
         found = (word in INSULTS, weight > 0, max(weight, start), start > 0, hidden, word in SECOND)
