@@ -36,6 +36,7 @@ SECOND = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre
 STANDS_FOR = str.maketrans("013457@$!|", "oieastasil")
 
 FEATURES = ["words", "chars", "fixed", "fixed_rate", "learned", "learned_rate", "learned_sum", "learned_max", "beginnings", "near", "near_rate", "second_rate", "upper", "caps_words", "exclaim", "question", "punctuation", "repeated", "digits", "obfuscated", "obfuscated_hits", "distinct"]
+_SIGNS = frozenset("0123456789@$|")
 _EDGE = ".,!?;:\"'()[]{}*#%&$-_…«»¡¿"
 _ODD = re.compile(r"[^\W\d_]+[\d@$!|*.\-_]+[^\W\d_]")
 _CAPS = re.compile(r"\b[A-ZÀ-Þ]{3,}\b")
@@ -57,26 +58,32 @@ class Lexicon:
         self.known: dict[str, tuple | None] = {}
 
     def look(self, raw: str) -> tuple | None:
-        """(fixed, learned word, weight, beginning, obfuscated hit, second person) of a lower-case word; mostly nothing."""
-        word = raw.strip(_EDGE)
-        hidden = False
-        if not raw.isalpha() and word not in INSULTS and word not in self.words:
-            for bare in (plain(word), plain(raw.strip(".,!?"))):
-                if bare in INSULTS or bare in self.words:
-                    word, hidden = bare, True
-                    break
+        """(fixed, learned word, weight, beginning, obfuscated hit, second person, odd) of a lower-case word; mostly nothing."""
+        word, hidden, odd = raw, False, False
+        if not raw.isalpha():
+            word = raw.strip(_EDGE)
+            whole = word.isalpha()
+            odd = not whole and _ODD.search(word) is not None
+            if not (whole and _SIGNS.isdisjoint(raw)) and word not in INSULTS and word not in self.words:
+                for bare in (plain(word), plain(raw.strip(".,!?"))):
+                    if bare in INSULTS or bare in self.words:
+                        word, hidden = bare, True
+                        break
         weight = self.words.get(word, 0.0)
-        start = max((self.beginnings.get(word[:n], 0.0) for n in BEGINNINGS if len(word) >= n), default=0.0)
-        found = (word in INSULTS, weight > 0, max(weight, start), start > 0, hidden, word in SECOND)
-        return found if any(found) else None
+        b = self.beginnings
+        start = max(b.get(word[:4], 0.0), b.get(word[:5], 0.0), b.get(word[:6], 0.0)) if b and len(word) > 3 else 0.0
+        if weight or start or hidden or odd or word in INSULTS or word in SECOND:
+            return word in INSULTS, weight > 0, max(weight, start), start > 0, hidden, word in SECOND, odd
+        return None
 
     def features(self, text: str) -> list[float]:
         words = text.lower().split()
         if len(self.known) > KEPT:
             self.known.clear()
-        for w in {*words} - self.known.keys():
-            self.known[w] = self.look(w)
-        known = self.known
+        known, distinct = self.known, {*words}
+        for w in distinct:
+            if w not in known:
+                known[w] = self.look(w)
         hits = [(i, f) for i, w in enumerate(words) if (f := known[w]) is not None]
         n, size = max(1, len(words)), max(1, len(text))
         fixed = sum(f[0] for _, f in hits)
@@ -93,13 +100,13 @@ class Lexicon:
         counts = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
         upper, lower = int(counts[65:91].sum()), int(counts[97:123].sum())
         marks = int(counts[33:48].sum() + counts[58:65].sum() + counts[91:97].sum() + counts[123:127].sum())
-        odd = len(_ODD.findall(text)) if marks + counts[48:58].sum() else 0
+        odd = sum(f[6] for _, f in hits)
         caps = len(_CAPS.findall(text)) if upper > 2 else 0
         repeated = len(_REPEATED.findall(text)) if marks > 1 else 0
         return [
             math.log1p(len(words)), math.log1p(len(text)), math.log1p(fixed), fixed / n, math.log1p(learned), learned / n, sum(weights) / n, max(weights, default=0.0),
             begun / n, math.log1p(near), near / n, len(second) / n, upper / max(1, upper + lower), caps / n, counts[33] / size, counts[63] / size, marks / size,
-            repeated / n, int(counts[48:58].sum()) / size, odd / n, math.log1p(sum(f[4] for _, f in hits)), len({*words}) / n,
+            repeated / n, int(counts[48:58].sum()) / size, odd / n, math.log1p(sum(f[4] for _, f in hits)), len(distinct) / n,
         ]
 
 
