@@ -53,7 +53,10 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes
     """
     import zstandard
 
-    sample = [r["text"] for r in docs.orderBy(F.xxhash64("doc_id", F.col("text").substr(1, 64))).select(F.col("text").substr(1, 4 * SAMPLE_BYTES).alias("text")).limit(SAMPLE_DOCS).collect()]
+    bucket = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
+    bound = min(1 << 30, (1 << 30) * SAMPLE_DOCS // max(1, docs.count()))
+    texts = docs.where(bucket <= bound).select(bucket.alias("bucket"), F.substring("text", 1, SAMPLE_BYTES).alias("text"))
+    sample = [r["text"] for r in texts.orderBy("bucket", "text").limit(SAMPLE_DOCS).collect()]
     raw = [serialize(ids)[:SAMPLE_BYTES] for ids in encoder(tokenizer_path)(sample, end_id)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, raw).as_bytes()

@@ -12,6 +12,8 @@ import numpy as np
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -​    　﻿]")
 #: Chunks kept in a worker, about 150 bytes each, and the longest that is kept.
 KEPT, LONGEST = 500_000, 200
+#: Characters of texts encoded at a time, and words of letters encoded as one text.
+CHUNK, GROUP = 1 << 20, 500
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -42,29 +44,66 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> None:
+        """Keep the ids of words of letters only: GROUP of them are encoded as one text and told apart by word numbers."""
+        parts = [words[a : a + GROUP] for a in range(0, len(words), GROUP)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids, of = np.array(e.ids, np.uint32).tobytes(), np.array(e.word_ids, np.int64)
+            edges = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+            if len(edges) == len(part):
+                self.kept.update(zip(part, [ids[4 * a : 4 * b] for a, b in zip(edges, [*edges[1:], len(of)], strict=True)], strict=True))
+            else:  # a letter whose lower case is no letter alone
+                self.kept.update(zip(part, self._whole(part), strict=True))
+
+    def _keep(self, missing: Iterable[str]) -> None:
+        """Keep the ids of chunks. Marks after a letter begin a word of their own, and ASCII case makes no difference."""
+        kept, words, others, made = self.kept, set(), set(), []
+        for c in missing:
+            word = c.rstrip(".,!?;:")
+            tail = c[len(word) :]
+            if not word.isalpha():
+                others.add(c)
+                continue
+            if word.isascii():
+                word = word.lower()
+            if word not in kept:
+                words.add(word)
+            if tail and tail not in kept:
+                others.add(tail)
+            made.append((c, word, tail))
+        self._words(list(words))
+        others = list(others)
+        kept.update(zip(others, self._whole(others), strict=True))
+        for c, word, tail in made:
+            kept[c] = kept[word] + kept[tail] if tail else kept[word]
+
     def __call__(self, texts: Iterable[object], end: int | None = None) -> Iterator[np.ndarray]:
-        """uint32 ids of each text, then `end` where given; null is empty. One text at a time is held."""
+        """uint32 ids of each text, then `end` where given; null is empty. About CHUNK characters are held at a time."""
         last = b"" if end is None else np.uint32(end).tobytes()
+        held, size = [], 0
         for text in texts:
-            if not isinstance(text, str) or not text:
-                yield np.frombuffer(last, np.uint32)
-            elif not self.by_chunk or _ODD_SPACE.search(text):
-                yield np.frombuffer(self._whole([text])[0] + last, np.uint32)
-            else:
-                chunks = text.split()
-                kept = self.kept
-                if missing := [c for c in set(chunks) if c not in kept]:
-                    if len(kept) + len(missing) > KEPT:
-                        kept.clear()
-                        missing = list(set(chunks))
-                    for at in range(0, len(missing), 10_000):
-                        some = missing[at : at + 10_000]
-                        kept.update(zip(some, self._whole(some), strict=True))
-                yield np.frombuffer(b"".join([kept[c] for c in chunks]) + last, np.uint32)
-                if any(len(c) > LONGEST for c in missing):
-                    for c in missing:
-                        if len(c) > LONGEST:
-                            del kept[c]
+            held.append(text if isinstance(text, str) else "")
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield from self._encode(held, last)
+                held, size = [], 0
+        yield from self._encode(held, last)
+
+    def _encode(self, texts: list[str], last: bytes) -> Iterator[np.ndarray]:
+        split = [text.split() if self.by_chunk and not _ODD_SPACE.search(text) else None for text in texts]
+        distinct: set[str] = set().union(*[s for s in split if s])
+        missing = distinct.difference(self.kept)
+        if len(self.kept) + len(missing) > KEPT:
+            self.kept.clear()
+            missing = distinct
+        self._keep(missing)
+        look = self.kept.__getitem__
+        for text, chunks in zip(texts, split, strict=True):
+            ids = b"".join(map(look, chunks)) if chunks is not None else self._whole([text])[0]
+            yield np.frombuffer(ids + last, np.uint32)
+        for c in missing:
+            if len(c) > LONGEST:
+                self.kept.pop(c, None)
 
 
 def _drops_space(path: str) -> bool:
