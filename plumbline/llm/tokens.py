@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -11,7 +12,7 @@ import numpy as np
 #: White space besides space, tab, line feed and carriage return: such texts are encoded as they are.
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -​    　﻿]")
 #: Chunks kept in a worker, about 150 bytes each, and the longest that is kept.
-KEPT, LONGEST = 500_000, 200
+KEPT, LONGEST = 900_000, 200
 #: Characters of texts encoded at a time, and words of letters encoded as one text.
 CHUNK, GROUP = 1 << 20, 500
 
@@ -38,20 +39,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_chunk = _drops_space(path)
+        suffix = _word_end(path)
+        self.by_chunk = suffix is not None
+        if suffix is not None:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.kept: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> None:
-        """Keep the ids of words of letters only: GROUP of them are encoded as one text and told apart by word numbers."""
+        """Keep the ids of words of letters only: GROUP of them are encoded as one text and told apart by the ids that end a word."""
         parts = [words[a : a + GROUP] for a in range(0, len(words), GROUP)]
         for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids, of = np.array(e.ids, np.uint32).tobytes(), np.array(e.word_ids, np.int64)
-            edges = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
-            if len(edges) == len(part):
-                self.kept.update(zip(part, [ids[4 * a : 4 * b] for a, b in zip(edges, [*edges[1:], len(of)], strict=True)], strict=True))
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part):
+                raw, edges = ids.tobytes(), (4 * ends).tolist()
+                self.kept.update(zip(part, [raw[a:b] for a, b in zip([0, *edges], edges, strict=False)], strict=True))
             else:  # a letter whose lower case is no letter alone
                 self.kept.update(zip(part, self._whole(part), strict=True))
 
@@ -94,8 +101,8 @@ class Encoder:
         distinct: set[str] = set().union(*[s for s in split if s])
         missing = distinct.difference(self.kept)
         if len(self.kept) + len(missing) > KEPT:
-            self.kept.clear()
-            missing = distinct
+            self.kept = dict(itertools.islice(self.kept.items(), KEPT // 2))  # words met first are the frequent ones
+            missing = distinct.difference(self.kept)
         self._keep(missing)
         look = self.kept.__getitem__
         for text, chunks in zip(texts, split, strict=True):
@@ -106,7 +113,8 @@ class Encoder:
                 self.kept.pop(c, None)
 
 
-def _drops_space(path: str) -> bool:
+def _word_end(path: str) -> str | None:
+    """The suffix that ends each word, where the file's rules drop the white space between words; else nothing."""
     import json
 
     with open(path, encoding="utf-8") as f:
@@ -115,4 +123,5 @@ def _drops_space(path: str) -> bool:
     first = (before.get("pretokenizers") or [before])[0]
     pattern = (first.get("pattern") or {}).get("Regex", "")
     normal = [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers", [])]
-    return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and "[^\\s" in pattern and not re.search(r"(?<!\^)\\s|\\S| \?", pattern) and set(normal) <= {"NFC", "Replace", "Lowercase"}
+    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and "[^\\s" in pattern and not re.search(r"(?<!\^)\\s|\\S| \?", pattern)
+    return rules["model"].get("end_of_word_suffix") if drops and set(normal) <= {"NFC", "Replace", "Lowercase"} else None
