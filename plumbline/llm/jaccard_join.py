@@ -158,8 +158,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     usable = sets.where(f"doc_id <> {NULL_ID} AND n > 0")
     classes = usable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     copies = materialize(classes.drop("copies"), "jaccard-classes")
-    members = usable.join(copies, ["n", "h1", "h2"], "left").withColumn("class", F.coalesce("class", "doc_id"))
-    alone = members.where("doc_id = class")
+    # the keys, most of what is held here, move once: of further copies only the ids go round, as long as they are few
+    gone = materialize(usable.select("doc_id", "n", "h1", "h2").join(copies, ["n", "h1", "h2"]).where("doc_id <> class").select("doc_id", "h1", "h2").distinct(), "jaccard-copies")
+    alone = usable.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone, ["doc_id", "h1", "h2"], "left_anti")
     exploded = alone.select(F.col("doc_id").alias("v"), F.explode("keys").alias("key"))
     first = F.min("v").over(Window.partitionBy("key").orderBy("v"))
     meeting = exploded.withColumn("u", first).where("u <> v").select("u", "v").distinct()
