@@ -91,7 +91,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         import zstandard
 
         encode = encoder(tokenizer_path)
-        squeeze = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary)).compress
+        squeeze = zstandard.ZstdCompressor(level=1, dict_data=_dictionary(dictionary)).compress
         for batch in batches:
             n, packed = [], []
             for ids in encode(batch["text"], end_id):
