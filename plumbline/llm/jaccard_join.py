@@ -5,11 +5,12 @@ of two points bound from above the overlap of their sets. That bound prunes a pa
 verified on the sets themselves.
 
 The tree is cut over the cluster at its top. Documents with equal sets are one class, of which one document goes on.
-For a level of sizes the bound leaves at most D elements in the symmetric difference of two linked sets, so of D + 1
-blocks of groups at least one holds the same content in both: a box of the tree that fixes one block. Each class
-sends one key (16 bytes) for each block of its own level and of the next; classes that share a key may meet, and the
-connected components of that relation are the subtrees that go to a task each. A subtree of more than
-`max_block` classes goes to several tasks, as pairs of blocks. Texts move once, and only those that share a key.
+For a level of sizes at most D elements lie in the symmetric difference of two linked sets, so of D + 1 blocks of
+groups at least one holds the same content in both: a box of the tree that fixes one block. Each class sends one key
+(16 bytes) for each block of its own level and of the next. Where classes share a key, a tree of their count vectors
+tells which of them may link; the connected components of that relation are the subtrees that go to a task each, with
+their sets. A subtree of more than `max_block` classes goes to several tasks, as pairs of blocks. Texts move once, and
+only those that may link.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import NULL_ID, connected_components, find, groups, keyed, materialize, mix, partitions, shingle_hashes, unkeyed, word_hashes
+from plumbline.llm.common import NULL_ID, connected_components, groups, keyed, materialize, mix, partitions, shingle_hashes, unkeyed, word_hashes
 
-#: Coordinates of a point in a subtree, and entries of a node.
-COORDINATES, FANOUT = 64, 16
-#: Classes in a block of a split subtree, and rows up to which the list of candidates (16 bytes each) is broadcast.
+#: Entries of a node; coordinates of a point at least and at most (a power of two, by the set's size).
+FANOUT, LEAST, MOST = 16, 64, 1024
+#: Classes in a block of a split subtree, and rows up to which a list of ids (16 bytes each) is broadcast.
 MAX_BLOCK, MAX_BROADCAST = 3000, 1_000_000
-#: From this many allowed differences on, a level has SPARE more blocks, so that empty ones need no key.
-SPARE_FROM, SPARE = 12, 2
+#: From this many allowed differences on, a level has a quarter as many more blocks and two, so that empty ones need no key.
+SPARE_FROM = 4
 
 
 def levels(n: int, percent: int) -> list[tuple[int, int, int]]:
@@ -42,7 +43,7 @@ def levels(n: int, percent: int) -> list[tuple[int, int, int]]:
     for level in (own, own + 1):
         largest = math.ceil(math.exp((level + 1) * step)) + 1
         differ = (100 - percent) * 2 * largest // (100 + percent)
-        spare = SPARE if differ >= SPARE_FROM else 0
+        spare = differ // 4 + 2 if differ >= SPARE_FROM else 0
         if differ:
             out.append((level, differ + 1 + spare, spare))
     return out
@@ -69,6 +70,20 @@ def shingle_sets(texts, k: int) -> Iterator[np.ndarray]:
         yield np.unique(shingle_hashes(words, k))
 
 
+def count_vector(shingles: np.ndarray) -> np.ndarray:
+    """How many of the distinct shingles fall into each of a power of two of groups; halves of it add up to a shorter one."""
+    groups_ = LEAST
+    while groups_ < MOST and groups_ * 12 < len(shingles):
+        groups_ *= 2
+    return np.bincount((mix(shingles) % np.uint64(groups_)).astype(np.int64), minlength=groups_).astype(np.uint16)
+
+
+def folded(vectors: list[np.ndarray]) -> np.ndarray:
+    """The vectors at the length of the shortest."""
+    n = min(len(v) for v in vectors)
+    return np.stack([v if len(v) == n else v.reshape(-1, n).sum(axis=0) for v in vectors]).astype(np.int32)
+
+
 class CountTree:
     """A packed R-tree over count vectors: levels of upper corners (coordinate maxima) and smallest set sizes.
 
@@ -98,6 +113,20 @@ class CountTree:
         return self.order[at]
 
 
+def may_link(points: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (i, j) that span the components of the relation that the bound leaves."""
+    parent = np.arange(len(points))
+    tree = CountTree(points, sizes)
+    out = []
+    for i in range(len(points)):
+        near = tree.query(points[i], sizes[i], percent)
+        for c in np.unique(parent[near]).tolist():
+            if c != parent[i]:
+                out.append((i, int(near[parent[near] == c][0])))
+                parent[parent == c] = parent[i]
+    return out
+
+
 def linked(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that span the components of the sets; with left, of links between a left and another set only.
 
@@ -106,29 +135,28 @@ def linked(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None)
     sizes = np.array([len(s) for s in sets], np.int64)
     vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
     edges = np.concatenate([[0], np.cumsum(sizes)])
-    group = (mix(vocabulary) % np.uint64(COORDINATES)).astype(np.int64)
-    points = np.zeros((len(sets), COORDINATES), np.int32)
-    np.add.at(points, (np.repeat(np.arange(len(sets)), sizes), group[ids]), 1)
+    points = folded([count_vector(s) for s in sets])
     tree = CountTree(points, sizes)
-    parent = list(range(len(sets)))
+    parent = np.arange(len(sets))
     mark = np.zeros(len(vocabulary), bool)
     out = []
     for i in range(len(sets)):
+        if left is not None and not left[i]:
+            continue
         near = tree.query(points[i], sizes[i], percent)
-        near = near[near > i] if left is None else near[left[near] != left[i]] if left[i] else near[:0]
+        near = near[near > i] if left is None else near[~left[near]]
+        near = near[parent[near] != parent[i]]
         if not len(near):
             continue
         mine = ids[edges[i] : edges[i + 1]]
         mark[mine] = True
-        for at in range(0, len(near), 256):
-            some = [int(j) for j in near[at : at + 256] if find(parent, int(j)) != find(parent, i)]
-            if not some:
+        for j in near.tolist():
+            if parent[j] == parent[i]:
                 continue
-            common = [int(mark[ids[edges[j] : edges[j + 1]]].sum()) for j in some]
-            for j, c in zip(some, common, strict=True):
-                if 100 * c >= percent * (sizes[i] + sizes[j] - c) and (a := find(parent, i)) != (b := find(parent, j)):
-                    parent[max(a, b)] = min(a, b)
-                    out.append((i, j))
+            common = int(np.count_nonzero(mark[ids[edges[j] : edges[j + 1]]]))
+            if 100 * common >= percent * (sizes[i] + sizes[j] - common):
+                parent[parent == parent[j]] = parent[i]
+                out.append((i, j))
         mark[mine] = False
     return out
 
@@ -145,15 +173,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def sets_and_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n, h1, h2, keys = [], [], [], []
+            n, h1, h2, keys, counts = [], [], [], [], []
             for s in shingle_sets(batch["text"], k):
                 n.append(len(s))
                 h1.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
                 h2.append(int(mix(s ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64).astype(np.int64)))
                 keys.append(block_keys(s, percent))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "h1": h1, "h2": h2, "keys": keys})
+                counts.append(count_vector(s).tobytes())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "h1": h1, "h2": h2, "keys": keys, "counts": counts})
 
-    schema = "doc_id long, n long, h1 long, h2 long, keys array<long>"
+    schema = "doc_id long, n long, h1 long, h2 long, keys array<long>, counts binary"
     sets = materialize(rows.mapInPandas(sets_and_keys, schema), "jaccard-sets")
     usable = sets.where(f"doc_id <> {NULL_ID} AND n > 0")
     classes = usable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
@@ -163,8 +192,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alone = usable.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone, ["doc_id", "h1", "h2"], "left_anti")
     exploded = alone.select(F.col("doc_id").alias("v"), F.explode("keys").alias("key"))
     first = F.min("v").over(Window.partitionBy("key").orderBy("v"))
-    meeting = exploded.withColumn("u", first).where("u <> v").select("u", "v").distinct()
-    subtree = materialize(connected_components(meeting, "jaccard-meeting"), "jaccard-subtrees")
+    meeting = materialize(exploded.withColumn("u", first).where("u <> v"), "jaccard-keys")
+    members = meeting.select("key", F.col("v").alias("doc_id")).union(meeting.select("key", F.col("u").alias("doc_id"))).distinct()
+    vectors = alone.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "counts")
+    shared = members.join(vectors, "doc_id").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "doc_id")
+
+    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        u: list[int] = []
+        v: list[int] = []
+        for g in groups(batches, ["key"]):
+            ids, sizes = g["doc_id"].to_numpy(), g["n"].to_numpy(np.int64)
+            points = folded([np.frombuffer(c, np.uint16) for c in g["counts"]])
+            if len(ids) == 2:
+                bound = int(np.minimum(points[0], points[1]).sum())
+                pairs = [(0, 1)] if (100 + percent) * bound >= percent * int(sizes.sum()) else []
+            else:
+                pairs = may_link(points, sizes, percent)
+            u += [ids[a] for a, _ in pairs]
+            v += [ids[b] for _, b in pairs]
+            if len(u) >= 50_000:
+                yield pd.DataFrame({"u": u, "v": v}).drop_duplicates()
+                u, v = [], []
+        yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)}).drop_duplicates()
+
+    near = shared.mapInPandas(prune, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    subtree = materialize(connected_components(near, "jaccard-near"), "jaccard-subtrees")
     links = verified_links(rows, subtree, k, percent, max_block)
     found = connected_components(links, "jaccard-links")
     named = (

@@ -94,9 +94,17 @@ def test_linked_sets_share_a_key(items, changes, percent):
         assert set(jaccard_join.block_keys(a, percent)) & set(jaccard_join.block_keys(b, percent))
 
 
+def test_vectors_fold():
+    sets = [np.unique(np.random.default_rng(i).integers(0, 10**9, n, dtype=np.uint64)) for i, n in enumerate((5, 700, 5000, 40_000))]
+    vectors = [jaccard_join.count_vector(s) for s in sets]
+    assert [len(v) for v in vectors] == [64, 64, 512, 1024] and [v.sum() for v in vectors] == [len(s) for s in sets]
+    both = jaccard_join.folded(vectors)
+    assert both.shape == (4, 64) and (both[2] == np.bincount((jaccard_join.mix(sets[2]) % np.uint64(64)).astype(int), minlength=64)).all()
+
+
 def test_tree_loses_no_overlap():
     rng = np.random.default_rng(5)
-    points = rng.poisson(2, (500, jaccard_join.COORDINATES)).astype(np.int32)
+    points = rng.poisson(2, (500, jaccard_join.LEAST)).astype(np.int32)
     points[250:] = points[:250]
     points[250:, 3] += 1
     sizes = points.sum(axis=1)
