@@ -27,6 +27,7 @@ from plumbline.llm.tokens import encoder
 MAGIC = b"PLTOKID1"
 _FOOTER = "<QQ8s"
 #: Documents that the dictionary is trained on at most, bytes of each, and bytes of the dictionary.
+LEVEL = 1
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 8192, 65_536
 
 
@@ -67,7 +68,11 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes
 def _dictionary(raw: bytes):
     import zstandard
 
-    return zstandard.ZstdCompressionDict(raw) if raw else None
+    if not raw:
+        return None
+    shared = zstandard.ZstdCompressionDict(raw)
+    shared.precompute_compress(level=LEVEL)  # else each document would digest it anew
+    return shared
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,7 +96,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         import zstandard
 
         encode = encoder(tokenizer_path)
-        squeeze = zstandard.ZstdCompressor(level=1, dict_data=_dictionary(dictionary)).compress
+        squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary)).compress
         for batch in batches:
             n, packed = [], []
             for ids in encode(batch["text"], end_id):
