@@ -60,8 +60,15 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 NULL_ID = -(1 << 63)
 
 
+#: Rows of an Arrow batch: of whole texts, the default of 10,000 takes hundreds of MB in each Python worker.
+BATCH_ROWS, BATCH_CONF = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def keyed(df: DataFrame, id_col: str, **columns: str) -> DataFrame:
-    """pick() with the id as a 64-bit doc_id, NULL_ID where it is null."""
+    """pick() with the id as a 64-bit doc_id, NULL_ID where it is null. Lowers the session's BATCH_CONF to BATCH_ROWS."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
     return pick(df, doc_id=id_col, **columns).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
 
 

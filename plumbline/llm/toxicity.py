@@ -156,14 +156,20 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     """Words and beginnings of rows (text, toxic) whose share of toxic documents stands out; counted once a document."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, list[int]] = {}
         for batch in batches:
-            seen: dict[str, list[int]] = {}
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 words = {s for w in {*(text or "").lower().split()} if (s := w.strip(_EDGE))}
                 own = {f"={w}" for w in words} | {f"^{w[:n]}" for w in words for n in BEGINNINGS if len(w) >= n}
                 for k in own:
                     seen.setdefault(k, [0, 0])[toxic] += 1
-            yield pd.DataFrame([(k, a, b) for k, (a, b) in seen.items()], columns=["entry", "clean", "toxic"])
+            if len(seen) > 300_000:
+                yield table(seen)
+                seen.clear()
+        yield table(seen)
+
+    def table(seen: dict[str, list[int]]) -> pd.DataFrame:
+        return pd.DataFrame([(k, a, b) for k, (a, b) in seen.items()], columns=["entry", "clean", "toxic"])
 
     total = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     bad, good = total[0], total[1] - total[0]
