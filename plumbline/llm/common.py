@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -87,7 +88,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _WHITE = re.compile(rb"[\x20\x09-\x0d]")
 #: Bytes of text hashed in one go; bounds the memory of the arrays.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -129,6 +130,13 @@ def _hash_buffer(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _NO_PUNCTUATION = bytes(32 if c < 128 and not chr(c).isalnum() else ord(chr(c).lower()) if c < 128 else c for c in range(256))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: Python workers live on between tasks."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def to_bytes(text: object, punctuation: bool = True) -> bytes:
     """UTF-8 with A-Z in lower case, ASCII punctuation as space where it isn't wanted; null and NaN are empty."""
     if not isinstance(text, str):
@@ -177,6 +185,7 @@ def word_hashes(texts: Iterable[object], punctuation: bool = True) -> Iterator[n
             yield from flush()
             size = 0
     yield from flush()
+    give_back()
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -216,6 +225,7 @@ def groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
             last = key
     if held:
         yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+    give_back()
 
 
 def find(parent: list[int], x: int) -> int:

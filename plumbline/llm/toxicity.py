@@ -42,7 +42,7 @@ _ODD = re.compile(r"[^\W\d_]+[\d@$!|*.\-_]+[^\W\d_]")
 _CAPS = re.compile(r"\b[A-ZÀ-Þ]{3,}\b")
 _REPEATED = re.compile(r"[!?.]{2,}|([^\w\s])\1")
 #: Words kept with their weights in a worker.
-KEPT = 300_000
+KEPT = 100_000
 
 
 def plain(word: str) -> str:
@@ -163,7 +163,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
                 own = {f"={w}" for w in words} | {f"^{w[:n]}" for w in words for n in BEGINNINGS if len(w) >= n}
                 for k in own:
                     seen.setdefault(k, [0, 0])[toxic] += 1
-            if len(seen) > 300_000:
+            if len(seen) > 100_000:
                 yield table(seen)
                 seen.clear()
         yield table(seen)
