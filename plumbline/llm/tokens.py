@@ -12,7 +12,7 @@ import numpy as np
 #: White space besides space, tab, line feed and carriage return: such texts are encoded as they are.
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -​    　﻿]")
 #: Chunks kept in a worker, about 150 bytes each, and the longest that is kept.
-KEPT, LONGEST = 300_000, 200
+KEPT, LONGEST = 700_000, 200
 #: Characters of texts encoded at a time, and words of letters encoded as one text.
 CHUNK, GROUP = 1 << 20, 500
 
