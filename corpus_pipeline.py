@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm import decontamination, jaccard_join, packing, queries, substring_dedup
 from plumbline.llm.common import materialize
 
+#: Words whose ids a worker of the packing stage keeps: fewer than packing alone may, as workers live on from stage to stage.
+KEPT_WORDS = 200_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the rows whose text the toxicity model (fitted on the labelled documents of sf_dir) predicts as toxic."""
@@ -34,7 +37,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of windows of 2048 tokens, with their ids."""
-    return packing.pack(docs, queries.word_tokenizer(), end_id=1)
+    return packing.pack(docs, queries.word_tokenizer(), end_id=1, kept=KEPT_WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import keyed, unkeyed
-from plumbline.llm.tokens import encoder
+from plumbline.llm.tokens import KEPT, encoder
 
 WINDOW = 2048
 #: Sequences in a partition, at most: the sequence number is partition * SPAN + count.
@@ -63,19 +63,20 @@ class SumOfSquares:
         return number, level
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, kept: int = KEPT) -> DataFrame:
     """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids) of every document, ids with end_id last.
 
     ids: the piece's ids, little-endian unsigned 32-bit. Each id of each row lies in exactly one piece; the pieces of
     a sequence are gapless from 0. Null or empty texts are one piece of the end id; null and repeated doc_ids stay as
     they are. Sequences have `window` tokens (a power of two), but for the last of a task, which are powers of two.
-    Memory: one batch, and the partial windows of a task, of which sum-of-squares keeps few of each level.
+    Memory: one batch, the ids of `kept` words, and the partial windows of a task, of which sum-of-squares keeps few of
+    each level.
     """
     assert window & (window - 1) == 0
     columns = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path, kept)
         base = TaskContext.get().partitionId() * SPAN
         packer = SumOfSquares(window)
         partial: dict[int, list[tuple]] = {}

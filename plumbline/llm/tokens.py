@@ -9,20 +9,25 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from plumbline.llm.common import give_back
+
 #: White space besides space, tab, line feed and carriage return: such texts are encoded as they are.
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -​    　﻿]")
 #: Chunks kept in a worker, about 150 bytes each, and the longest that is kept.
 KEPT, LONGEST = 700_000, 200
-#: Characters of texts encoded at a time, and words of letters encoded as one text.
-CHUNK, GROUP = 1 << 20, 500
+#: Characters of texts encoded at a time, words of letters encoded as one text, and words whose results (many times
+#: the ids kept of them) the tokenizer holds at once.
+CHUNK, GROUP, AT_ONCE = 1 << 20, 500, 20_000
 
 _encoders: dict[str, "Encoder"] = {}
 
 
-def encoder(path: str) -> "Encoder":
-    """The encoder of a tokenizer file, one for each Python worker."""
+def encoder(path: str, kept: int = KEPT) -> "Encoder":
+    """The encoder of a tokenizer file, one for each Python worker; it keeps `kept` chunks, which bounds memory, not results."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        give_back()
+    _encoders[path].most = kept
     return _encoders[path]
 
 
@@ -46,12 +51,17 @@ class Encoder:
             self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.kept: dict[str, bytes] = {}
+        self.most = KEPT
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32).tobytes() for a in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> None:
         """Keep the ids of words of letters only: GROUP of them are encoded as one text and told apart by the ids that end a word."""
+        for a in range(0, len(words), AT_ONCE):
+            self._groups(words[a : a + AT_ONCE])
+
+    def _groups(self, words: list[str]) -> None:
         parts = [words[a : a + GROUP] for a in range(0, len(words), GROUP)]
         for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
@@ -100,8 +110,9 @@ class Encoder:
         split = [text.split() if self.by_chunk and not _ODD_SPACE.search(text) else None for text in texts]
         distinct: set[str] = set().union(*[s for s in split if s])
         missing = distinct.difference(self.kept)
-        if len(self.kept) + len(missing) > KEPT:
-            self.kept = dict(itertools.islice(self.kept.items(), KEPT // 2))  # words met first are the frequent ones
+        if len(self.kept) + len(missing) > self.most:
+            self.kept = dict(itertools.islice(self.kept.items(), self.most // 2))  # words met first are the frequent ones
+            give_back()
             missing = distinct.difference(self.kept)
         self._keep(missing)
         look = self.kept.__getitem__

@@ -27,6 +27,9 @@ def test_encoder_equals_the_library(plain, spark, sf):
     encode = encoder(PATH)
     assert [i.tolist() for i in encode(texts)] == [plain(t) for t in texts]
     assert encode.by_chunk
+    few = encoder(PATH, 300)
+    assert [i.tolist() for a in range(0, len(texts), 7) for i in few(texts[a : a + 7])] == [plain(t) for t in texts]
+    encoder(PATH)
 
 
 def test_other_tokenizers_are_encoded_whole():
