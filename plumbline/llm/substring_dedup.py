@@ -2,7 +2,7 @@
 
 Seeds are the minimizers of runs of K words. Each occurrence of a seed is joined with the first one in the corpus
 (smallest doc_id, then position), so a passage of many documents gives as many matches as it has occurrences, not
-their square. Per document and first document, runs of matches on a diagonal become segments, and a Fenwick tree over
+their square. Per document and first document, runs of matches on a diagonal become segments, and a tree over
 the ends in the first document chains ordered segments with gap costs. The words around the chains are fetched and
 aligned; stretches of at least `min_words` words and `identity` are the result.
 """
@@ -40,24 +40,49 @@ def minimizers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at], at
 
 
-class Fenwick:
-    """Prefix maxima of (score, item) under point updates."""
+class Maxima:
+    """Maxima of (score, item) over ranges of n places, under updates: a binary tree in an array."""
+
+    NONE = (-1e18, -1)
 
     def __init__(self, n: int):
-        self.best = [(-1e18, -1)] * (n + 1)
+        self.size = max(1, n)
+        self.best = [self.NONE] * (2 * self.size)
 
     def put(self, i: int, value: tuple[float, int]) -> None:
-        i += 1
-        while i < len(self.best):
-            self.best[i] = max(self.best[i], value)
-            i += i & -i
+        """Raise place i to value."""
+        i += self.size
+        while i and self.best[i] < value:
+            self.best[i] = value
+            i //= 2
+
+    def clear(self, i: int) -> None:
+        """Place i holds nothing any more."""
+        i += self.size
+        self.best[i] = self.NONE
+        while i := i // 2:
+            self.best[i] = max(self.best[2 * i], self.best[2 * i + 1])
+
+    def between(self, i: int, j: int) -> tuple[float, int]:
+        """The greatest value of places i to j, j excluded."""
+        out = self.NONE
+        i, j = i + self.size, j + self.size
+        while i < j:
+            if i & 1:
+                out = max(out, self.best[i])
+                i += 1
+            if j & 1:
+                j -= 1
+                out = max(out, self.best[j])
+            i, j = i // 2, j // 2
+        return out
 
     def upto(self, i: int) -> tuple[float, int]:
-        out = (-1e18, -1)
-        while i > 0:
-            out = max(out, self.best[i])
-            i -= i & -i
-        return out
+        return self.between(0, i)
+
+
+#: The name that the tests of prefix maxima know.
+Fenwick = Maxima
 
 
 def segments(p: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -79,19 +104,27 @@ def chains(seg: np.ndarray) -> list[np.ndarray]:
     """
     if len(seg) == 1:
         return [seg]
-    ends = np.sort(seg[:, 3])
-    tree = Fenwick(len(seg))
+    by_ref = np.argsort(seg[:, 3], kind="stable")
+    ends = seg[by_ref, 3]
+    place = np.empty(len(seg), np.int64)
+    place[by_ref] = np.arange(len(seg))
+    tree = Maxima(len(seg))
     by_end = np.argsort(seg[:, 1], kind="stable")
-    score, before, done = [0.0] * len(seg), [-1] * len(seg), 0
+    score, before, done, gone = [0.0] * len(seg), [-1] * len(seg), 0, 0
+    # only segments that end at most MAX_GAP before this one in both texts can come before it
+    low, high = np.searchsorted(ends, seg[:, 2] - MAX_GAP), np.searchsorted(ends, seg[:, 2], side="right")
     for i, (a, b, c, _) in enumerate(seg.tolist()):
         while done < len(seg) and seg[by_end[done], 1] <= a:
             j = int(by_end[done])
-            tree.put(int(np.searchsorted(ends, seg[j, 3])), (score[j] + GAP_COST * float(seg[j, 1] + seg[j, 3]), j))
+            tree.put(int(place[j]), (score[j] + GAP_COST * float(seg[j, 1] + seg[j, 3]), j))
             done += 1
-        best, j = tree.upto(int(np.searchsorted(ends, c, side="right")))
+        while gone < done and seg[by_end[gone], 1] < a - MAX_GAP:
+            tree.clear(int(place[by_end[gone]]))
+            gone += 1
+        best, j = tree.between(int(low[i]), int(high[i]))
         best -= GAP_COST * (a + c)
         score[i] = float(b - a)
-        if j >= 0 and best > 0 and a - seg[j, 1] <= MAX_GAP and c - seg[j, 3] <= MAX_GAP:
+        if j >= 0 and best > 0:
             score[i] += best
             before[i] = j
     used, out = [False] * len(seg), []

@@ -120,3 +120,29 @@ def test_odd_rows_and_removal(spark):
     assert kept[20] == [text] and kept[21] == ["mine before mine after"] and 22 not in kept and text in kept[None]
     assert len(kept[1]) == 2 and kept[2] == [None] and kept[3] == [""]
     assert sd.repeated_passages(empty_documents(spark)).count() == 0 and sd.without_repeats(empty_documents(spark)).count() == 0
+
+
+def test_far_chain_does_not_hide_a_near_one(spark):
+    """A long shared passage, then one with a word inserted in its middle, in the same two documents."""
+    seg = np.array([[0, 300, 0, 300], [500, 530, 500, 530], [531, 560, 530, 559]])
+    assert sorted(len(c) for c in sd.chains(seg)) == [1, 2]
+    rng = random.Random(8)
+    long, w = filler(rng, 300), filler(rng, 60)
+    texts = [long + filler(rng, 200) + w + filler(rng, 9), long + filler(rng, 200) + w[:30] + ["more"] + w[30:] + filler(rng, 9)]
+    found = sd.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start"], r["end"]) for r in found) == [(1, 0, 300), (1, 500, 561)]
+
+
+def test_chains_against_all_pairs():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        a, c, n = rng.integers(0, 400, 40), rng.integers(0, 400, 40), rng.integers(6, 30, 40)
+        seg = np.column_stack([a, a + n, c, c + n])
+        seg = seg[np.lexsort((seg[:, 2], seg[:, 0]))]
+        score = np.zeros(len(seg))
+        for i, (a0, b0, c0, _) in enumerate(seg.tolist()):
+            gaps = [(score[j] - sd.GAP_COST * (a0 - s[1] + c0 - s[3])) for j, s in enumerate(seg.tolist()) if 0 <= a0 - s[1] <= sd.MAX_GAP and 0 <= c0 - s[3] <= sd.MAX_GAP]
+            score[i] = b0 - a0 + max([0, *gaps])
+        best = sd.chains(seg)[0]
+        worth = sum(s[1] - s[0] for s in best.tolist()) - sd.GAP_COST * sum(y[0] - x[1] + y[2] - x[3] for x, y in zip(best.tolist(), best.tolist()[1:], strict=False))
+        assert abs(worth - score.max()) < 1e-6
