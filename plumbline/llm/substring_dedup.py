@@ -2,9 +2,11 @@
 
 Seeds are the minimizers of runs of K words. Each occurrence of a seed is joined with the first one in the corpus
 (smallest doc_id, then position), so a passage of many documents gives as many matches as it has occurrences, not
-their square. Per document and first document, runs of matches on a diagonal become segments, and a tree over
-the ends in the first document chains ordered segments with gap costs. The words around the chains are fetched and
-aligned; stretches of at least `min_words` words and `identity` are the result.
+their square. Per document and first document, runs of matches on a diagonal become segments, and a tree over the ends in
+the first document chains ordered segments with gap costs. The words around the chains are fetched and aligned;
+stretches of at least `min_words` words and `identity` are the result. Where all seeds of a stretch occur earlier,
+whichever documents came first with each, and no passage covers it, every run of `min_words` words in it is hashed and
+joined with its own first occurrence: a document that holds the run whole.
 """
 
 from __future__ import annotations
@@ -40,6 +42,59 @@ def minimizers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at], at
 
 
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of n words, by doubling; none of fewer words."""
+    if len(words) < n:
+        return np.empty(0, np.uint64)
+    h, m = mix(words + np.uint64(n)), 1
+    while m < n:
+        step = min(m, n - m)
+        h = mix(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
+        m += step
+    return h
+
+
+def shared_areas(at: np.ndarray, gap: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Word ranges [a, b) outside of which no run of min_words words has shared seeds only.
+
+    at: places of a document's shared seeds in order; gap: words since the seed before it, shared or not (0: none).
+    """
+    before = at - gap
+    a = np.where((gap > 0) & np.isin(before, at), before, at)
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(at[order])
+    first = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
+    a, b = np.maximum(a[first] - (SPAN - 1), 0), b[np.append(first[1:], len(b)) - 1] + K + SPAN - 1
+    return [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if y - x >= min_words]
+
+
+def uncovered(areas: list[tuple[int, int]], spans: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
+    """Ranges of the runs of min_words words in areas that have a word outside of all spans."""
+    if not len(spans):
+        return areas
+    out = []
+    for a, b in areas:
+        free = np.ones(b - a, bool)
+        for x, y in spans:
+            free[max(x - a, 0) : max(y - a, 0)] = False
+        count = np.concatenate([[0], np.cumsum(free)])
+        starts = np.flatnonzero(count[min_words:] > count[: len(count) - min_words])
+        for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+            if len(part):
+                out.append((a + int(part[0]), a + int(part[-1]) + min_words))
+    return out
+
+
+def covering(at: np.ndarray, n: int) -> list[int]:
+    """Indices of some runs of n words from the places at (in order) on, which together hold every word of all of them."""
+    out, i = [], 0
+    while i < len(at):
+        out.append(i)
+        j = int(np.searchsorted(at, at[i] + n, side="right")) - 1
+        i = j if at[j] > at[i] else j + 1
+    return out
+
+
 class Maxima:
     """Maxima of (score, item) over ranges of n places, under updates: a binary tree in an array."""
 
@@ -196,33 +251,21 @@ def align(chain: np.ndarray, x: np.ndarray, x_at: int, y: np.ndarray, y_at: int,
             yield int(p[i]), int(p[j - 1]) + 1, int(r[i]), int(r[j - 1]) + 1, share
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
-    """Passages that repeat one of an earlier document: one row (doc_id, start, end, ref_doc_id, ref_start, ref_end, identity, version).
+def of_several(found: DataFrame, key: str) -> DataFrame:
+    """The rows (key, doc_id, at, ...) whose key several documents hold, with the smallest of these as ref."""
+    least = found.groupBy(key).agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("most")).where("ref <> most").drop("most")
+    return found.join(least, key)
 
-    Positions count words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased), ends excluded. ref_doc_id is a smaller doc_id that
-    holds the passage; version is xxhash64 of the document's text. A passage with parts in several earlier documents
-    has a row for each. Rows with a null id, null or short texts have no passages; rows that repeat an id are one
-    document, and of their different texts the least by version stands. Every run of K + SPAN - 1 equal words has a
-    seed, so no exact passage is lost.
-    """
-    spark = docs.sparkSession
-    rows = keyed(docs, id_col, text=text_col).where(F.col("doc_id") != NULL_ID)
 
-    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, hashes, at = [], [], []
-            for doc_id, words in zip(batch["doc_id"], word_hashes(batch["text"]), strict=True):
-                h, p = minimizers(words)
-                ids.append(np.full(len(h), doc_id, np.int64))
-                hashes.append(h)
-                at.append(p)
-            if ids:
-                yield pd.DataFrame({"seed": np.concatenate(hashes).view(np.int64), "doc_id": np.concatenate(ids), "at": np.concatenate(at).astype(np.int32)})
+def with_first(shared: DataFrame, key: str) -> DataFrame:
+    """(doc_id, ref, at, ref_at) of the rows of of_several() outside ref; ref_at: the first place of the key there."""
+    first = shared.where("doc_id = ref").groupBy(key).agg(F.min("at").alias("ref_at"))
+    return shared.where("doc_id <> ref").join(first, key).select("doc_id", "ref", "at", "ref_at")
 
-    by_seed = Window.partitionBy("seed").orderBy("doc_id", "at")
-    first = F.first(F.struct("doc_id", "at")).over(by_seed.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    matches = rows.mapInPandas(seeds, "seed long, doc_id long, at int").withColumn("first", first).where("first.doc_id <> doc_id").select("doc_id", F.col("first.doc_id").alias("ref"), "at", F.col("first.at").alias("ref_at"))
 
+def aligned(rows: DataFrame, matches: DataFrame, min_words: int, identity: float) -> DataFrame:
+    """Passages (SCHEMA) along the chains of matches (doc_id, ref, at, ref_at), each of K words, of rows (doc_id, text)."""
+    spark = rows.sparkSession
     shortest = max(K, min_words - 2 * (K + SPAN - 1))
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,6 +351,95 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return slices.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "side", "version").mapInPandas(verify, SCHEMA)
 
 
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
+    """Passages that repeat one of an earlier document: one row (doc_id, start, end, ref_doc_id, ref_start, ref_end, identity, version).
+
+    Positions count words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased), ends excluded. ref_doc_id is a smaller doc_id that
+    holds the passage; version is xxhash64 of the document's text. A passage with parts in several earlier documents
+    has a row for each. Rows with a null id, null or short texts have no passages; rows that repeat an id are one
+    document, and of their different texts the least by version stands. Of min_words >= K + SPAN - 1, every run of
+    min_words words that an earlier document holds is covered by passages: all its seeds occur earlier, so the run
+    itself is looked up where those of its seeds don't cover it. Passages with changed words are found through the first occurrences of their seeds only.
+    """
+    spark = docs.sparkSession
+    rows = keyed(docs, id_col, text=text_col).where(F.col("doc_id") != NULL_ID)
+
+    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, hashes, at, gap = [], [], [], []
+            for doc_id, words in zip(batch["doc_id"], word_hashes(batch["text"]), strict=True):
+                h, p = minimizers(words)
+                ids.append(np.full(len(h), doc_id, np.int64))
+                hashes.append(h)
+                at.append(p)
+                gap.append(np.diff(p, prepend=p[:1]))
+            if ids:
+                yield pd.DataFrame({"seed": np.concatenate(hashes).view(np.int64), "doc_id": np.concatenate(ids), "at": np.concatenate(at).astype(np.int32), "gap": np.concatenate(gap).astype(np.int32)})
+
+    by_seed = Window.partitionBy("seed").orderBy("doc_id", "at", "gap").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    again = rows.mapInPandas(seeds, "seed long, doc_id long, at int, gap int").withColumn("first", F.first(F.struct("doc_id", "at", "gap")).over(by_seed))
+    again = again.where("first.doc_id <> doc_id OR first.at <> at").select("seed", "doc_id", "at", "gap", F.col("first.doc_id").alias("ref"), F.col("first.at").alias("ref_at"), F.col("first.gap").alias("ref_gap"))
+    again = materialize(again, "passage-seeds")
+    later = again.where("doc_id <> ref")
+    found = materialize(aligned(rows, later.select("doc_id", "ref", "at", "ref_at"), min_words, identity), "passages-of-seeds")
+
+    ranges = "array<struct<a:int,b:int>>"
+
+    def areas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for g in groups(batches, ["doc_id"]):
+            if found := shared_areas(g["at"].to_numpy(np.int64), g["gap"].to_numpy(np.int64), min_words):
+                out.append((int(g["doc_id"].iat[0]), found))
+            if len(out) >= 5000:
+                yield pd.DataFrame(out, columns=["owner", "areas"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["owner", "areas"])
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, hashes, at = [], [], []
+            for doc_id, words, found in zip(batch["doc_id"], word_hashes(batch["text"]), batch["areas"], strict=True):
+                for x in found:
+                    h = run_hashes(words[x["a"] : x["b"]], min_words)
+                    ids.append(np.full(len(h), doc_id, np.int64))
+                    hashes.append(h)
+                    at.append(np.arange(x["a"], x["a"] + len(h), dtype=np.int32))
+            if ids:
+                yield pd.DataFrame({"run": np.concatenate(hashes).view(np.int64), "doc_id": np.concatenate(ids), "at": np.concatenate(at)})
+
+    def areas_of(seeds: DataFrame) -> DataFrame:
+        by_doc = seeds.select("doc_id", "at", "gap").repartition(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "at")
+        return by_doc.mapInPandas(areas, f"owner long, areas {ranges}")
+
+    @F.pandas_udf(ranges)
+    def outside(areas: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([uncovered([(x["a"], x["b"]) for x in a], [] if s is None else [(x["start"], x["end"]) for x in s], min_words) for a, s in zip(areas, spans, strict=True)])
+
+    # runs that no passage covers, though each of their seeds occurs earlier; and whichever documents hold their seeds
+    spans = found.groupBy(F.col("doc_id").alias("owner")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    left = areas_of(later).join(spans, "owner", "left").select("owner", outside("areas", "spans").alias("areas")).where(F.size("areas") > 0)
+    left = materialize(left, "passage-left")
+    few = F.broadcast(left) if left.count() <= MAX_BROADCAST else left
+    inside = F.exists("areas", lambda x: (F.col("at") >= x["a"]) & (F.col("at") < x["b"]))
+    wanted = later.join(few, F.col("doc_id") == F.col("owner")).where(inside).select("seed").distinct()
+    held = again.select("seed", "doc_id", "at", "gap").union(later.select("seed", "ref", "ref_at", "ref_gap").distinct()).join(wanted, "seed", "left_semi")
+    holders = materialize(areas_of(held), "passage-areas")
+    many = F.broadcast(holders) if holders.count() <= MAX_BROADCAST else holders
+    run_rows = materialize(rows.join(many, F.col("doc_id") == F.col("owner")).select("doc_id", "text", "areas").mapInPandas(runs, "run long, doc_id long, at int"), "passage-runs")
+    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, ["doc_id"]):
+            yield g.iloc[covering(g["at"].to_numpy(np.int64), min_words)]
+
+    whole = with_first(of_several(run_rows, "run"), "run").join(few, F.col("doc_id") == F.col("owner")).where(F.exists("areas", lambda x: (F.col("at") >= x["a"]) & (F.col("at") + min_words <= x["b"])))
+    whole = whole.select("doc_id", "ref", "at", "ref_at").repartition(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "at", "ref_at")
+    whole = materialize(whole.mapInPandas(cover, "doc_id long, ref long, at int, ref_at int"), "passage-whole")
+    ends = F.explode(F.sequence(F.lit(0), F.lit(max(min_words - K, 0)), F.lit(max(1, min(min_words - K, MAX_GAP // 2))))).alias("more")
+    ends = whole.select("doc_id", "ref", "at", "ref_at", ends).union(whole.select("doc_id", "ref", "at", "ref_at", F.lit(max(min_words - K, 0)))).distinct()
+    whole = ends.select("doc_id", "ref", (F.col("at") + F.col("more")).alias("at"), (F.col("ref_at") + F.col("more")).alias("ref_at"))
+    return found.union(aligned(rows, whole, min_words, identity))
+
+
 _WORD = r"[^\x20\x09-\x0d]+"
 
 

@@ -122,6 +122,33 @@ def test_odd_rows_and_removal(spark):
     assert sd.repeated_passages(empty_documents(spark)).count() == 0 and sd.without_repeats(empty_documents(spark)).count() == 0
 
 
+def test_parts_seen_first_in_other_documents(spark):
+    """Two documents hold 60 words whose parts three earlier documents hold; a third one holds other runs of them twice."""
+    rng = random.Random(6)
+    w = filler(rng, 60)
+    texts = [filler(rng, 30) + w[a:b] + filler(rng, 30) for a, b in [(0, 24), (24, 48), (48, 60), (0, 60), (0, 60)]]
+    texts.append(w[:50] + filler(rng, 9) + w[10:60])
+    found = sd.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start"], r["end"], r["ref_doc_id"], r["ref_start"]) for r in found) == [(4, 30, 90, 3, 30), (5, 0, 50, 3, 30), (5, 59, 109, 3, 40)]
+
+
+def test_areas_and_runs():
+    rng = np.random.default_rng(7)
+    words = rng.integers(0, 1 << 60, 300).astype(np.uint64)
+    for n in (1, 2, 15, 50, 64, 100, 300):
+        h = sd.run_hashes(words, n)
+        assert len(h) == 301 - n and h[-1] == sd.run_hashes(words[-n:], n)[0] and len(np.unique(h)) == len(h)
+    assert len(sd.run_hashes(words, 301)) == 0
+    _, at = sd.minimizers(words)
+    gap = np.diff(at, prepend=at[:1])
+    for a in range(0, 250, 7):  # the seeds of the run alone are shared
+        _, own = sd.minimizers(words[a : a + 50])
+        held = np.isin(at, own + a)
+        areas = sd.shared_areas(at[held], gap[held], 50)
+        assert all(x >= 0 and y - x >= 50 for x, y in areas)
+        assert any(x <= a and y >= a + 50 for x, y in areas) and all(y - x < 90 for x, y in areas)
+
+
 def test_far_chain_does_not_hide_a_near_one(spark):
     """A long shared passage, then one with a word inserted in its middle, in the same two documents."""
     seg = np.array([[0, 300, 0, 300], [500, 530, 500, 530], [531, 560, 530, 559]])
@@ -146,3 +173,13 @@ def test_chains_against_all_pairs():
         best = sd.chains(seg)[0]
         worth = sum(s[1] - s[0] for s in best.tolist()) - sd.GAP_COST * sum(y[0] - x[1] + y[2] - x[3] for x, y in zip(best.tolist(), best.tolist()[1:], strict=False))
         assert abs(worth - score.max()) < 1e-6
+
+
+def test_uncovered():
+    assert sd.shared_areas(np.array([2, 10, 20, 30]), np.array([0, 8, 10, 10]), 50) == []
+    assert sd.uncovered([(0, 60)], [(0, 55)], 50) == [(6, 60)] and sd.uncovered([(10, 80)], [(0, 30), (30, 90)], 50) == []
+    assert sd.uncovered([(10, 80)], [], 50) == [(10, 80)] and sd.uncovered([(10, 140)], [(62, 139)], 50) == [(10, 111), (90, 140)]
+    assert sd.covering(np.array([3, 3, 4, 9, 53, 54, 200]), 50) == [0, 4, 5, 6]
+    for at in (np.arange(5, 300), np.array([0, 60, 61, 150])):
+        words = lambda starts: {w for x in starts.tolist() for w in range(x, x + 50)}
+        assert words(at[sd.covering(at, 50)]) == words(at)
