@@ -48,6 +48,22 @@ def release(*frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes up to which a table is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_small(df: DataFrame, **entries: int) -> DataFrame:
+    """df, with a broadcast hint if it takes at most BROADCAST_BYTES; entries: bytes of an entry of an array or of a byte in a binary column.
+
+    df is counted, so it should be a written table.
+    """
+    size = F.lit(16 * (1 + len(df.columns)))
+    for c, n in entries.items():
+        size = size + n * F.coalesce(F.octet_length(c) if dict(df.dtypes)[c] == "binary" else F.size(c), F.lit(0))
+    whole = df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if whole <= BROADCAST_BYTES else df
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -204,27 +220,31 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 # ---------------------------------------------------------------- groups of sorted rows
 
 
-def groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups, one after another, of batches that are sorted by keys; holds one group and one batch."""
-    held: list[pd.DataFrame] = []
+def groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Whole groups as arrays by column, one after another, of batches sorted by keys; holds one group and one batch."""
+    held: list[dict[str, np.ndarray]] = []
     last: tuple | None = None
+
+    def whole() -> dict[str, np.ndarray]:
+        return held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
     for batch in batches:
         if not len(batch):
             continue
-        columns = [batch[k].to_numpy() for k in keys]
+        columns = {c: batch[c].to_numpy() for c in batch.columns}
         change = np.zeros(len(batch), bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
+        for k in keys:
+            change[1:] |= columns[k][1:] != columns[k][:-1]
         cuts = [0, *np.flatnonzero(change).tolist(), len(batch)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            key = tuple(c[a] for c in columns)
+            key = tuple(columns[k][a] for k in keys)
             if held and key != last:
-                yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+                yield whole()
                 held = []
-            held.append(batch.iloc[a:b])
+            held.append({c: v[a:b] for c, v in columns.items()})
             last = key
     if held:
-        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        yield whole()
     give_back()
 
 

@@ -201,7 +201,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         u: list[int] = []
         v: list[int] = []
         for g in groups(batches, ["key"]):
-            ids, sizes = g["doc_id"].to_numpy(), g["n"].to_numpy(np.int64)
+            ids, sizes = g["doc_id"], g["n"].astype(np.int64)
             points = folded([np.frombuffer(c, np.uint16) for c in g["counts"]])
             if len(ids) == 2:
                 bound = int(np.minimum(points[0], points[1]).sum())
@@ -250,10 +250,10 @@ def verified_links(rows: DataFrame, subtree: DataFrame, k: int, percent: int, ma
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         u, v = [], []
         for g in groups(batches, keys):
-            g = g.sort_values("doc_id", kind="stable")
-            ids = g["doc_id"].to_numpy()
-            left = (g["own"] == g["i"]).to_numpy() if g["i"].iat[0] != g["j"].iat[0] else None
-            for a, b in linked([np.frombuffer(s, np.uint64) for s in g["set"]], percent, left):
+            order = np.argsort(g["doc_id"], kind="stable")
+            ids = g["doc_id"][order]
+            left = (g["own"] == g["i"])[order] if g["i"][0] != g["j"][0] else None
+            for a, b in linked([np.frombuffer(s, np.uint64) for s in g["set"][order]], percent, left):
                 u.append(ids[a])
                 v.append(ids[b])
             if len(u) >= 10_000:

@@ -2,15 +2,18 @@
 
 Seeds are the minimizers of runs of K words. Each occurrence of a seed is joined with the first one in the corpus
 (smallest doc_id, then position), so a passage of many documents gives as many matches as it has occurrences, not
-their square. Per document and first document, runs of matches on a diagonal become segments, and a tree over the ends in
-the first document chains ordered segments with gap costs. The words around the chains are fetched and aligned;
-stretches of at least `min_words` words and `identity` are the result. Where all seeds of a stretch occur earlier,
+their square. The first of a chunk of documents is found where they are read, so that of a frequent seed one row for
+each chunk meets in a task. Per document and earlier document, runs of matches on a diagonal become segments, and
+a tree over the ends in the earlier one chains ordered segments with gap costs. The words around chains of two seeds
+and more are fetched and aligned, if need be along finer seeds among them; stretches of at least `min_words` words and
+`identity` are the result. Where all seeds of a stretch occur earlier,
 whichever documents came first with each, and no passage covers it, every run of `min_words` words in it is hashed and
 joined with its own first occurrence: a document that holds the run whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -19,17 +22,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import NULL_ID, groups, keyed, materialize, mix, partitions, shingle_hashes, word_hashes
+from plumbline.llm import common
+from plumbline.llm.common import NULL_ID, broadcast_small, groups, keyed, materialize, mix, partitions, shingle_hashes, word_hashes
 
 #: Words of a seed, k-mers of which the least is a seed, words of a passage, share of equal words.
-K, SPAN, MIN_WORDS, IDENTITY = 6, 10, 50, 0.8
+K, SPAN, MIN_WORDS, IDENTITY = 5, 8, 50, 0.8
 #: Words that a chain may skip, cost of each, words fetched on each side of a chain.
-MAX_GAP, GAP_COST, MARGIN = 64, 0.04, 32
-#: Chains in one request to a document, and requests up to which their list (under 200 bytes each) is broadcast.
-REQUEST, MAX_BROADCAST = 2000, 200_000
+MAX_GAP, GAP_COST, MARGIN = 64, 0.04, 50
+#: Words of the finer seeds between fetched words, and how often one may occur there.
+FINE, FINE_OFTEN = 2, 4
+#: A seed's place is PLACE * its word + the words since the seed before it (SPAN at most).
+PLACE = 16
+#: Seeds of documents that are read together.
+CHUNK = 1 << 20
+#: Chains in one request to a document.
+REQUEST = 2000
 SCHEMA = "doc_id long, start int, end int, ref_doc_id long, ref_start int, ref_end int, identity double, version long"
 
 
+def _of_runs(h: np.ndarray, n: int, take) -> np.ndarray:
+    """take (minimum or maximum) over each run of n values, by doubling."""
+    m = 1
+    while m < n:
+        step = min(m, n - m)
+        h = take(h[:-step], h[step:])
+        m += step
+    return h
+
+
 def minimizers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and positions of the k-mers that are least in some run of SPAN; of all, where there are fewer."""
     if len(words) < K:
@@ -38,7 +58,10 @@ def minimizers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(h) <= SPAN:
         at = np.array([int(np.argmin(h))])
     else:
-        at = np.unique(np.arange(len(h) - SPAN + 1) + np.argmin(np.lib.stride_tricks.sliding_window_view(h, SPAN), axis=1))
+        # a k-mer is the least of a run that it lies in, if the greatest of these runs' minima is its own hash
+        least = _of_runs(h, SPAN, np.minimum)
+        edge = np.zeros(SPAN - 1, np.uint64)
+        at = np.flatnonzero(_of_runs(np.concatenate([edge, least, edge]), SPAN, np.maximum) == h)
     return h[at], at
 
 
@@ -140,15 +163,16 @@ class Maxima:
 Fenwick = Maxima
 
 
-def segments(p: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Rows (start, end, ref start, ref end) of runs of matches on one diagonal with gaps of at most MAX_GAP."""
+def segments(p: np.ndarray, r: np.ndarray, k: int | None = None) -> np.ndarray:
+    """Rows (start, end, ref start, ref end) of runs of matches of k (K) words on one diagonal with gaps of at most MAX_GAP."""
+    k = k or K
     order = np.lexsort((p, p - r))
     p, r = p[order], r[order]
     new = np.ones(len(p), bool)
     new[1:] = (np.diff(p - r) != 0) | (np.diff(p) > MAX_GAP)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(p)) - 1
-    out = np.column_stack([p[first], p[last] + K, r[first], r[last] + K])
+    out = np.column_stack([p[first], p[last] + k, r[first], r[last] + k])
     return out[np.lexsort((out[:, 2], out[:, 0]))]
 
 
@@ -251,6 +275,27 @@ def align(chain: np.ndarray, x: np.ndarray, x_at: int, y: np.ndarray, y_at: int,
             yield int(p[i]), int(p[j - 1]) + 1, int(r[i]), int(r[j - 1]) + 1, share
 
 
+def finer(x: np.ndarray, x_at: int, y: np.ndarray, y_at: int, least: int) -> Iterator[np.ndarray]:
+    """Chains of at least `least` words along the runs of FINE words that x and y share; none where they share too few words."""
+    if len(np.intersect1d(x, y)) < least // 2 or np.isin(x, y).sum() < least:
+        return
+    hx, hy = (shingle_hashes(w.astype(np.uint64), FINE) for w in (x, y))
+    values, ix = np.unique(hx, return_inverse=True)
+    often = np.bincount(ix)
+    order = np.argsort(hy, kind="stable")
+    low, high = np.searchsorted(hy[order], values), np.searchsorted(hy[order], values, side="right")
+    good = (often <= FINE_OFTEN) & (high - low <= FINE_OFTEN) & (high > low)
+    p = np.flatnonzero(good[ix])
+    n = (high - low)[ix[p]]
+    if not len(p):
+        return
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    r = order[np.repeat(low[ix[p]], n) + place]
+    for c in chains(segments(np.repeat(p, n) + x_at, r + y_at, FINE)):
+        if c[-1, 1] - c[0, 0] >= least // 2:
+            yield c
+
+
 def of_several(found: DataFrame, key: str) -> DataFrame:
     """The rows (key, doc_id, at, ...) whose key several documents hold, with the smallest of these as ref."""
     least = found.groupBy(key).agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("most")).where("ref <> most").drop("most")
@@ -266,20 +311,18 @@ def with_first(shared: DataFrame, key: str) -> DataFrame:
 def aligned(rows: DataFrame, matches: DataFrame, min_words: int, identity: float) -> DataFrame:
     """Passages (SCHEMA) along the chains of matches (doc_id, ref, at, ref_at), each of K words, of rows (doc_id, text)."""
     spark = rows.sparkSession
-    shortest = max(K, min_words - 2 * (K + SPAN - 1))
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         doc, n = None, 0
         for g in groups(batches, ["doc_id", "ref"]):
-            doc_id, ref = int(g["doc_id"].iat[0]), int(g["ref"].iat[0])
+            doc_id, ref = int(g["doc_id"][0]), int(g["ref"][0])
             n = n if doc_id == doc else 0
             doc = doc_id
-            p, r = g["at"].to_numpy(np.int64), g["ref_at"].to_numpy(np.int64)
-            if p[-1] + K - p[0] < shortest:
+            if len(g["at"]) < 2:
                 continue
-            for c in chains(segments(p, r)):
-                if c[-1, 1] - c[0, 0] >= shortest:
+            for c in chains(segments(g["at"].astype(np.int64), g["ref_at"].astype(np.int64))):
+                if len(c) > 1 or c[0, 1] - c[0, 0] > K:
                     out.append((doc_id, n, ref, c.astype("<i4").tobytes(), int(c[0, 0]), int(c[-1, 1]), int(c[0, 2]), int(c[-1, 3])))
                     n += 1
             if len(out) >= 5000:
@@ -309,8 +352,8 @@ def aligned(rows: DataFrame, matches: DataFrame, min_words: int, identity: float
         .agg(F.collect_list(F.struct("doc_id", "n", "side", "from", "to", "segments")).alias("wanted"))
         .drop("part")
     )
-    small = found.count() <= MAX_BROADCAST
-    joined = rows.withColumn("version", F.xxhash64("text")).join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("owner")).select("text", "version", "owner", "wanted")
+    size = found.agg(F.coalesce(F.sum(F.octet_length("segments") + 2 * 80), F.lit(0))).first()[0]
+    joined = rows.withColumn("version", F.xxhash64("text")).join(F.broadcast(wanted) if size <= common.BROADCAST_BYTES else wanted, F.col("doc_id") == F.col("owner")).select("text", "version", "owner", "wanted")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -331,15 +374,21 @@ def aligned(rows: DataFrame, matches: DataFrame, min_words: int, identity: float
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         for g in groups(batches, keys):
-            sides = g.drop_duplicates("side")
-            if len(sides) < 2:
+            # the first of each side: of rows that repeat an id, the least version
+            j = int(np.searchsorted(g["side"], 1))
+            if j in (0, len(g["side"])):
                 continue
-            x, y = (dict(zip(sides.columns, t, strict=True)) for t in sides.itertuples(index=False))
-            c = np.frombuffer(x["segments"], "<i4").reshape(-1, 4).astype(np.int64)
-            wx, wy = np.frombuffer(x["words"], "<u4"), np.frombuffer(y["words"], "<u4")
-            if c[-1, 1] > x["at"] + len(wx) or c[-1, 3] > y["at"] + len(wy):
+            doc_id, version, owner = int(g["doc_id"][0]), int(g["version"][0]), int(g["owner"][j])
+            c = np.frombuffer(g["segments"][0], "<i4").reshape(-1, 4).astype(np.int64)
+            x, y = np.frombuffer(g["words"][0], "<u4"), np.frombuffer(g["words"][j], "<u4")
+            x_at, y_at = int(g["at"][0]), int(g["at"][j])
+            if c[-1, 1] > x_at + len(x) or c[-1, 3] > y_at + len(y):
                 continue  # of another text with the same id
-            out += [(x["doc_id"], a, b, y["owner"], p, q, share, x["version"]) for a, b, p, q, share in align(c, wx, x["at"], wy, y["at"], min_words, identity)]
+            passages = list(align(c, x, x_at, y, y_at, min_words, identity))
+            if not passages:
+                for f in finer(x, x_at, y, y_at, math.ceil(identity * min_words)):
+                    passages += align(f, x, x_at, y, y_at, min_words, identity)
+            out += [(doc_id, a, b, owner, p, q, share, version) for a, b, p, q, share in passages]
             if len(out) >= 5000:
                 yield pd.DataFrame(out, columns=result)
                 out = []
@@ -365,20 +414,48 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = keyed(docs, id_col, text=text_col).where(F.col("doc_id") != NULL_ID)
 
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
-            ids, hashes, at, gap = [], [], [], []
             for doc_id, words in zip(batch["doc_id"], word_hashes(batch["text"]), strict=True):
-                h, p = minimizers(words)
-                ids.append(np.full(len(h), doc_id, np.int64))
-                hashes.append(h)
-                at.append(p)
-                gap.append(np.diff(p, prepend=p[:1]))
-            if ids:
-                yield pd.DataFrame({"seed": np.concatenate(hashes).view(np.int64), "doc_id": np.concatenate(ids), "at": np.concatenate(at).astype(np.int32), "gap": np.concatenate(gap).astype(np.int32)})
-
-    by_seed = Window.partitionBy("seed").orderBy("doc_id", "at", "gap").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    again = rows.mapInPandas(seeds, "seed long, doc_id long, at int, gap int").withColumn("first", F.first(F.struct("doc_id", "at", "gap")).over(by_seed))
-    again = again.where("first.doc_id <> doc_id OR first.at <> at").select("seed", "doc_id", "at", "gap", F.col("first.doc_id").alias("ref"), F.col("first.at").alias("ref_at"), F.col("first.gap").alias("ref_gap"))
+                h, at = minimizers(words)
+                held.append((doc_id, h, at))
+                size += len(h)
+                if size >= CHUNK:
+                    yield from first_of_chunk(held)
+                    held, size = [], 0
+        if held:
+            yield from first_of_chunk(held)
+
+    def first_of_chunk(held: list[tuple]) -> Iterator[pd.DataFrame]:
+        """All seeds, those of documents after the first with the same seed joined with that."""
+        held.sort(key=lambda x: x[0])
+        seed = np.concatenate([h for _, h, _ in held]).view(np.int64)
+        doc = np.repeat(np.array([d for d, _, _ in held], np.int64), [len(h) for _, h, _ in held])
+        place = np.concatenate([at * PLACE + np.diff(at, prepend=at[:1]) for _, _, at in held])
+        order = np.argsort(seed, kind="stable")
+        seed, doc, place = seed[order], doc[order], place[order]
+        new = np.append(True, seed[1:] != seed[:-1])[: len(seed)]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        ref, ref_place = doc[first], place[first]
+        ref_place[ref == doc] = -1
+        for a in range(0, len(seed), 100_000):
+            part = slice(a, a + 100_000)
+            yield pd.DataFrame({"seed": seed[part], "doc_id": doc[part], "place": place[part], "ref": ref[part], "ref_place": ref_place[part]})
+
+    # the firsts of all chunks meet; rows that have a partner in their chunk are dealt evenly, and take over its partner
+    found = F.col("ref_place") >= 0
+    alone = F.when(found, F.xxhash64("doc_id", "place")).otherwise(F.lit(None))
+    by_seed = Window.partitionBy("seed", alone).orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.mapInPandas(seeds, "seed long, doc_id long, place long, ref long, ref_place long").withColumn("first", F.first(F.struct("doc_id", "place")).over(by_seed))
+    met = met.where(found | (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.place") != F.col("place")))
+    met = met.select("seed", "doc_id", "place", F.when(found, F.col("ref")).otherwise(F.col("first.doc_id")).alias("ref"), F.when(found, F.col("ref_place")).otherwise(F.col("first.place")).alias("ref_place"), found.alias("within"))
+    met = materialize(met, "passage-met")
+    over = met.where("NOT within AND ref <> doc_id").select("seed", F.col("doc_id").alias("ref"), F.col("place").alias("ref_place"), F.col("ref").alias("least"), F.col("ref_place").alias("least_place")).distinct()
+    within = met.where("within").join(over, ["seed", "ref", "ref_place"], "left")
+    again = met.where("NOT within").drop("within").union(within.select("seed", "doc_id", "place", F.coalesce("least", "ref"), F.coalesce("least_place", "ref_place")))
+    word, gap = (lambda c: F.shiftright(c, 4).cast("int")), (lambda c: (F.col(c) % PLACE).cast("int"))
+    again = again.select("seed", "doc_id", word("place").alias("at"), gap("place").alias("gap"), "ref", word("ref_place").alias("ref_at"), gap("ref_place").alias("ref_gap"))
     again = materialize(again, "passage-seeds")
     later = again.where("doc_id <> ref")
     found = materialize(aligned(rows, later.select("doc_id", "ref", "at", "ref_at"), min_words, identity), "passages-of-seeds")
@@ -388,8 +465,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def areas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         for g in groups(batches, ["doc_id"]):
-            if found := shared_areas(g["at"].to_numpy(np.int64), g["gap"].to_numpy(np.int64), min_words):
-                out.append((int(g["doc_id"].iat[0]), found))
+            if found := shared_areas(g["at"].astype(np.int64), g["gap"].astype(np.int64), min_words):
+                out.append((int(g["doc_id"][0]), found))
             if len(out) >= 5000:
                 yield pd.DataFrame(out, columns=["owner", "areas"])
                 out = []
@@ -420,16 +497,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spans = found.groupBy(F.col("doc_id").alias("owner")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     left = areas_of(later).join(spans, "owner", "left").select("owner", outside("areas", "spans").alias("areas")).where(F.size("areas") > 0)
     left = materialize(left, "passage-left")
-    few = F.broadcast(left) if left.count() <= MAX_BROADCAST else left
+    few = broadcast_small(left, areas=16)
     inside = F.exists("areas", lambda x: (F.col("at") >= x["a"]) & (F.col("at") < x["b"]))
     wanted = later.join(few, F.col("doc_id") == F.col("owner")).where(inside).select("seed").distinct()
     held = again.select("seed", "doc_id", "at", "gap").union(later.select("seed", "ref", "ref_at", "ref_gap").distinct()).join(wanted, "seed", "left_semi")
     holders = materialize(areas_of(held), "passage-areas")
-    many = F.broadcast(holders) if holders.count() <= MAX_BROADCAST else holders
+    many = broadcast_small(holders, areas=16)
     run_rows = materialize(rows.join(many, F.col("doc_id") == F.col("owner")).select("doc_id", "text", "areas").mapInPandas(runs, "run long, doc_id long, at int"), "passage-runs")
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, ["doc_id"]):
-            yield g.iloc[covering(g["at"].to_numpy(np.int64), min_words)]
+            some = covering(g["at"].astype(np.int64), min_words)
+            yield pd.DataFrame({c: v[some] for c, v in g.items()})
 
     whole = with_first(of_several(run_rows, "run"), "run").join(few, F.col("doc_id") == F.col("owner")).where(F.exists("areas", lambda x: (F.col("at") >= x["a"]) & (F.col("at") + min_words <= x["b"])))
     whole = whole.select("doc_id", "ref", "at", "ref_at").repartition(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "at", "ref_at")
@@ -465,8 +543,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = materialize(repeated_passages(docs, id_col, text_col, **how), "passages")
     spans = found.groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
-    small = found.count() <= MAX_BROADCAST
-    joined = docs.join(F.broadcast(spans) if small else spans, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__version")), "left")
+    spans = broadcast_small(materialize(spans, "passage-spans"), __spans=16)
+    joined = docs.join(spans, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__version")), "left")
 
     @F.pandas_udf("string")
     def shorten(text: pd.Series, spans: pd.Series) -> pd.Series:
