@@ -14,41 +14,61 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import NULL_ID, connected_components, keyed, materialize, mix, partitions, shingle_hashes, unkeyed, word_hashes
 from plumbline.llm.jaccard_join import verified_links
 
-#: Hashes of a signature (16 bits of each are kept), words of a shingle, and words below which shingles are of characters.
-HASHES, WORDS, SHORT, CHARACTERS = 128, 5, 64, 5
+#: Hashes of a signature (16 bits of each are kept), characters of a fingerprint's shingle, words of a near copy's shingle.
+HASHES, CHARACTERS, WORDS = 128, 7, 5
 #: Rows of a band: sets of similarity 0.8 share one of the 25 bands with a probability of 0.99995.
 BAND = 5
 #: Shingles hashed in one go.
-BLOCK = 2048
+BLOCK = 512
 
 _RNG = np.random.Generator(np.random.PCG64(11))
-_A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
+_A = _RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)
+#: Minima of no shingles.
+NONE = np.full(HASHES, 2**32 - 1, np.uint32)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The least value of each of the HASHES functions (a * x + b mod 2^64) over the shingles, 16 upper-middle bits of it."""
-    least = np.full(HASHES, 2**64 - 1, np.uint64)
-    for at in range(0, len(shingles), BLOCK):
-        values = np.multiply.outer(shingles[at : at + BLOCK], _A)
+def minima(shingles: np.ndarray, least: np.ndarray = NONE) -> np.ndarray:
+    """The least value of each of the HASHES functions (a * x + b mod 2^32, of the shingle's upper half) over shingles and `least`."""
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(x), BLOCK):
+        values = np.multiply.outer(x[at : at + BLOCK], _A)
         values += _B
-        np.minimum(least, values.min(axis=0), out=least)
-    return (mix(least) >> np.uint64(48)).astype(np.uint16)
+        least = np.minimum(least, values.min(axis=0))
+    return least
+
+
+def bits(least: np.ndarray) -> np.ndarray:
+    """16 bits of each minimum."""
+    return (mix(least.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    return bits(minima(shingles))
+
+
+def text_shingles(text: str) -> np.ndarray:
+    """Hashes of all runs of CHARACTERS code points (A-Z lower-cased); of a shorter text, of the whole; of none, nothing."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.where((points >= 65) & (points <= 90), points + 32, points).astype(np.uint64)
+    return shingle_hashes(mix(points + np.uint64(1)), CHARACTERS)
+
+
+def _hex(least: np.ndarray, text: str) -> str:
+    return bits(least).astype(">u2").tobytes().hex() if text else ""
 
 
-def text_shingles(texts: list[str]) -> Iterator[np.ndarray]:
-    """Shingles of WORDS words (A-Z lower-cased); of a text below SHORT words, of CHARACTERS characters; of none, nothing."""
-    for text, words in zip(texts, word_hashes(texts), strict=True):
-        if len(words) >= SHORT or not text:
-            yield shingle_hashes(words, WORDS)
-        else:
-            points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            yield shingle_hashes(mix(points + np.uint64(1)), CHARACTERS)
+def fingerprint(text: str) -> str:
+    """The signature in hexadecimal; of an empty text, empty."""
+    return _hex(minima(text_shingles(text)), text)
 
 
-def fingerprint(shingles: np.ndarray) -> str:
-    """The signature in hexadecimal; of no shingles, empty."""
-    return signature(shingles).astype(">u2").tobytes().hex() if len(shingles) else ""
+def edited_pair(text: str, edited: str, kept: int) -> tuple[str, str]:
+    """The fingerprints of two texts whose first `kept` characters are the same: the minima of those are taken once."""
+    a, b = text_shingles(text), text_shingles(edited)
+    both = max(0, kept - CHARACTERS + 1)
+    same = minima(a[:both])
+    return _hex(minima(a[both:], same), text), _hex(minima(b[both:], same), edited)
 
 
 def likeness(a: str, b: str) -> float:
@@ -95,9 +115,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush(ids: list[int], texts: list[str], after: str) -> pd.DataFrame:
             chain = [*texts, after]
-            edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts, chain[1:], strict=True)]
-            prints = [fingerprint(s) for s in text_shingles(chain)]
-            changed = [fingerprint(s) for s in text_shingles(edited)]
+            kept = [len(t) - len(t) // 4 for t in texts]
+            edited = [t[:k] + n[: len(t) - k] for t, n, k in zip(texts, chain[1:], kept, strict=True)]
+            pairs = [edited_pair(t, e, k) for t, e, k in zip(texts, edited, kept, strict=True)]
+            prints, changed = [*[p for p, _ in pairs], fingerprint(after)], [e for _, e in pairs]
             return pd.DataFrame(
                 {
                     "doc_id": ids,

@@ -34,7 +34,7 @@ FINE, FINE_OFTEN = 2, 4
 #: A seed's place is PLACE * its word + the words since the seed before it (SPAN at most).
 PLACE = 16
 #: Seeds of documents that are read together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Chains in one request to a document.
 REQUEST = 2000
 SCHEMA = "doc_id long, start int, end int, ref_doc_id long, ref_start int, ref_end int, identity double, version long"
@@ -298,8 +298,8 @@ def finer(x: np.ndarray, x_at: int, y: np.ndarray, y_at: int, least: int) -> Ite
 
 def of_several(found: DataFrame, key: str) -> DataFrame:
     """The rows (key, doc_id, at, ...) whose key several documents hold, with the smallest of these as ref."""
-    least = found.groupBy(key).agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("most")).where("ref <> most").drop("most")
-    return found.join(least, key)
+    least = materialize(found.groupBy(key).agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("most")).where("ref <> most").drop("most"), "passage-least")
+    return found.join(broadcast_small(least), key)
 
 
 def with_first(shared: DataFrame, key: str) -> DataFrame:
@@ -403,7 +403,7 @@ def aligned(rows: DataFrame, matches: DataFrame, min_words: int, identity: float
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """Passages that repeat one of an earlier document: one row (doc_id, start, end, ref_doc_id, ref_start, ref_end, identity, version).
 
-    Positions count words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased), ends excluded. ref_doc_id is a smaller doc_id that
+    Repeats within one document are none. Positions count words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased), ends excluded. ref_doc_id is a smaller doc_id that
     holds the passage; version is xxhash64 of the document's text. A passage with parts in several earlier documents
     has a row for each. Rows with a null id, null or short texts have no passages; rows that repeat an id are one
     document, and of their different texts the least by version stands. Of min_words >= K + SPAN - 1, every run of
@@ -499,8 +499,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     left = materialize(left, "passage-left")
     few = broadcast_small(left, areas=16)
     inside = F.exists("areas", lambda x: (F.col("at") >= x["a"]) & (F.col("at") < x["b"]))
-    wanted = later.join(few, F.col("doc_id") == F.col("owner")).where(inside).select("seed").distinct()
-    held = again.select("seed", "doc_id", "at", "gap").union(later.select("seed", "ref", "ref_at", "ref_gap").distinct()).join(wanted, "seed", "left_semi")
+    # written before the join, so that the join alone is a stage and a frequent seed can be split
+    wanted = materialize(later.join(few, F.col("doc_id") == F.col("owner")).where(inside).select("seed").distinct(), "passage-wanted")
+    held = again.select("seed", "doc_id", "at", "gap").union(later.select("seed", "ref", "ref_at", "ref_gap").distinct()).join(broadcast_small(wanted), "seed", "left_semi")
     holders = materialize(areas_of(held), "passage-areas")
     many = broadcast_small(holders, areas=16)
     run_rows = materialize(rows.join(many, F.col("doc_id") == F.col("owner")).select("doc_id", "text", "areas").mapInPandas(runs, "run long, doc_id long, at int"), "passage-runs")
