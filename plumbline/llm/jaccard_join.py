@@ -7,10 +7,12 @@ verified on the sets themselves.
 The tree is cut over the cluster at its top. Documents with equal sets are one class, of which one document goes on.
 For a level of sizes at most D elements lie in the symmetric difference of two linked sets, so of D + 1 blocks of
 groups at least one holds the same content in both: a box of the tree that fixes one block. Each class sends one key
-(16 bytes) for each block of its own level and of the next. Where classes share a key, a tree of their count vectors
-tells which of them may link; the connected components of that relation are the subtrees that go to a task each, with
-their sets. A subtree of more than `max_block` classes goes to several tasks, as pairs of blocks. Texts move once, and
-only those that may link.
+(16 bytes) for each block of its own level and of the next; where D is 1, one for the set and one for the set without
+each of its elements. Where up to PRUNED classes share a key, a tree of their count vectors tells which of them
+may link; of more classes all are taken to. The connected components of that relation are the subtrees that go to a
+task each, with their sets. In a subtree of more than `max_block` classes or MAX_BYTES of text every set is first held
+against that of the smallest id, and only the sets that don't link with it are compared with all others, as pairs of
+blocks: a template with small edits costs what it holds, not its square. Only texts that may link move.
 """
 
 from __future__ import annotations
@@ -20,21 +22,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import NULL_ID, connected_components, groups, keyed, materialize, mix, partitions, shingle_hashes, unkeyed, word_hashes
+from plumbline.llm.common import NULL_ID, broadcast_small, connected_components, groups, keyed, materialize, mix, partitions, shingle_hashes, unkeyed, word_hashes
 
 #: Entries of a node; coordinates of a point at least and at most (a power of two, by the set's size).
 FANOUT, LEAST, MOST = 16, 64, 1024
-#: Classes in a block of a split subtree, and rows up to which a list of ids (16 bytes each) is broadcast.
-MAX_BLOCK, MAX_BROADCAST = 3000, 1_000_000
-#: From this many allowed differences on, a level has a quarter as many more blocks and two, so that empty ones need no key.
-SPARE_FROM = 4
+#: Classes and bytes of text in a block of a split subtree.
+MAX_BLOCK, MAX_BYTES = 3000, 32 << 20
+#: Classes that share a key up to which their count vectors are compared.
+PRUNED = 1000
 
 
 def levels(n: int, percent: int) -> list[tuple[int, int, int]]:
-    """(level, blocks, spare blocks) in which a set of n elements looks for sets of its own size and larger or smaller."""
+    """(level, blocks, spare blocks) in which a set of n elements looks for sets of its own size and larger or smaller.
+
+    Blocks are one more than the differences that the level allows and spare ones, so that few sets leave so many
+    empty that two may agree in those only; 0 where it allows one difference.
+    """
     if n <= 0:
         return []
     step = -math.log(percent / 100) if percent < 100 else 1e-6
@@ -43,9 +49,9 @@ def levels(n: int, percent: int) -> list[tuple[int, int, int]]:
     for level in (own, own + 1):
         largest = math.ceil(math.exp((level + 1) * step)) + 1
         differ = (100 - percent) * 2 * largest // (100 + percent)
-        spare = differ // 4 + 2 if differ >= SPARE_FROM else 0
+        spare = differ // 4 + 2
         if differ:
-            out.append((level, differ + 1 + spare, spare))
+            out.append((level, differ + 1 + spare, spare) if differ > 1 else (level, 0, 0))
     return out
 
 
@@ -53,6 +59,11 @@ def block_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     """The keys of a set: hashes of the content of its blocks, on its two levels. shingles: distinct."""
     keys = []
     for level, blocks, spare in levels(len(shingles), percent):
+        if not blocks:  # sets that differ in one element: one is the other without it
+            content = mix(shingles + np.uint64(0x51ED270B))
+            whole = content.sum(dtype=np.uint64)
+            keys.append(mix(np.append(whole, whole - content) + mix(np.uint64(level) << np.uint64(32) | np.uint64(7))))
+            continue
         block = (mix(shingles ^ np.uint64(level * 2 + 1)) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         present, first = np.unique(block[order], return_index=True)
@@ -189,12 +200,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = materialize(classes.drop("copies"), "jaccard-classes")
     # the keys, most of what is held here, move once: of further copies only the ids go round, as long as they are few
     gone = materialize(usable.select("doc_id", "n", "h1", "h2").join(copies, ["n", "h1", "h2"]).where("doc_id <> class").select("doc_id", "h1", "h2").distinct(), "jaccard-copies")
-    alone = usable.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone, ["doc_id", "h1", "h2"], "left_anti")
+    alone = usable.join(broadcast_small(gone), ["doc_id", "h1", "h2"], "left_anti")
     exploded = alone.select(F.col("doc_id").alias("v"), F.explode("keys").alias("key"))
-    first = F.min("v").over(Window.partitionBy("key").orderBy("v"))
-    meeting = materialize(exploded.withColumn("u", first).where("u <> v"), "jaccard-keys")
-    members = meeting.select("key", F.col("v").alias("doc_id")).union(meeting.select("key", F.col("u").alias("doc_id"))).distinct()
-    vectors = alone.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "counts")
+    # written before the join, so that the join alone is a stage and a frequent key can be split
+    firsts = materialize(exploded.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("most"), F.count(F.lit(1)).alias("members")).where("u <> most").drop("most"), "jaccard-firsts")
+    meeting = materialize(exploded.join(firsts, "key"), "jaccard-keys")
+    pruned = F.col("members") <= min(max_block, PRUNED)
+    members = meeting.where(pruned).select("key", F.col("v").alias("doc_id")).distinct()
+    many = meeting.where(~pruned & (F.col("u") != F.col("v"))).select("u", "v")
+    vectors = alone.join(broadcast_small(materialize(members.select("doc_id").distinct(), "jaccard-members")), "doc_id", "left_semi").select("doc_id", "n", "counts")
     shared = members.join(vectors, "doc_id").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "doc_id")
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,7 +229,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 u, v = [], []
         yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)}).drop_duplicates()
 
-    near = shared.mapInPandas(prune, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    near = shared.mapInPandas(prune, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(many).distinct()
     subtree = materialize(connected_components(near, "jaccard-near"), "jaccard-subtrees")
     links = verified_links(rows, subtree, k, percent, max_block)
     found = connected_components(links, "jaccard-links")
@@ -230,38 +244,86 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def verified_links(rows: DataFrame, subtree: DataFrame, k: int, percent: int, max_block: int = MAX_BLOCK) -> DataFrame:
-    """Verified links (u, v) that span the components of each subtree (node, component) of rows (doc_id, text)."""
-    sizes = subtree.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / max_block).cast("int"))
-    wanted = subtree.join(sizes.where("blocks > 1"), "component", "left").select(F.col("node").alias("doc_id"), "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    small = subtree.count() <= MAX_BROADCAST
-    chosen = rows.where(F.col("doc_id") != NULL_ID).join(F.broadcast(wanted) if small else wanted, "doc_id")
+    """Verified links (u, v) that span the components of each subtree (node, component) of rows (doc_id, text).
+
+    subtree: a written table; component: its smallest node. Rows that repeat an id are sets of their own.
+    """
+    spark = rows.sparkSession
+    keys = ["component", "i", "j"]
+    nodes = broadcast_small(subtree)
+    nodes = nodes.withColumnRenamed("node", "doc_id")
+    rows = rows.where(F.col("doc_id") != NULL_ID)
+    sizes = rows.select("doc_id", F.octet_length("text").alias("bytes")).join(nodes, "doc_id").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("size") / max_block, F.col("bytes") / MAX_BYTES)).cast("int")
+    large = materialize(sizes.withColumn("blocks", blocks).where("blocks > 1").select("component", "blocks", "size"), "jaccard-large")
+    wanted = rows.join(nodes, "doc_id").join(broadcast_small(large), "component", "left").select("doc_id", "text", "component", "size", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j")))
-    plan = chosen.withColumn("own", own).select("doc_id", "text", "component", "own", pairs.alias("pairs"))
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch["set"] = [s.tobytes() for s in shingle_sets(batch["text"], k)]
-            yield batch[["doc_id", "component", "own", "pairs", "set"]]
+            yield batch.drop(columns="text")
 
-    flat = plan.mapInPandas(to_sets, "doc_id long, component long, own int, pairs array<struct<i:int,j:int>>, set binary").select("doc_id", "component", "own", "set", F.explode("pairs").alias("p")).select("doc_id", "component", "own", "set", "p.i", "p.j")
-    keys = ["component", "i", "j"]
+    def dealt(plan: DataFrame) -> DataFrame:
+        """(doc_id, component, left, set, i, j) of rows with tasks array<struct<i, j, left>>, the rows of a task together."""
+        flat = plan.mapInPandas(to_sets, "doc_id long, component long, tasks array<struct<i:int,j:int,left:boolean>>, set binary")
+        flat = flat.select("doc_id", "component", "set", F.explode("tasks").alias("t")).select("doc_id", "component", "set", "t.i", "t.j", "t.left")
+        return flat.repartition(partitions(spark), *keys)
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         u, v = [], []
         for g in groups(batches, keys):
-            order = np.argsort(g["doc_id"], kind="stable")
-            ids = g["doc_id"][order]
-            left = (g["own"] == g["i"])[order] if g["i"][0] != g["j"][0] else None
-            for a, b in linked([np.frombuffer(s, np.uint64) for s in g["set"][order]], percent, left):
-                u.append(ids[a])
-                v.append(ids[b])
+            left = g["left"].astype(bool)
+            if not left.any():
+                continue
+            left = None if left.all() else left
+            for a, b in linked([np.frombuffer(s, np.uint64) for s in g["set"]], percent, left):
+                u.append(min(g["doc_id"][a], g["doc_id"][b]))
+                v.append(max(g["doc_id"][a], g["doc_id"][b]))
             if len(u) >= 10_000:
                 yield pd.DataFrame({"u": u, "v": v})
                 u, v = [], []
         yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
-    return flat.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(join, "u long, v long")
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each row of a block beside the block's copy of the smallest id's set, which comes first."""
+        task, first, size = None, np.empty(0, np.uint64), 0
+        for batch in batches:
+            links = []
+            for doc_id, component, i, raw in zip(batch["doc_id"], batch["component"], batch["i"], batch["set"], strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                if (component, i) != task:
+                    task, first, size = (component, i), s, len(s)
+                common = len(np.intersect1d(first, s, assume_unique=True))
+                links.append(100 * common >= percent * (size + len(s) - common))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "component": batch["component"], "near": links})
+
+    def task(i, j, left):
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), left.alias("left"))
+
+    yes, no = F.lit(True), F.lit(False)
+    zero = F.lit(0)
+    small = wanted.where("blocks = 1").select("doc_id", "text", "component", F.array(task(zero, zero, yes)).alias("tasks"))
+    links = dealt(small).sortWithinPartitions(*keys, "doc_id").mapInPandas(compare, "u long, v long")
+    if large.isEmpty():
+        return links
+    of_large = wanted.where("blocks > 1")
+    every = F.sequence(zero, F.col("blocks") - 1)
+    here = F.when(F.col("doc_id") == F.col("component"), F.transform(every, lambda b: task(b, zero, yes))).otherwise(F.array(task(own, zero, no)))
+    held = dealt(of_large.select("doc_id", "text", "component", here.alias("tasks"))).sortWithinPartitions(*keys, F.col("left").desc(), "set")
+    held = materialize(held.mapInPandas(hold, "doc_id long, component long, near boolean"), "jaccard-held")
+    links = links.union(held.where("near AND doc_id <> component").select(F.col("component").alias("u"), F.col("doc_id").alias("v")))
+    apart = materialize(held.where("NOT near").select("doc_id", "component").distinct(), "jaccard-apart")
+    if apart.isEmpty():
+        return links
+    apart_sizes = broadcast_small(materialize(apart.groupBy("component").agg(F.count(F.lit(1)).alias("n_apart")), "jaccard-apart-sizes"))
+    rest = of_large.join(apart_sizes, "component").join(broadcast_small(apart.withColumn("apart", yes)), ["component", "doc_id"], "left")
+    parts = F.ceil(F.col("blocks") * F.col("n_apart") / F.col("size")).cast("int")
+    mine = F.pmod(F.xxhash64("doc_id", F.lit(1)), parts).cast("int")
+    as_right = F.transform(F.sequence(zero, parts - 1), lambda p: task(p, own, no))
+    as_left = F.when(F.col("apart"), F.transform(every, lambda b: task(mine, b, yes))).otherwise(F.array().cast("array<struct<i:int,j:int,left:boolean>>"))
+    plan = rest.select("doc_id", "text", "component", F.concat(as_left, as_right).alias("tasks"))
+    return links.union(dealt(plan).sortWithinPartitions(*keys, "doc_id").mapInPandas(compare, "u long, v long"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -270,5 +332,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id or without words all stay; of rows that repeat an id, all or none.
     """
     found = jaccard_components(docs, id_col, text_col, k, percent)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = broadcast_small(materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone"))
+    return docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import NULL_ID, keyed, materialize, partitions, unkeyed
+from plumbline.llm.common import NULL_ID, broadcast_small, keyed, materialize, partitions, unkeyed
 from plumbline.llm.token_files import file_system
 
 INDEX = "doc_id long, file string, offset long, length long, url string, digest string, record_type string"
@@ -27,8 +27,6 @@ INDEX = "doc_id long, file string, offset long, length long, url string, digest
 DATE, END = "2024-01-01T00:00:00Z", b"\r\n\r\n"
 #: Ranges with at most this gap are joined, up to ranges of so many bytes.
 GAP, LARGEST = 64 << 10, 8 << 20
-#: Revisits (about 100 bytes each) up to which their list is broadcast.
-MAX_BROADCAST = 500_000
 
 
 def digest_of(payload: bytes) -> str:
@@ -98,9 +96,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     # of rows that repeat an id with other payloads, each has its own targets: chosen by the digest in the task
     revisits = revisits.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "target"))).alias("targets"))
     revisits = materialize(revisits, "warc-revisits")
-    small = revisits.count() <= MAX_BROADCAST  # a join by shuffle would move the pages a second time
     bounds = partitions(spark)
-    ordered = rows.join(F.broadcast(revisits) if small else revisits, "doc_id", "left").withColumn("targets", F.to_json("targets")).repartitionByRange(bounds, "doc_id").sortWithinPartitions("doc_id")
+    ordered = rows.join(broadcast_small(revisits, targets=48), "doc_id", "left").withColumn("targets", F.to_json("targets")).repartitionByRange(bounds, "doc_id").sortWithinPartitions("doc_id")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm import jaccard_join, queries
+from plumbline.llm import common, jaccard_join, queries
 from plumbline.llm.common import connected_components, find, word_hashes
 from tests.llm.cases import empty_documents, odd_documents
 
@@ -67,6 +67,20 @@ def test_split_subtrees(spark, copies):
     assert result(jaccard_join.jaccard_components(docs, max_block=2)) == brute(copies)
 
 
+@pytest.mark.parametrize("unlike", [0, 3])
+def test_template_with_small_edits(spark, unlike, monkeypatch):
+    """A group of near copies in many blocks; some of them link with the first through others only. Nothing is broadcast."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rng = random.Random(unlike)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(edited(base, 1, rng))) for i in range(40)]
+    for n in range(unlike):
+        base = edited(base, 3, rng)
+        rows += [(40 + 10 * n + i, " ".join(edited(base, 1, rng))) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(jaccard_join.jaccard_components(docs, max_block=7)) == brute(rows)
+
+
 def test_query(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert result(queries.op4_jaccard_join(spark, sf)) == brute(rows)
