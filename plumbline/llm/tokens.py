@@ -8,16 +8,20 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from plumbline.llm.common import give_back
 
 #: White space besides space, tab, line feed and carriage return: such texts are encoded as they are.
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -​    　﻿]")
+#: Marks that are cut from the end of a word; each is a word's own where no letter follows.
+_MARKS = ".,!?;:"
 #: Chunks kept in a worker, about 150 bytes each, and the longest that is kept.
-KEPT, LONGEST = 700_000, 200
+KEPT, LONGEST = 400_000, 200
 #: Characters of texts encoded at a time, words of letters encoded as one text, and words whose results (many times
 #: the ids kept of them) the tokenizer holds at once.
-CHUNK, GROUP, AT_ONCE = 1 << 20, 500, 20_000
+CHUNK, GROUP, AT_ONCE = 1 << 21, 500, 20_000
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -72,28 +76,6 @@ class Encoder:
             else:  # a letter whose lower case is no letter alone
                 self.kept.update(zip(part, self._whole(part), strict=True))
 
-    def _keep(self, missing: Iterable[str]) -> None:
-        """Keep the ids of chunks. Marks after a letter begin a word of their own, and ASCII case makes no difference."""
-        kept, words, others, made = self.kept, set(), set(), []
-        for c in missing:
-            word = c.rstrip(".,!?;:")
-            tail = c[len(word) :]
-            if not word.isalpha():
-                others.add(c)
-                continue
-            if word.isascii():
-                word = word.lower()
-            if word not in kept:
-                words.add(word)
-            if tail and tail not in kept:
-                others.add(tail)
-            made.append((c, word, tail))
-        self._words(list(words))
-        others = list(others)
-        kept.update(zip(others, self._whole(others), strict=True))
-        for c, word, tail in made:
-            kept[c] = kept[word] + kept[tail] if tail else kept[word]
-
     def __call__(self, texts: Iterable[object], end: int | None = None) -> Iterator[np.ndarray]:
         """uint32 ids of each text, then `end` where given; null is empty. About CHUNK characters are held at a time."""
         last = b"" if end is None else np.uint32(end).tobytes()
@@ -107,25 +89,61 @@ class Encoder:
         yield from self._encode(held, last)
 
     def _encode(self, texts: list[str], last: bytes) -> Iterator[np.ndarray]:
-        split = [text.split() if self.by_chunk and not _ODD_SPACE.search(text) else None for text in texts]
-        distinct: set[str] = set().union(*[s for s in split if s])
-        missing = distinct.difference(self.kept)
+        end = np.frombuffer(last, np.uint32)
+        split = [self.by_chunk and not _ODD_SPACE.search(text) for text in texts]
+        plain = iter(self._by_words([text for text, s in zip(texts, split, strict=True) if s]))
+        for text, s in zip(texts, split, strict=True):
+            yield np.concatenate([next(plain) if s else np.frombuffer(self._whole([text])[0], np.uint32), end])
+
+    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts, looked up once for each distinct word of them all."""
+        if not texts:
+            return []
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary
+        # marks after a word of letters are a word of their own, and ASCII case makes no difference
+        bare = pc.utf8_rtrim(chunks, characters=_MARKS)
+        letters = pc.utf8_is_alpha(bare)
+        word = pc.if_else(letters, pc.if_else(pc.string_is_ascii(bare), pc.ascii_lower(bare), bare), chunks)
+        tailed = np.flatnonzero(pc.and_(letters, pc.not_equal(pc.binary_length(chunks), pc.binary_length(bare))).to_numpy(zero_copy_only=False))
+        tail = pc.struct_field(pc.extract_regex(chunks.take(pa.array(tailed)), f"(?P<tail>[{_MARKS}]+)$"), "tail").cast(chunks.type)
+        pieces = pa.concat_arrays([word, tail, pa.array([""], chunks.type)]).dictionary_encode()
+        piece = pieces.indices.to_numpy()
+        parts = self._ids(pieces.dictionary)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        pool, starts = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(sizes) - sizes
+        both = np.full((len(chunks), 2), piece[-1])  # word and marks of each distinct chunk
+        both[:, 0] = piece[: len(chunks)]
+        both[tailed, 1] = piece[len(chunks) : -1]
+        at = both[coded.indices.to_numpy()].ravel()
+        n = sizes[at]
+        edges = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(starts[at] - edges[:-1], n) + np.arange(edges[-1])]
+        cuts = edges[2 * lists.offsets.to_numpy()].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _ids(self, pieces: pa.Array) -> list[bytes]:
+        """The ids of each distinct piece, kept for its next use; of an empty one, none."""
+        words, letters = pieces.to_numpy(zero_copy_only=False).tolist(), pc.utf8_is_alpha(pieces).to_numpy(zero_copy_only=False).tolist()
+        missing = [(w, a) for w, a in zip(words, letters, strict=True) if w not in self.kept]
         if len(self.kept) + len(missing) > self.most:
             self.kept = dict(itertools.islice(self.kept.items(), self.most // 2))  # words met first are the frequent ones
             give_back()
-            missing = distinct.difference(self.kept)
-        self._keep(missing)
-        look = self.kept.__getitem__
-        for text, chunks in zip(texts, split, strict=True):
-            ids = b"".join(map(look, chunks)) if chunks is not None else self._whole([text])[0]
-            yield np.frombuffer(ids + last, np.uint32)
-        for c in missing:
-            if len(c) > LONGEST:
-                self.kept.pop(c, None)
+            missing = [(w, a) for w, a in zip(words, letters, strict=True) if w not in self.kept]
+        self._words([w for w, a in missing if a])
+        others = [w for w, a in missing if not a]
+        self.kept.update(zip(others, self._whole(others), strict=True))
+        out = [self.kept[w] for w in words]
+        for w, _ in missing:
+            if len(w) > LONGEST:
+                self.kept.pop(w, None)
+        return out
 
 
 def _word_end(path: str) -> str | None:
-    """The suffix that ends each word, where the file's rules drop the white space between words; else nothing."""
+    """The suffix that ends each word, where the file's rules drop the white space between words and the case of letters,
+    and take marks as words of their own; else nothing."""
     import json
 
     with open(path, encoding="utf-8") as f:
@@ -135,4 +153,5 @@ def _word_end(path: str) -> str | None:
     pattern = (first.get("pattern") or {}).get("Regex", "")
     normal = [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers", [])]
     drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and "[^\\s" in pattern and not re.search(r"(?<!\^)\\s|\\S| \?", pattern)
-    return rules["model"].get("end_of_word_suffix") if drops and set(normal) <= {"NFC", "Replace", "Lowercase"} else None
+    alike = {"Lowercase"} <= set(normal) <= {"NFC", "Replace", "Lowercase"} and "[^\\s\\p{L}\\p{N}]+" in pattern
+    return rules["model"].get("end_of_word_suffix") if drops and alike else None
