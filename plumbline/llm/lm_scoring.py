@@ -1,9 +1,10 @@
 """LM scoring: masked pseudo-likelihood of a bidirectional window network that is trained in numpy.
 
 The network predicts every token from the SIDE tokens before and after it: h = tanh(sum of their embeddings + b); a
-token's number is SIDE_CLASS * class + place, and its log-probability log P(class | h) + log P(place | h, class), both
+token's number is PLACES * class + place, and its log-probability log P(class | h) + log P(place | h, class), both
 softmaxes. A document's score is the sum over its tokens. Words are the most frequent ones of the whole corpus, the
-others share hashed buckets. Every document trains: partitions train copies of the network, which are averaged by
+others share hashed buckets, to whose probability comes that of the word's cell in its bucket: its share of the
+bucket's tokens in the whole corpus, over as many cells as the corpus has words (MOST_CELLS at most). Every document trains: partitions train copies of the network, which are averaged by
 tokens in two rounds, a quarter of the documents first and the others from that average on.
 """
 
@@ -17,12 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import keyed, unkeyed, word_hashes
+from plumbline.llm.common import keyed, materialize, release, unkeyed, word_hashes
 
 #: Classes and places in a class; numbers of them all, of which the last BUCKETS are hashed; embedding width; tokens each side.
 CLASSES, PLACES, BUCKETS, WIDTH, SIDE = 32, 32, 128, 16, 2
 VOCABULARY = CLASSES * PLACES
 PAD = VOCABULARY
+#: Cells of words without a number of their own, at most: 16 MB; with more words, some share a cell.
+MOST_CELLS = 1 << 22
 #: Tokens of a training step, step size, tokens scored at a time, values in a row of a written network.
 STEP, RATE, SCORED, ROW = 4096, 0.15, 65_536, 4096
 _SHAPES = {"e": (2 * SIDE, VOCABULARY + 1, WIDTH), "b": (WIDTH,), "w1": (WIDTH, CLASSES), "b1": (CLASSES,), "w2": (CLASSES, WIDTH, PLACES), "b2": (CLASSES, PLACES)}
@@ -145,10 +148,10 @@ def train(net: dict[str, np.ndarray], streams: Iterator[np.ndarray]) -> int:
 
 
 class Scorer:
-    """The network and its words; what the scoring tasks need (under 1 MB)."""
+    """The network and its words (under 1 MB), and the log-probabilities of cells in their buckets (4 bytes each)."""
 
-    def __init__(self, values: np.ndarray, hashes: np.ndarray):
-        self.values = values
+    def __init__(self, values: np.ndarray, hashes: np.ndarray, cells: np.ndarray | None = None):
+        self.values, self.cells = values, np.zeros(BUCKETS, np.float32) if cells is None else cells
         order = np.argsort(hashes)
         self.hashes, self.number = hashes[order], order.astype(np.int32)
 
@@ -157,6 +160,13 @@ class Scorer:
             yield numbers(words, self.hashes, self.number)
 
 
+def cell_sums(texts, hashes: np.ndarray, number: np.ndarray, cells: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+    """Numbers of each text's tokens, and the sum of the log-probabilities of its words' cells in their buckets."""
+    for words in word_hashes(texts, punctuation=False):
+        n = numbers(words, hashes, number)
+        yield n, float(cells[(words[n >= VOCABULARY - BUCKETS] % np.uint64(len(cells))).astype(np.int64)].sum(dtype=np.float64))
+
+
 def _chunks(docs: Iterator[np.ndarray], size: int) -> Iterator[list[np.ndarray]]:
     held, n = [], 0
     for d in docs:
@@ -169,28 +179,52 @@ def _chunks(docs: Iterator[np.ndarray], size: int) -> Iterator[list[np.ndarray]]
         yield held
 
 
-def frequent_words(rows: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words of all rows (doc_id, text), most frequent first; ties by hash."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, n): hash and number of occurrences of every word of all rows (doc_id, text)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for held in _chunks((w for batch in batches for w in word_hashes(batch["text"], punctuation=False)), 4_000_000):
             hashes, n = np.unique(np.concatenate(held), return_counts=True)
             yield pd.DataFrame({"word": hashes.view(np.int64), "n": n})
 
-    counts = rows.mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame) -> np.ndarray:
+    """Hashes of the most frequent words, most frequent first; ties by hash."""
     top = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY - BUCKETS).collect()
     return np.array([r["word"] for r in top], np.int64).view(np.uint64)
 
 
+def cell_shares(counts: DataFrame, frequent: np.ndarray, most: int = MOST_CELLS) -> np.ndarray:
+    """Log-probability of each cell (hash of a word mod the number of cells) in its bucket, one occurrence added to each.
+
+    There are as many cells as words, rounded up to a power of two of BUCKETS at least and `most` at most. A word
+    that the corpus doesn't hold has the share of its cell, which is that of no occurrence where the cell is empty.
+    """
+    spark = counts.sparkSession
+    n = max(BUCKETS, min(most, 1 << max(0, counts.count() - 1).bit_length()))
+    known = spark.createDataFrame([(int(w),) for w in frequent.view(np.int64)], "word long")
+    cell = F.col("word").bitwiseAND(n - 1).cast("int").alias("cell")
+    found = counts.join(F.broadcast(known), "word", "left_anti").groupBy(cell).agg(F.sum("n").alias("n")).toArrow()
+    seen = np.ones(n)
+    seen[found["cell"].to_numpy()] += found["n"].to_numpy()
+    bucket = seen.reshape(-1, BUCKETS).sum(axis=0)
+    return (np.log(seen) - np.log(np.tile(bucket, n // BUCKETS))).astype(np.float32)
+
+
 def train_round(rows: DataFrame, scorer: Scorer) -> np.ndarray:
     """The average, by tokens, of the networks that partitions have trained from scorer's on; scorer's own of no tokens.
 
     Written networks are summed in two steps, 64 partitions at a time, each row of the network on its own.
     """
 
+    start = Scorer(scorer.values, np.empty(0, np.uint64))  # without the cells
+    start.hashes, start.number = scorer.hashes, scorer.number
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = shaped(scorer.values)
-        seen = train(net, (stream(held) for held in _chunks((d for batch in batches for d in scorer.tokens(batch["text"])), SCORED)))
+        net = shaped(start.values)
+        seen = train(net, (stream(held) for held in _chunks((d for batch in batches for d in start.tokens(batch["text"])), SCORED)))
         if seen:
             values = flat(net).astype(np.float64) * seen
             part = TaskContext.get().partitionId() // 64
@@ -211,7 +245,10 @@ def train_round(rows: DataFrame, scorer: Scorer) -> np.ndarray:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """A scorer trained on all rows; null texts are empty, and of an empty table it is untrained."""
     rows = keyed(docs, id_col, text=text_col)
-    scorer = Scorer(flat(fresh()), frequent_words(rows))
+    counts = materialize(word_counts(rows), "word-counts")
+    frequent = frequent_words(counts)
+    scorer = Scorer(flat(fresh()), frequent, cell_shares(counts, frequent))
+    release(counts)
     first = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     for part in (first, ~first):
         scorer.values = train_round(rows.where(part), scorer)
@@ -223,12 +260,20 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
 
     Texts without words have 0 tokens, a sum of 0 and no mean; null and repeated ids are scored like any.
     """
+    held_cells = docs.sparkSession.sparkContext.broadcast(scorer.cells)
+    values, hashes, number = scorer.values, scorer.hashes, scorer.number
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = shaped(scorer.values)
+        net = shaped(values)
         for batch in batches:
-            n, total = [], []
-            for held in _chunks(scorer.tokens(batch["text"]), SCORED):
+            n, total, cells = [], [], []
+
+            def tokens(texts, cells=cells):
+                for d, more in cell_sums(texts, hashes, number, held_cells.value):
+                    cells.append(more)
+                    yield d
+
+            for held in _chunks(tokens(batch["text"]), SCORED):
                 t = stream(held)
                 at = np.flatnonzero(t != PAD)
                 logp = np.concatenate([log_probabilities(net, t, at[a : a + SCORED]) for a in range(0, len(at), SCORED)] or [np.empty(0)]).astype(np.float64)
@@ -236,7 +281,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
                 sums = np.concatenate([[0], np.cumsum(logp)])
                 n += np.diff(edges).tolist()
                 total += (sums[edges[1:]] - sums[edges[:-1]]).tolist()
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "pseudo_log_likelihood": total})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "pseudo_log_likelihood": np.array(total) + np.array(cells)})
 
     out = keyed(docs, id_col, text=text_col).mapInPandas(run, "doc_id long, n_tokens long, pseudo_log_likelihood double")
     return unkeyed(out).withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens")))

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from plumbline.llm import lm_scoring as lm
@@ -47,17 +49,46 @@ def test_learns_both_sides(spark):
     assert np.mean(list(a.values())) > np.mean(list(b.values())) + 1 and np.mean(list(a.values())) > -4
 
 
-def test_sums_are_of_single_texts(spark, sf):
+def plain_score(net, words, own, counts, n_cells):
+    """The score of one text, a token at a time, without sorting by class."""
+    number = [own.get(w, lm.VOCABULARY - lm.BUCKETS + w % lm.BUCKETS) for w in words]
+    padded = [lm.PAD] * lm.SIDE + number + [lm.PAD] * lm.SIDE
+    total = 0.0
+    for i, (w, x) in enumerate(zip(words, number, strict=True)):
+        around = padded[i : i + lm.SIDE] + padded[i + lm.SIDE + 1 : i + 2 * lm.SIDE + 1]
+        h = np.tanh(net["b"] + sum(net["e"][j][y] for j, y in enumerate(around)))
+        c, p = divmod(x, lm.PLACES)
+        for logits, at in ((h @ net["w1"] + net["b1"], c), (h @ net["w2"][c] + net["b2"][c], p)):
+            total += logits[at] - np.log(np.exp(logits).sum())
+        if w not in own:
+            cell, bucket = w % n_cells, w % lm.BUCKETS
+            others = [n for v, n in counts.items() if v not in own and v % lm.BUCKETS == bucket]
+            total += np.log(1 + sum(n for v, n in counts.items() if v not in own and v % n_cells == cell)) - np.log(sum(others) + n_cells // lm.BUCKETS)
+    return total
+
+
+def test_against_plain_scores(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     scorer = lm.fit(docs)
     net = lm.shaped(scorer.values)
     got = {r["doc_id"]: r for r in lm.score(docs, scorer).collect()}
-    assert len(got) == docs.count()
-    for r in docs.limit(20).collect():
-        t = lm.stream(list(scorer.tokens([r["text"]])))
-        logp = lm.log_probabilities(net, t, np.flatnonzero(t != lm.PAD)).astype(float)
-        assert abs(got[r["doc_id"]]["pseudo_log_likelihood"] - logp.sum()) < 1e-2 * max(1, len(logp)) ** 0.5
-    assert np.mean([r["per_token"] for r in got.values() if r["n_tokens"]]) > -np.log(lm.VOCABULARY)
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    words = {r["doc_id"]: w.tolist() for r, w in zip(rows, lm.word_hashes([r["text"] for r in rows], punctuation=False), strict=True)}
+    counts = Counter(w for d in words.values() for w in d)
+    own = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], np.uint64(x[0]).view(np.int64)))[: lm.VOCABULARY - lm.BUCKETS])}
+    n_cells = 1 << (len(counts) - 1).bit_length()
+    assert len(scorer.cells) == n_cells and abs(np.exp(scorer.cells.astype(float)).sum() - lm.BUCKETS) < 1e-2
+    for d in sorted(words, key=lambda d: len(words[d]))[::20][:12]:
+        assert abs(got[d]["pseudo_log_likelihood"] - plain_score(net, words[d], own, counts, n_cells)) < 1e-3 * max(1, len(words[d])), d
+
+
+def test_cells_grow_with_the_corpus(spark):
+    counts = spark.createDataFrame([(int(w), 1 + w % 3) for w in range(1000)], "word long, n long")
+    few, many = (lm.cell_shares(counts, np.arange(5).astype(np.uint64), most) for most in (256, 1 << 22))
+    assert len(few) == 256 and len(many) == 1024
+    for c in (few, many):
+        assert np.allclose(np.exp(c.astype(float)).reshape(-1, lm.BUCKETS).sum(axis=0), 1)
 
 
 def test_odd_rows(spark):
