@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import keyed, pick, shingle_hashes, unkeyed, word_hashes
+from plumbline.llm.common import broadcast_small, keyed, materialize, pick, shingle_hashes, unkeyed, word_hashes
 
 #: Tokens of the shortest tile, share of an item's tokens at which a document is contaminated.
 SEED, COVERAGE = 5, 0.6
+#: Pairs of equal windows that are looked at together.
+PAIRS = 1 << 20
 #: Bytes of items in a broadcast block; more items make more blocks.
 BLOCK_BYTES = 8 << 20
 SCHEMA = "doc_id long, item_id long, coverage double, item_tokens int, tiles array<struct<item_start:int,doc_start:int,length:int>>"
@@ -45,6 +47,23 @@ def _prefix(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return prefix, power
 
 
+def _starts(item, doc, free_i, free_d, at_i, h_i, at_d, h_d) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of equal windows that no free equal tokens precede: one for each run of matches on a diagonal."""
+    order = np.argsort(h_i, kind="stable")
+    low, high = (np.searchsorted(h_i[order], h_d, side=side) for side in ("left", "right"))
+    n = high - low
+    edges = np.concatenate([[0], np.cumsum(n)])
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + PAIRS, side="right")) - 1)
+        part = n[a:b]
+        place = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
+        i, j = at_i[order[np.repeat(low[a:b], part) + place]], np.repeat(at_d[a:b], part)
+        inner = (i > 0) & (j > 0) & free_i[i - 1] & free_d[j - 1] & (item[i - 1] == doc[j - 1])
+        yield from zip(i[~inner].tolist(), j[~inner].tolist(), strict=True)
+        a = b
+
+
 def tiling(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling (Wise, 1993): (start in item, start in doc, length) of the tiles of at least `least` tokens."""
     with np.errstate(over="ignore"):
@@ -55,18 +74,14 @@ def tiling(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int
         while s >= least:
             at_i, h_i = _windows(p_item, power_i, free_i, s)
             at_d, h_d = _windows(p_doc, power_d, free_d, s)
-            where: dict[int, list[int]] = {}
-            for h, i in zip(h_i.tolist(), at_i.tolist(), strict=True):
-                where.setdefault(h, []).append(i)
             found, longest = [], 0
-            for h, j in zip(h_d.tolist(), at_d.tolist(), strict=True):
-                for i in where.get(h, ()):
-                    n = 0
-                    while i + n < len(item) and j + n < len(doc) and free_i[i + n] and free_d[j + n] and item[i + n] == doc[j + n]:
-                        n += 1
-                    if n >= s:
-                        found.append((n, i, j))
-                        longest = max(longest, n)
+            for i, j in _starts(item, doc, free_i, free_d, at_i, h_i, at_d, h_d):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and free_i[i + n] and free_d[j + n] and item[i + n] == doc[j + n]:
+                    n += 1
+                if n >= s:
+                    found.append((n, i, j))
+                    longest = max(longest, n)
             if longest > 2 * s:
                 s = longest
                 continue
@@ -168,6 +183,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows whose id is contaminated; rows with a null id stay."""
-    gone = contaminated(docs, items, id_col, text_col, **how).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """docs without the rows whose text is contaminated, whatever their ids (id_col is not read); columns stay as they are.
+
+    What is joined are 64-bit hashes of the contaminated texts, so the texts stay where they are as long as that list
+    is small.
+    """
+    texts = docs.select(F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    gone = contaminated(texts, items, "version", "text", **how).select(F.col("doc_id").alias("version")).distinct()
+    gone = broadcast_small(materialize(gone, "contaminated-texts"))
+    return docs.join(gone, F.xxhash64(docs[text_col]) == gone["version"], "left_anti")

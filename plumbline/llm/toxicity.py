@@ -19,7 +19,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import keyed, materialize, unkeyed
+from plumbline.llm.common import broadcast_small, keyed, materialize, unkeyed
 
 #: Labelled rows that the model is fitted on, at most about; further ones are left out by a hash of doc_id.
 MAX_LABELLED = 12_000
@@ -116,20 +116,28 @@ class Model:
     def __init__(self, lexicon: Lexicon, trees: GBTClassificationModel | None, calibration: IsotonicRegressionModel | None, constant: float):
         self.lexicon, self.trees, self.calibration, self.constant = lexicon, trees, calibration, constant
 
-    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc_id, score, predicted) of every row, by its whole text; null is empty."""
-        rows = featured(keyed(docs, id_col, text=text_col), self.lexicon, [])
+    def _scored(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        rows = featured(rows, self.lexicon, keep)
         if self.trees is None:
             scored = rows.withColumn("score", F.lit(self.constant))
         else:
             scored = self.calibration.transform(_raw(self.trees, rows)).withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "calibrated")))
-        return unkeyed(scored.select("doc_id", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")))
+        return scored.select("doc_id", *keep, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
-    def flagged(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """docs with a column predicted; rows of one id are toxic if any of them is, and rows with a null id are kept as clean."""
-        toxic = self.score(docs, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
-        joined = docs.join(toxic, F.col(id_col) == F.col("__id"), "left")
-        return joined.select(*docs.columns, F.col("__id").isNotNull().cast("int").alias("predicted"))
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(doc_id, score, predicted) of every row, by its whole text; null is empty."""
+        return unkeyed(self._scored(keyed(docs, id_col, text=text_col), []))
+
+    def without_toxic(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """docs without the rows whose text is predicted as toxic, whatever their ids; columns stay as they are.
+
+        What is joined are 64-bit hashes of the toxic texts, so the texts themselves stay where they are read as long
+        as that list is small.
+        """
+        rows = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("version"))
+        toxic = self._scored(rows, ["version"]).where("predicted = 1").select("version").distinct()
+        toxic = broadcast_small(materialize(toxic, "toxic-texts"))
+        return docs.join(toxic, F.xxhash64(docs[text_col]) == toxic["version"], "left_anti")
 
 
 def _raw(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:

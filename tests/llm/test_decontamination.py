@@ -1,3 +1,4 @@
+import time
 import random
 import re
 
@@ -98,6 +99,12 @@ def test_blocks(spark, moved, monkeypatch):
     assert result(dc.contaminated(*frames)) == whole
 
 
+def test_equal_tokens_take_no_cubic_time():
+    began = time.time()
+    tiles = dc.tiling(np.ones(400, np.uint64), np.ones(3000, np.uint64), 5)
+    assert sum(n for *_, n in tiles) == 400 and time.time() - began < 10
+
+
 def test_tiling():
     rng = np.random.default_rng(0)
     for _ in range(40):
@@ -114,5 +121,7 @@ def test_odd_rows(spark):
     assert [r["doc_id"] for r in dc.contaminated(odd_documents(spark), items).collect()] == [1, 1]
     kept = dc.without_contaminated(odd_documents(spark), items)
     assert kept.columns == odd_documents(spark).columns and kept.count() == 11
+    from_null = dc.without_contaminated(odd_documents(spark), spark.createDataFrame([(1, "no id here but words enough")], "item_id long, text string"))
+    assert from_null.count() == 12 and from_null.where("doc_id IS NULL").count() == 1
     assert dc.contaminated(empty_documents(spark), items).count() == 0
     assert dc.contaminated(odd_documents(spark), items.limit(0)).count() == 0

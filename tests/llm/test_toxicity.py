@@ -29,6 +29,17 @@ def test_labels_alone_are_learned_from(spark, sf):
     assert toxicity.fit(empty_documents(spark), one).score(empty_documents(spark)).count() == 0
 
 
+def test_toxic_texts_go(spark):
+    """By their own text, with null and repeated ids and columns of the same names as ours."""
+    sf = "/root/testdata/sf0.01"
+    model = queries.toxicity_model(spark, sf)
+    bad = next(r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").join(model.score(spark.read.parquet(f"{sf}/documents.parquet")).where("predicted = 1").select("doc_id"), "doc_id").take(1))
+    rows = [(1, bad, 0, 0.0), (1, "a calm remark on the weather", 1, 0.0), (None, bad, 1, 0.0), (None, "another calm remark", 1, 0.0), (2, None, 1, 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, predicted int, version double")
+    assert sorted(map(tuple, model.without_toxic(docs).collect()), key=str) == sorted([r for r in rows if r[1] != bad], key=str)
+    assert model.without_toxic(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("word,meant", [("1d10t", "idiot"), ("m0r0n!", "moron"), ("l.o.s.e.r", "loser"), ("$cum", "scum")])
 def test_obfuscation(word, meant):
     assert toxicity.plain(word.strip("!")) == meant
