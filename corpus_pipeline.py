@@ -15,9 +15,7 @@ KEPT_WORDS = 200_000
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the rows whose text the toxicity model (fitted on the labelled documents of sf_dir) predicts as toxic."""
-    columns = docs.columns
-    scored = queries.toxicity_model(spark, sf_dir).flagged(docs)
-    return scored.where("predicted = 0").select(*columns)
+    return queries.toxicity_model(spark, sf_dir).without_toxic(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
