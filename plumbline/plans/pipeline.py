@@ -15,25 +15,28 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import filters, groups, joins, profile, reshape
 
-#: Operation to category; others are "other".
-CATEGORIES = {
-    op: category
-    for category, ops in {
-        "source": "source read_csv read_table read_json read_parquet read_orc read_sql",
-        "filter": "filter query dropna drop_duplicates loc isin_filter",
-        "limit": "head tail sample nlargest nsmallest",
-        "projection": "select drop rename select_dtypes filter_columns",
-        "join": "merge join",
-        "concat": "concat concat_columns",
-        "aggregate": "agg groupby value_counts describe pivot_table crosstab",
-        "sort": "sort_values",
-        "reshape": "melt pivot explode get_dummies reindex transpose",
-        "mutate": "assign astype fillna where mask replace map isin transform running rank apply",
-    }.items()
-    for op in ops.split()
-}
-#: Operations that are meant to change types.
-TYPE_OPS = {"astype", "to_numeric", "to_datetime", "explode", "pivot_table", "melt"}
+#: Operation to category, as the verbs below declare it; steps without inputs are sources, others "other".
+CATEGORIES: dict[str, str] = {}
+#: Operations that may give a column another type on purpose, and those that leave rows as they are.
+TYPE_OPS: set[str] = set()
+ROW_WISE: set[str] = set()
+
+
+def verb(category: str, *ops: str, types: bool = False, row_wise: bool = False):
+    """Declare the category of a method's operations (by default of its own name)."""
+
+    def declare(method):
+        for op in ops or (method.__name__,):
+            CATEGORIES[op] = category
+            if types:
+                TYPE_OPS.add(op)
+            if row_wise:
+                ROW_WISE.add(op)
+        return method
+
+    return declare
+
+
 MAX_STEPS = 500
 
 
@@ -49,7 +52,7 @@ class Step:
 
     @property
     def category(self) -> str:
-        return CATEGORIES.get(self.op, "other")
+        return CATEGORIES.get(self.op, "other") if self.inputs else "source"
 
 
 class Pipeline:
@@ -98,115 +101,176 @@ class Frame:
         return self.pipeline.add(op, label or op, df, inputs or [(self, "input")], **args)
 
     # columns
+    @verb("projection")
     def select(self, *columns: str | Column) -> Frame:
         return self._add("select", self.df.select(*columns), f"select {columns}")
 
+    @verb("projection")
     def drop(self, *columns: str) -> Frame:
         return self._add("drop", self.df.drop(*columns), f"drop {columns}")
 
+    @verb("projection")
     def rename(self, columns: dict[str, str]) -> Frame:
         return self._add("rename", self.df.withColumnsRenamed(columns), f"rename {columns}", columns=columns)
 
+    @verb("projection")
     def select_dtypes(self, *types: str) -> Frame:
         return self._add("select_dtypes", self.df.select([c for c, t in self.df.dtypes if t in types]))
 
+    @verb("projection")
     def filter_columns(self, like: str) -> Frame:
         return self._add("filter_columns", self.df.select([c for c in self.df.columns if like in c]))
 
     # rows
+    @verb("filter", "filter", "query")
     def filter(self, condition: Column | str) -> Frame:
         cond = F.expr(condition) if isinstance(condition, str) else condition
         return self._add("query" if isinstance(condition, str) else "filter", self.df.filter(cond), f"filter {condition}", condition=cond)
 
+    @verb("filter")
     def dropna(self, subset: list[str] | None = None, how: str = "any") -> Frame:
         return self._add("dropna", self.df.na.drop(how, subset=subset), f"dropna {subset}", subset=subset, how=how)
 
+    @verb("filter")
     def drop_duplicates(self, keys: list[str], order_by: list) -> Frame:
         return self._add("drop_duplicates", filters.drop_duplicates(self.df, keys, order_by), f"drop_duplicates {keys}", keys=keys, order_by=order_by)
 
+    @verb("filter")
     def loc(self, first: int, last: int, order_by: list) -> Frame:
         """Rows first to last (from 0, the end excluded) in the given order."""
         ordered = self.df.orderBy(*order_by)
         return self._add("loc", ordered.limit(last).offset(first), f"rows {first} to {last}")
 
+    @verb("limit")
     def head(self, n: int, order_by: list) -> Frame:
         return self._add("head", self.df.orderBy(*order_by).limit(n), f"head {n}")
 
+    @verb("limit")
     def tail(self, n: int, order_by: list[str]) -> Frame:
         return self._add("tail", self.df.orderBy(*[F.col(c).desc() for c in order_by]).limit(n), f"tail {n}")
 
+    @verb("limit")
     def nlargest(self, n: int, by: str, ties: list) -> Frame:
         return self._add("nlargest", self.df.orderBy(F.col(by).desc(), *ties).limit(n), f"nlargest {n} {by}")
 
+    @verb("limit")
     def nsmallest(self, n: int, by: str, ties: list) -> Frame:
         return self._add("nsmallest", self.df.orderBy(F.col(by).asc_nulls_last(), *ties).limit(n), f"nsmallest {n} {by}")
 
+    @verb("limit")
     def sample(self, fraction: float, seed: int) -> Frame:
         return self._add("sample", self.df.sample(fraction, seed), f"sample {fraction}")
 
+    @verb("sort")
     def sort_values(self, *by: str, ascending: bool = True) -> Frame:
         return self._add("sort_values", self.df.orderBy(*[F.col(c).asc_nulls_last() if ascending else F.col(c).desc_nulls_last() for c in by]), f"sort {by}", by=by)
 
     # values
+    @verb("mutate", types=True, row_wise=True)
     def assign(self, **columns: Column) -> Frame:
-        return self._add("assign", self.df.withColumns(columns), f"assign {[*columns]}")
+        return self._add("assign", self.df.withColumns(columns), f"assign {[*columns]}", touched=[*columns])
 
+    @verb("mutate", types=True, row_wise=True)
     def astype(self, types: dict[str, str], coerce: bool = False) -> Frame:
-        return self._add("astype", self.df.withColumns({c: F.col(c).try_cast(t) if coerce else F.col(c).cast(t) for c, t in types.items()}), f"astype {types}")
+        return self._add("astype", self.df.withColumns({c: F.col(c).try_cast(t) if coerce else F.col(c).cast(t) for c, t in types.items()}), f"astype {types}", touched=[*types])
 
+    @verb("mutate", row_wise=True)
     def fillna(self, values: dict[str, Any]) -> Frame:
-        return self._add("fillna", self.df.na.fill(values), f"fillna {values}")
+        return self._add("fillna", self.df.na.fill(values), f"fillna {values}", touched=[*values])
 
+    @verb("mutate", row_wise=True)
     def where(self, column: str, condition: Column, other: Any = None) -> Frame:
-        return self._add("where", self.df.withColumn(column, F.when(condition, F.col(column)).otherwise(F.lit(other))), f"where {column}")
+        return self._add("where", self.df.withColumn(column, F.when(condition, F.col(column)).otherwise(F.lit(other))), f"where {column}", touched=[column])
 
+    @verb("mutate", row_wise=True)
     def mask(self, column: str, condition: Column, other: Any = None) -> Frame:
-        return self._add("mask", self.df.withColumn(column, F.when(condition, F.lit(other)).otherwise(F.col(column))), f"mask {column}")
+        return self._add("mask", self.df.withColumn(column, F.when(condition, F.lit(other)).otherwise(F.col(column))), f"mask {column}", touched=[column])
 
+    @verb("mutate", row_wise=True)
     def replace(self, column: str, values: dict) -> Frame:
-        return self._add("replace", self.df.replace(values, subset=[column]), f"replace {column}")
+        return self._add("replace", self.df.replace(values, subset=[column]), f"replace {column}", touched=[column])
 
+    @verb("mutate", types=True, row_wise=True)
     def map(self, column: str, values: dict) -> Frame:
         """Values by a dictionary; others become null."""
         pairs = [F.lit(x) for pair in values.items() for x in pair]
-        return self._add("map", self.df.withColumn(column, F.element_at(F.create_map(*pairs), F.col(column))), f"map {column}")
+        return self._add("map", self.df.withColumn(column, F.element_at(F.create_map(*pairs), F.col(column))), f"map {column}", touched=[column])
 
+    @verb("mutate", types=True)
     def apply(self, function: Callable, schema: str) -> Frame:
         """A function of batches (iterator of pandas frames), where no expression will do."""
         return self._add("apply", self.df.mapInPandas(function, schema), "apply")
 
     # several frames
+    @verb("join")
     def merge(self, right: Frame, on: list[str] | None = None, how: str = "inner", left_on: list[str] | None = None, right_on: list[str] | None = None, suffixes: tuple[str, str] = ("_x", "_y"), null_safe: bool = False) -> Frame:
         out = joins.merge(self.df, right.df, on, left_on, right_on, how, suffixes, null_safe)
         keys = (left_on or on or [c for c in self.df.columns if c in right.df.columns], right_on or on or [c for c in self.df.columns if c in right.df.columns])
         return self._add("merge", out, f"merge {how} {keys[0]}", [(self, "left"), (right, "right")], how=how, left_on=keys[0], right_on=keys[1], suffixes=suffixes, null_safe=null_safe)
 
+    @verb("concat")
     def concat(self, *others: Frame) -> Frame:
         return self._add("concat", joins.concat([self.df, *[o.df for o in others]]), "concat", [(f, "input") for f in (self, *others)])
 
     # groups and shapes
+    @verb("aggregate", "agg", "groupby")
     def agg(self, keys: list[str], dropna: bool = False, **made: Column) -> Frame:
         rows = self.df.dropna(subset=keys) if dropna and keys else self.df
         return self._add("groupby" if keys else "agg", rows.groupBy(*keys).agg(*[c.alias(k) for k, c in made.items()]), f"groupby {keys} {[*made]}", keys=keys, dropna=dropna, made=made)
 
+    @verb("aggregate")
     def value_counts(self, column: str, dropna: bool = True) -> Frame:
         return self._add("value_counts", reshape.value_counts(self.df, column, dropna), f"value_counts {column}", keys=[column], dropna=dropna)
 
+    @verb("mutate")
     def transform(self, keys: list[str], **made: Column) -> Frame:
         return self._add("transform", groups.transform(self.df, keys, **made), f"transform {keys}")
 
+    @verb("reshape", types=True)
     def melt(self, ids: list[str], values: list[str] | None = None, var_name: str = "variable", value_name: str = "value") -> Frame:
         return self._add("melt", reshape.melt(self.df, ids, values, var_name, value_name), "melt")
 
+    @verb("reshape")
     def pivot(self, index: list[str], columns: str, values: list, value: str) -> Frame:
         return self._add("pivot", reshape.pivot(self.df, index, columns, values, value), "pivot")
 
+    @verb("aggregate", types=True)
     def pivot_table(self, index: list[str], columns: str, values: list, agg: Column) -> Frame:
         return self._add("pivot_table", reshape.pivot_table(self.df, index, columns, values, agg), "pivot_table")
 
+    @verb("reshape", types=True)
     def explode(self, column: str) -> Frame:
         return self._add("explode", reshape.explode(self.df, column), f"explode {column}")
 
+    @verb("aggregate")
+    def crosstab(self, index: str, columns: str, values: list) -> Frame:
+        return self._add("crosstab", reshape.crosstab(self.df, index, columns, values), f"crosstab {index} {columns}")
+
+    @verb("aggregate")
+    def describe(self, columns: list[str], keys: list[str] | None = None) -> Frame:
+        return self._add("describe", reshape.describe(self.df, columns, *([keys] if keys else [])), f"describe {columns}")
+
+    @verb("reshape")
+    def get_dummies(self, column: str, values: list) -> Frame:
+        return self._add("get_dummies", reshape.get_dummies(self.df, column, values), f"get_dummies {column}")
+
+    @verb("mutate")
+    def rank(self, keys: list[str], by: str, name: str, method: str = "average") -> Frame:
+        return self._add("rank", groups.rank(self.df, keys, by, name, method), f"rank {by}")
+
+    @verb("mutate")
+    def running(self, keys: list[str], order_by: list, **made: Column) -> Frame:
+        return self._add("running", groups.running(self.df, keys, order_by, **made), f"running {[*made]}")
+
+    @verb("mutate", row_wise=True)
+    def isin(self, column: str, values: list, name: str) -> Frame:
+        return self._add("isin", self.df.withColumn(name, F.col(column).isin(values)), f"isin {column}", touched=[name])
+
+    @verb("concat")
+    def concat_columns(self, other: Frame, keys: list[str]) -> Frame:
+        return self._add("concat_columns", joins.concat_columns(self.df, other.df, keys), f"concat_columns {keys}", [(self, "left"), (other, "right")])
+
+    @verb("reshape")
     def reindex(self, labels: DataFrame, keys: list[str]) -> Frame:
         return self._add("reindex", reshape.reindex(self.df, labels, keys), "reindex")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections import deque
 from dataclasses import asdict, dataclass, field
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import filters, groups, joins, profile
 from plumbline.plans import catalyst
-from plumbline.plans.pipeline import TYPE_OPS, Pipeline, Step
+from plumbline.plans.pipeline import ROW_WISE, TYPE_OPS, Pipeline, Step
 
 #: Rows of an example, columns of null examples for a step, columns up to which a schema check is made.
 EXAMPLE_ROWS, NULL_COLUMNS, SCHEMA_COLUMNS = 5, 3, 40
@@ -101,7 +102,7 @@ class Report:
         elif kind == "dropped" and step.op == "drop_duplicates":
             found = filters.duplicates(before[0], step.args["keys"], step.args["order_by"])
         elif kind == "dropped":
-            found = before[0].exceptAll(step.df.select(*before[0].columns))
+            raise ValueError(f"{step.op} has no examples of dropped rows")
         else:
             what, side = kind.rsplit("_", 1)
             own, other = (before[0], before[1]) if side == "left" else (before[1], before[0])
@@ -224,23 +225,19 @@ def hints(pipeline: Pipeline, known: dict[int, Facts]) -> list[Hint]:
         d = known[s.id].details
         if s.op in ("filter", "query") and d["rows_in"] and d["rows_dropped"] >= WORTH * d["rows_in"]:
             before = pipeline.steps[s.inputs[0][0]]
+            used = catalyst.filter_columns(s.df)
             if before.op == "merge" and len(pipeline.consumers(before)) == 1:
-                used = catalyst.filter_columns(s.df)
-                left, right = (set(pipeline.steps[i].df.columns) for i, _ in before.inputs)
-                how = before.args["how"]
-                if used and used <= left - right and how in ("inner", "left"):
-                    out.append(Hint("filter_before_join", s.id, f"{', '.join(sorted(used))} could be filtered before the join", "auto"))
-                elif used and used <= right - left and how in ("inner", "right"):
+                if used and _one_side(pipeline, before, used):
                     out.append(Hint("filter_before_join", s.id, f"{', '.join(sorted(used))} could be filtered before the join", "auto"))
                 if catalyst.narrowed(s.df):
                     out.append(Hint("join_narrowed", s.id, "this filter makes the outer join an inner one", "actionable"))
-            elif before.category == "sort":
-                out.append(Hint("filter_earlier", s.id, "the filter could come before the sort", "auto"))
+            elif before.category == "sort" or (before.op in ROW_WISE and used and not used & set(before.args["touched"])):
+                out.append(Hint("filter_earlier", s.id, f"the filter could come before {before.op}", "auto"))
         if s.category == "sort":
             after = pipeline.consumers(s)
             if len(after) == 1 and after[0].category == "sort":
                 out.append(Hint("useless_sort", s.id, "the next step sorts anew", "auto"))
-            elif len(after) == 1 and after[0].op in ("groupby", "agg", "value_counts"):
+            elif len(after) == 1 and after[0].op in ("groupby", "agg", "value_counts") and not any(_ORDERED.search(str(c)) for c in after[0].args.get("made", {}).values()):
                 kept = catalyst.has_sort(after[0].df)
                 out.append(Hint("useless_sort", s.id, "the order doesn't matter to the aggregate that follows", "actionable" if kept else "auto"))
         if s.op == "apply":
@@ -257,6 +254,21 @@ def hints(pipeline: Pipeline, known: dict[int, Facts]) -> list[Hint]:
     return out
 
 
+#: Aggregates whose result depends on the order of rows.
+_ORDERED = re.compile(r"\b(first|last|first_value|last_value|any_value|collect_list|array_agg|listagg|string_agg)\(")
+
+
+def _one_side(pipeline: Pipeline, join: Step, used: set[str]) -> bool:
+    """Whether a filter on these columns of a join's result may run on one of its inputs: one that keeps no unmatched rows of the other."""
+    columns = {role: set(pipeline.steps[i].df.columns) for i, role in join.inputs}
+    sides = {"inner": ("left", "right"), "left": ("left",), "right": ("right",)}.get(join.args["how"], ())
+    for own in sides:
+        other = columns["right" if own == "left" else "left"]
+        if used <= columns[own] and not used & (other - set(join.args[f"{own}_on"])):
+            return True
+    return False
+
+
 def diff(report: Report, a: int, b: int) -> dict:
     """How step b differs from step a: relation, path, rows and columns; renames by lineage of attributes."""
     pipeline, fa, fb = report.pipeline, report.facts[a], report.facts[b]

@@ -90,8 +90,8 @@ for how in ("inner", "left", "right", "outer"):
 query("merge_cross", "SELECT r_regionkey, n_nationkey FROM region CROSS JOIN nation")(lambda t: t.region.select("r_regionkey").merge(t.nation.select("n_nationkey"), how="cross"))
 query("merge_natural", "SELECT d.doc_id, d.lang, l.quality FROM documents d JOIN labels l USING (doc_id)")(lambda t: t.documents.select("doc_id", "lang").merge(t.labels.select("doc_id", "quality")))
 query("merge_suffixes", "SELECT a.o_orderkey, a.o_custkey AS o_custkey_x, b.o_custkey AS o_custkey_y FROM orders a JOIN orders b USING (o_orderkey)")(lambda t: t.orders.select("o_orderkey", "o_custkey").merge(t.orders.select("o_orderkey", "o_custkey"), on=["o_orderkey"]))
-query("merge_null_safe", f"SELECT count(*) AS n FROM (SELECT status FROM {NULLED} t WHERE o_orderkey % 50 = 0) a JOIN (SELECT status FROM {NULLED} t WHERE o_orderkey % 70 = 0) b ON a.status IS NOT DISTINCT FROM b.status")(
-    lambda t: nulled(t).filter("o_orderkey % 50 = 0").select("status").merge(nulled(t).filter("o_orderkey % 70 = 0").select("status"), on=["status"], null_safe=True).agg([], n=F.count(F.lit(1)))
+query("merge_null_safe", f"SELECT o_orderkey, a.status, b.n FROM {NULLED} a JOIN (SELECT status, count(*) AS n FROM {NULLED} t GROUP BY 1) b ON a.status IS NOT DISTINCT FROM b.status")(
+    lambda t: nulled(t).select("o_orderkey", "status").merge(nulled(t).agg(["status"], n=F.count(F.lit(1))), on=["status"], null_safe=True).select("o_orderkey", "status", "n")
 )
 query("semi_matched", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT user_id FROM events)")(lambda t: t.customer.merge(t.events, left_on=["c_custkey"], right_on=["user_id"], how="semi").select("c_custkey"))
 query("anti_unmatched", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")(lambda t: t.customer.merge(t.events, left_on=["c_custkey"], right_on=["user_id"], how="anti").select("c_custkey"))

@@ -3,26 +3,60 @@
 from __future__ import annotations
 
 import builtins
+import json
 import keyword
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import functions as F
 
-#: Format by file suffix.
-FORMATS = {"csv": "csv", "tsv": "tsv", "txt": "tsv", "parquet": "parquet", "pq": "parquet", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "orc": "orc"}
+
+@dataclass(frozen=True)
+class Format:
+    """How files of some suffixes are read."""
+
+    name: str
+    suffixes: tuple[str, ...]
+    load: Callable[[SparkSession, DataFrameReader, str], DataFrame]
+
+
+def _separated(sep: str):
+    return lambda spark, reader, path: reader.options(header=True, sep=sep).csv(path)
+
+
+def _json(spark: SparkSession, reader: DataFrameReader, path: str) -> DataFrame:
+    """Lines of objects where the first line is a whole object, else one value (an array, or an object of several lines) a file."""
+    first = spark.read.text(path).where(F.trim("value") != "").head()
+    try:
+        lines = first is not None and isinstance(json.loads(first["value"]), dict)
+    except ValueError:
+        lines = False
+    return reader.option("multiLine", not lines).json(path)
+
+
+FORMATS = [
+    Format("csv", ("csv", "txt"), _separated(",")),
+    Format("tsv", ("tsv",), _separated("\t")),
+    Format("json", ("json",), _json),
+    Format("jsonl", ("jsonl", "ndjson"), lambda spark, reader, path: reader.json(path)),
+    Format("parquet", ("parquet", "pq"), lambda spark, reader, path: reader.parquet(path)),
+    Format("orc", ("orc",), lambda spark, reader, path: reader.orc(path)),
+]
+_BY_NAME = {f.name: f for f in FORMATS}
+_BY_SUFFIX = {suffix: f for f in FORMATS for suffix in f.suffixes}
 
 
 def read(spark: SparkSession, path: str, fmt: str | None = None, schema: str | None = None, **options: str) -> DataFrame:
-    """A file or folder by its suffix: csv, tsv, parquet, json (one array), jsonl, orc. Without a schema, text types are inferred."""
-    fmt = fmt or FORMATS[path.rstrip("/").rsplit(".", 1)[-1].lower()]
+    """A file or folder by its suffix or the name of a format. Without a schema, types of separated text are inferred."""
+    suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    found = _BY_NAME.get(fmt) if fmt else _BY_SUFFIX.get(suffix)
+    if found is None:
+        raise ValueError(f"no reader for {fmt or suffix}; there are {', '.join(_BY_NAME)}")
     reader = spark.read.options(**options)
-    if schema:
-        reader = reader.schema(schema)
-    if fmt in ("csv", "tsv"):
-        return reader.options(header=True, inferSchema=schema is None, sep="\t" if fmt == "tsv" else ",").csv(path)
-    if fmt == "json":
-        return reader.option("multiLine", True).json(path)
-    return reader.json(path) if fmt == "jsonl" else reader.format(fmt).load(path)
+    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
+    return found.load(spark, reader, path)
 
 
 def read_feather(spark: SparkSession, path: str) -> DataFrame:
@@ -36,14 +70,20 @@ def read_sql(spark: SparkSession, query: str) -> DataFrame:
     return spark.sql(query)
 
 
+#: Names that generated scripts use themselves.
+RESERVED = {"pd", "spark"}
+
+
 def variable_name(stem: str) -> str:
-    """An identifier for a file's name."""
-    name = re.sub(r"\W+", "_", stem).strip("_").lower()
-    if not name:
+    """An identifier for a file's name: its words in lower case, with data_ before a digit and _df after a taken name."""
+    words = [w for w in re.split(r"[\W_]+", stem.lower()) if w]
+    if not words:
         return "data"
-    if name[0].isdigit():
-        name = f"data_{name}"
-    return f"{name}_df" if keyword.iskeyword(name) or hasattr(builtins, name) else name
+    if words[0][0].isdigit():
+        words.insert(0, "data")
+    name = "_".join(words)
+    taken = name in RESERVED or name in vars(builtins) or keyword.iskeyword(name)
+    return name + "_df" * taken
 
 
 class Datasets:

@@ -69,6 +69,58 @@ def test_hints(spark, sf):
     assert {("join_narrowed", "actionable"), ("useless_sort", "actionable"), ("row_apply", "actionable"), ("duplicate_read", "actionable"), ("unused_columns", "auto")} <= hints
 
 
+@pytest.mark.parametrize(
+    "how, condition, expected",
+    [
+        ("inner", "country = 'US'", True),
+        ("left", "country = 'US'", False),
+        ("left", "amount > 20", True),
+        ("inner", "amount > 20 AND country = 'US'", False),
+        ("inner", "amount > 1", False),
+        ("outer", "amount > 20", False),
+        ("inner", "user_id = 1", True),
+        ("left", "user_id = 1", True),
+    ],
+)
+def test_filter_before_join(spark, how, condition, expected):
+    p = Pipeline()
+    orders = p.source(spark.createDataFrame([(1, 10.0), (2, 20.0), (1, 30.0), (3, 40.0)], "user_id long, amount double"))
+    users = p.source(spark.createDataFrame([(1, "US"), (2, "MX"), (3, "CA")], "user_id long, country string"))
+    orders.merge(users, on=["user_id"], how=how).filter(condition)
+    assert ("filter_before_join" in {h.kind for h in p.report().hints}) is expected
+
+
+@pytest.mark.parametrize(
+    "build, expected",
+    [
+        (lambda o: o.sort_values("amount").filter("amount > 20"), {"filter_earlier"}),
+        (lambda o: o.assign(big=F.col("amount") * 2).filter("big > 40"), set()),
+        (lambda o: o.assign(big=F.col("amount") * 2).filter("amount > 20"), {"filter_earlier"}),
+        (lambda o: o.fillna({"amount": 0.0}).filter("amount > 20"), set()),
+        (lambda o: o.sort_values("amount").agg(["user_id"], total=F.sum("amount")), {"useless_sort"}),
+        (lambda o: o.sort_values("amount").agg(["user_id"], top=F.first("amount")), set()),
+        (lambda o: o.sort_values("amount").agg(["user_id"], top=F.last("amount")), set()),
+        (lambda o: o.sort_values("amount").sort_values("user_id"), {"useless_sort"}),
+    ],
+)
+def test_order_hints(spark, build, expected):
+    p = Pipeline()
+    build(p.source(spark.createDataFrame([(1, 10.0), (2, 20.0), (1, 30.0), (3, 40.0)], "user_id long, amount double")))
+    assert {h.kind for h in p.report().hints} - {"unused_columns"} == expected
+
+
+def test_intended_types_are_no_drift(spark):
+    p = Pipeline()
+    a = p.source(spark.createDataFrame([(1, "x")], "a long, b string"))
+    a.assign(a=F.col("a").cast("string")).map("b", {"x": 1}).astype({"b": "string"}).fillna({"b": "0"})
+    assert not [f for f in p.report().findings if f.kind == "dtype_drift"]
+    b = a.isin("b", ["x"], "is_x").running(["b"], ["a"], n=F.count(F.lit(1))).rank(["b"], "a", "r").get_dummies("b", ["x"])
+    assert [s.category for s in p.steps[-4:]] == ["mutate", "mutate", "mutate", "reshape"] and b.df.count() == 1
+    assert a.describe(["a"]).step.category == a.crosstab("a", "b", ["x"]).step.category == "aggregate" and a.concat_columns(a.rename({"b": "c"}), ["a"]).df.columns == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="no examples"):
+        p.report().examples(a.head(1, ["a"]).step, "dropped", ["a"])
+
+
 def test_diff(spark):
     p = Pipeline()
     a = p.source(spark.createDataFrame([(1, None, "x"), (2, 5, "y")], "a long, b long, c string"))
@@ -127,7 +179,13 @@ def test_readers(spark, tmp_path):
     assert read_feather(spark, str(tmp_path / "t.feather")).count() == 2
     sets = Datasets(spark)
     assert sets.add(str(tmp_path / "t.parquet"), "mine") == "mine" and sets.referenced("SELECT * FROM mine") == ["mine"] and sets.get("mine").count() == 2
-    assert [variable_name(s) for s in ("Sales 2024", "2024", "class", "list", "--")] == ["sales_2024", "data_2024", "class_df", "list_df", "data"]
+    golden = {"orders": "orders", "Q3 Sales-2024": "q3_sales_2024", "2024_orders": "data_2024_orders", "class": "class_df", "pd": "pd_df", "sum": "sum_df", "---": "data"}
+    assert {s: variable_name(s) for s in golden} == golden
+    for name, text, n in [("lines.json", '{"a": 1}\n{"a": 2}\n{"a": 3}\n', 3), ("object.json", '{\n"a": 1\n}', 1), ("t.txt", "a,b\n1,2\n", 1)]:
+        (tmp_path / name).write_text(text)
+        assert read(spark, str(tmp_path / name)).count() == n and read(spark, str(tmp_path / name)).columns[0] == "a", name
+    with pytest.raises(ValueError, match="no reader"):
+        read(spark, str(tmp_path / "t.xyz"))
 
 
 def test_stream_profile(spark, sf, tmp_path):
