@@ -80,8 +80,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     Null texts are empty; rows with a null doc_id come first, in files as the smallest 64-bit integer, and are read
     as null; rows that repeat an id follow each other. Texts are encoded and compressed where they are read; the
-    compressed documents are what the sort by id moves. A task writes under a name of its own attempt, so a lost
-    executor leaves no half file under a final name. Of an empty table, no files.
+    compressed documents are what the sort by id moves. Each attempt of a task writes a file of its own name, and the
+    result names those of the attempts that ended; files of others are left unnamed. Of an empty table, no files.
     """
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text=text_col)
@@ -107,11 +107,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, at = file_system(folder)
         part = TaskContext.get().partitionId()
-        own, final = f"{at}/.{part}-{uuid.uuid4().hex}", f"{at}/part-{part:08d}.ids"
+        name = f"part-{part:08d}-{uuid.uuid4().hex}.ids"
         index, offset, tokens, f = [], len(MAGIC) + 32, 0, None
         for batch in batches:
             if f is None:
-                f = store.open_output_stream(own)
+                f = store.open_output_stream(f"{at}/{name}")
                 f.write(MAGIC + digest)
             for doc_id, n, packed in zip(batch["doc_id"], batch["n_tokens"], batch["packed"], strict=True):
                 f.write(packed)
@@ -122,13 +122,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             f.write(np.array(index, "<i8").tobytes())
             f.write(struct.pack(_FOOTER, offset, len(index), MAGIC))
             f.close()
-            store.move(own, final)
-            yield pd.DataFrame({"part": [part], "path": [f"{folder}/part-{part:08d}.ids"], "docs": [len(index)], "tokens": [tokens]})
+            yield pd.DataFrame({"part": [part], "path": [f"{folder}/{name}"], "docs": [len(index)], "tokens": [tokens]})
 
     packed = rows.mapInPandas(compress, "doc_id long, n_tokens long, packed binary")
     # written once: the range partitioning samples its input, which would encode every text again
     packed = materialize(packed, "token-ids")
-    ordered = packed.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    ordered = packed.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "packed")
     return materialize(ordered.mapInPandas(write, "part int, path string, docs long, tokens long"), "token-parts")
 
 

@@ -79,7 +79,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     The payload is the html in UTF-8; null is empty. Of rows with equal payloads of at least `least` bytes that with
     the largest id is a response and the others are revisits of it; smaller ones are all responses. Rows that repeat
     the largest id are all responses; rows with a null id are responses of their own and take no part. Which payloads
-    repeat is found on digests alone; pages move once, to their files, in ascending order of id.
+    repeat is found on digests alone; each attempt of a task writes a file of its own name, which its index rows hold. Pages move once, to their files, in ascending order of id.
     """
     spark = pages.sparkSession
     rows = keyed(pages, id_col, url=url_col, html=html_col)
@@ -97,7 +97,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     revisits = revisits.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "target"))).alias("targets"))
     revisits = materialize(revisits, "warc-revisits")
     bounds = partitions(spark)
-    ordered = rows.join(broadcast_small(revisits, targets=48), "doc_id", "left").withColumn("targets", F.to_json("targets")).repartitionByRange(bounds, "doc_id").sortWithinPartitions("doc_id")
+    ordered = rows.join(broadcast_small(revisits, targets=48), "doc_id", "left").withColumn("targets", F.to_json("targets")).repartitionByRange(bounds, "doc_id").sortWithinPartitions("doc_id", "html", "url")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
@@ -105,11 +105,11 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         store, at = file_system(folder)
         store.create_dir(at, recursive=True)
         part = TaskContext.get().partitionId()
-        own, name = f"{at}/.{part}-{uuid.uuid4().hex}", f"part-{part:08d}.warc.gz"
+        name = f"part-{part:08d}-{uuid.uuid4().hex}.warc.gz"
         f, offset = None, 0
         for batch in batches:
             if f is None:
-                f = store.open_output_stream(own, compression=None)
+                f = store.open_output_stream(f"{at}/{name}", compression=None)
                 head = _member(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:file:{part}>\r\nWARC-Date: {DATE}\r\nContent-Length: 0\r\n\r\n".encode() + END)
                 f.write(head)
                 offset = len(head)
@@ -125,7 +125,6 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
             yield pd.DataFrame(index, columns=["doc_id", "file", "offset", "length", "url", "digest", "record_type"])
         if f is not None:
             f.close()
-            store.move(own, f"{at}/{name}")
 
     return materialize(ordered.mapInPandas(write, INDEX), "warc-index")
 
