@@ -22,18 +22,30 @@ def numbered(df: DataFrame, keys: list[str], order_by: list, name: str = "__n")
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)))
 
 
-def drop_duplicates(df: DataFrame, keys: list[str], order_by: list) -> DataFrame:
-    """The first row of each key in the given order."""
-    return numbered(df, keys, order_by).where("__n = 1").drop("__n")
+#: Which rows of a key stay: tests on the row's number and on the rows of its key.
+_KEPT = {"first": "__n = 1", "last": "__n = __of", "none": "__of = 1"}
 
 
-def duplicates(df: DataFrame, keys: list[str], order_by: list) -> DataFrame:
+def _marked(df: DataFrame, keys: list[str], order_by: list, keep: str) -> DataFrame:
+    rows = numbered(df, keys, order_by)
+    return rows if keep == "first" else rows.withColumn("__of", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+
+
+def drop_duplicates(df: DataFrame, keys: list[str], order_by: list, keep: str = "first") -> DataFrame:
+    """The first (or last) row of each key in the given order, or with "none" only the rows whose key occurs once."""
+    return _marked(df, keys, order_by, keep).where(_KEPT[keep]).drop("__n", "__of")
+
+
+def duplicates(df: DataFrame, keys: list[str], order_by: list, keep: str = "first") -> DataFrame:
     """The rows that drop_duplicates leaves out."""
-    return numbered(df, keys, order_by).where("__n > 1").drop("__n")
+    return _marked(df, keys, order_by, keep).where(f"NOT ({_KEPT[keep]})").drop("__n", "__of")
 
 
-def missing_rows(df: DataFrame, subset: list[str] | None = None, how: str = "any") -> DataFrame:
-    """The rows that dropna leaves out."""
+def missing_rows(df: DataFrame, subset: list[str] | None = None, how: str = "any", thresh: int | None = None) -> DataFrame:
+    """The rows that dropna leaves out; thresh: those with fewer values than that, whatever how says."""
+    if thresh is not None:
+        present = [F.col(f"`{c}`").isNotNull().cast("int") for c in subset or df.columns]
+        return df.filter(sum(present, F.lit(0)) < thresh)
     tests = [F.col(f"`{c}`").isNull() for c in subset or df.columns]
     found = tests[0]
     for t in tests[1:]:

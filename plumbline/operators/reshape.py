@@ -21,6 +21,26 @@ def pivot(df: DataFrame, index: list[str], columns: str, values: list, value: st
     return df.groupBy(*index).pivot(columns, values).agg(one)
 
 
+def stack(df: DataFrame, ids: list[str], values: list[str] | None = None, var_name: str = "variable", value_name: str = "value") -> DataFrame:
+    """As melt, without the rows that hold no value."""
+    return melt(df, ids, values, var_name, value_name).where(F.col(value_name).isNotNull())
+
+
+def transpose(df: DataFrame, label: str, labels: list, name: str = "variable") -> DataFrame:
+    """A row for each column but `label`, whose given values become the columns."""
+    return pivot(melt(df, [label], var_name=name, value_name="__value"), [name], label, labels, "__value")
+
+
+def convert_dtypes(df: DataFrame) -> DataFrame:
+    """Floating columns that hold whole numbers only, as long; one aggregate over the frame looks at them all."""
+    floats = [c for c, t in df.dtypes if t in ("double", "float")]
+    if not floats:
+        return df
+    fits = lambda c: F.col(f"`{c}`").cast("long").cast("double") == F.col(f"`{c}`")
+    whole = df.agg(*[F.coalesce(F.bool_and(fits(c)), F.lit(True)).alias(f"c{i}") for i, c in enumerate(floats)]).first()
+    return df.withColumns({c: F.col(f"`{c}`").cast("long") for i, c in enumerate(floats) if whole[i]})
+
+
 def crosstab(df: DataFrame, index: str, columns: str, values: list) -> DataFrame:
     return df.groupBy(index).pivot(columns, values).agg(F.count(F.lit(1))).na.fill(0)
 

@@ -6,6 +6,8 @@ cached for it) and hands the few resulting numbers to the rules of findings, che
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -49,12 +51,21 @@ class Step:
     inputs: list[tuple[int, str]]
     args: dict[str, Any] = field(default_factory=dict)
     name: str | None = None
+    #: File and line outside this package that recorded the step.
+    site: str = ""
 
     @property
     def category(self) -> str:
         return CATEGORIES.get(self.op, "other") if self.inputs else "source"
 
 
+def _site() -> str:
+    frame = sys._getframe(1)
+    while frame.f_back and frame.f_globals.get("__name__", "").startswith("plumbline.plans"):
+        frame = frame.f_back
+    return f"{frame.f_code.co_filename}:{frame.f_lineno}"
+
+
 class Pipeline:
     """The steps of one pipeline, in the order they were recorded."""
 
@@ -73,7 +84,7 @@ class Pipeline:
             if not self.warnings:
                 self.warnings.append(f"only the first {self.max_steps} steps are recorded")
             return Frame(self, df, None)
-        step = Step(len(self.steps), op, label[:90], df, [(f.step.id, role) for f, role in inputs if f.step], args)
+        step = Step(len(self.steps), op, label[:90], df, [(f.step.id, role) for f, role in inputs if f.step], args, site=_site())
         self.steps.append(step)
         return Frame(self, df, step)
 
@@ -118,8 +129,39 @@ class Frame:
         return self._add("select_dtypes", self.df.select([c for c, t in self.df.dtypes if t in types]))
 
     @verb("projection")
-    def filter_columns(self, like: str) -> Frame:
-        return self._add("filter_columns", self.df.select([c for c in self.df.columns if like in c]))
+    def filter_columns(self, like: str | None = None, items: list[str] | None = None, regex: str | None = None) -> Frame:
+        """Columns whose name holds `like`, is one of `items` or matches `regex`."""
+        wanted = lambda c: c in items if items is not None else re.search(regex, c) if regex is not None else like in c
+        return self._add("filter_columns", self.df.select([c for c in self.df.columns if wanted(c)]))
+
+    @verb("projection")
+    def column(self, name: str) -> Frame:
+        return self._add("column", self.df.select(name), f"column {name}")
+
+    @verb("projection")
+    def to_frame(self, name: str) -> Frame:
+        """A single column under another name."""
+        (only,) = self.df.columns
+        return self._add("to_frame", self.df.withColumnRenamed(only, name), f"to_frame {name}")
+
+    @verb("projection")
+    def rename_axis(self, keys: dict[str, str]) -> Frame:
+        """Other names for the columns that serve as the index."""
+        return self._add("rename_axis", self.df.withColumnsRenamed(keys), f"rename_axis {keys}", columns=keys)
+
+    @verb("reshape")
+    def set_index(self, *keys: str) -> Frame:
+        """The keys come first: an index is a column like others here, and loses nothing by it."""
+        return self._add("set_index", self.df.select(*keys, *[c for c in self.df.columns if c not in keys]), f"set_index {keys}", keys=[*keys])
+
+    @verb("reshape")
+    def reset_index(self) -> Frame:
+        return self._add("reset_index", self.df)
+
+    @verb("projection")
+    def copy(self) -> Frame:
+        """The same frame as a step of its own; frames don't change, so nothing is copied."""
+        return self._add("copy", self.df)
 
     # rows
     @verb("filter", "filter", "query")
@@ -128,12 +170,12 @@ class Frame:
         return self._add("query" if isinstance(condition, str) else "filter", self.df.filter(cond), f"filter {condition}", condition=cond)
 
     @verb("filter")
-    def dropna(self, subset: list[str] | None = None, how: str = "any") -> Frame:
-        return self._add("dropna", self.df.na.drop(how, subset=subset), f"dropna {subset}", subset=subset, how=how)
+    def dropna(self, subset: list[str] | None = None, how: str = "any", thresh: int | None = None) -> Frame:
+        return self._add("dropna", self.df.na.drop(how, thresh, subset), f"dropna {subset}", subset=subset, how=how, thresh=thresh)
 
     @verb("filter")
-    def drop_duplicates(self, keys: list[str], order_by: list) -> Frame:
-        return self._add("drop_duplicates", filters.drop_duplicates(self.df, keys, order_by), f"drop_duplicates {keys}", keys=keys, order_by=order_by)
+    def drop_duplicates(self, keys: list[str], order_by: list, keep: str = "first") -> Frame:
+        return self._add("drop_duplicates", filters.drop_duplicates(self.df, keys, order_by, keep), f"drop_duplicates {keys}", keys=keys, order_by=order_by, keep=keep)
 
     @verb("filter")
     def loc(self, first: int, last: int, order_by: list) -> Frame:
@@ -162,8 +204,14 @@ class Frame:
         return self._add("sample", self.df.sample(fraction, seed), f"sample {fraction}")
 
     @verb("sort")
-    def sort_values(self, *by: str, ascending: bool = True) -> Frame:
-        return self._add("sort_values", self.df.orderBy(*[F.col(c).asc_nulls_last() if ascending else F.col(c).desc_nulls_last() for c in by]), f"sort {by}", by=by)
+    def sort_values(self, *by: str, ascending: bool | list[bool] = True) -> Frame:
+        """Nulls last; ascending for all keys or for each."""
+        ways = [ascending] * len(by) if isinstance(ascending, bool) else ascending
+        return self._add("sort_values", self.df.orderBy(*[F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in zip(by, ways, strict=True)]), f"sort {by}", by=by)
+
+    @verb("sort")
+    def sort_index(self, *keys: str, ascending: bool = True) -> Frame:
+        return self._add("sort_index", self.df.orderBy(*[F.col(k).asc_nulls_last() if ascending else F.col(k).desc_nulls_last() for k in keys]), f"sort_index {keys}", by=keys)
 
     # values
     @verb("mutate", types=True, row_wise=True)
@@ -174,6 +222,11 @@ class Frame:
     def astype(self, types: dict[str, str], coerce: bool = False) -> Frame:
         return self._add("astype", self.df.withColumns({c: F.col(c).try_cast(t) if coerce else F.col(c).cast(t) for c, t in types.items()}), f"astype {types}", touched=[*types])
 
+    @verb("mutate", types=True)
+    def convert_dtypes(self) -> Frame:
+        """Floating columns of whole numbers as long: the one verb that runs a job, to look at the values."""
+        return self._add("convert_dtypes", reshape.convert_dtypes(self.df))
+
     @verb("mutate", row_wise=True)
     def fillna(self, values: dict[str, Any]) -> Frame:
         return self._add("fillna", self.df.na.fill(values), f"fillna {values}", touched=[*values])
@@ -191,10 +244,10 @@ class Frame:
         return self._add("replace", self.df.replace(values, subset=[column]), f"replace {column}", touched=[column])
 
     @verb("mutate", types=True, row_wise=True)
-    def map(self, column: str, values: dict) -> Frame:
-        """Values by a dictionary; others become null."""
-        pairs = [F.lit(x) for pair in values.items() for x in pair]
-        return self._add("map", self.df.withColumn(column, F.element_at(F.create_map(*pairs), F.col(column))), f"map {column}", touched=[column])
+    def map(self, column: str, values: dict | Callable[[Column], Column]) -> Frame:
+        """Values by a dictionary, others becoming null, or by a function that makes an expression of the column."""
+        made = values(F.col(column)) if callable(values) else F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col(column))
+        return self._add("map", self.df.withColumn(column, made), f"map {column}", touched=[column])
 
     @verb("mutate", types=True)
     def apply(self, function: Callable, schema: str) -> Frame:
@@ -208,6 +261,12 @@ class Frame:
         keys = (left_on or on or [c for c in self.df.columns if c in right.df.columns], right_on or on or [c for c in self.df.columns if c in right.df.columns])
         return self._add("merge", out, f"merge {how} {keys[0]}", [(self, "left"), (right, "right")], how=how, left_on=keys[0], right_on=keys[1], suffixes=suffixes, null_safe=null_safe)
 
+    @verb("join")
+    def join(self, right: Frame, on: list[str], how: str = "left", suffixes: tuple[str, str] = ("_x", "_y")) -> Frame:
+        """merge on the columns that serve as both sides' index, all rows of the left by default."""
+        out = joins.merge(self.df, right.df, on, how=how, suffixes=suffixes)
+        return self._add("join", out, f"join {how} {on}", [(self, "left"), (right, "right")], how=how, left_on=on, right_on=on, suffixes=suffixes, null_safe=False)
+
     @verb("concat")
     def concat(self, *others: Frame) -> Frame:
         return self._add("concat", joins.concat([self.df, *[o.df for o in others]]), "concat", [(f, "input") for f in (self, *others)])
@@ -234,6 +293,18 @@ class Frame:
     def pivot(self, index: list[str], columns: str, values: list, value: str) -> Frame:
         return self._add("pivot", reshape.pivot(self.df, index, columns, values, value), "pivot")
 
+    @verb("reshape", types=True)
+    def stack(self, ids: list[str], values: list[str] | None = None, var_name: str = "variable", value_name: str = "value") -> Frame:
+        return self._add("stack", reshape.stack(self.df, ids, values, var_name, value_name), "stack")
+
+    @verb("reshape")
+    def unstack(self, index: list[str], columns: str, values: list, value: str) -> Frame:
+        return self._add("unstack", reshape.pivot(self.df, index, columns, values, value), f"unstack {columns}")
+
+    @verb("reshape", types=True)
+    def transpose(self, label: str, labels: list, name: str = "variable") -> Frame:
+        return self._add("transpose", reshape.transpose(self.df, label, labels, name), "transpose")
+
     @verb("aggregate", types=True)
     def pivot_table(self, index: list[str], columns: str, values: list, agg: Column) -> Frame:
         return self._add("pivot_table", reshape.pivot_table(self.df, index, columns, values, agg), "pivot_table")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections import deque
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,10 @@ from plumbline.plans.pipeline import ROW_WISE, TYPE_OPS, Pipeline, Step
 
 #: Rows of an example, columns of null examples for a step, columns up to which a schema check is made.
 EXAMPLE_ROWS, NULL_COLUMNS, SCHEMA_COLUMNS = 5, 3, 40
+#: Steps of a report whose jobs run at a time.
+JOBS = 4
+#: Operations whose dropped rows Report.examples can show.
+SHOWN = ("filter", "query", "dropna", "drop_duplicates")
 #: Share of rows lost from which a loss is a warning, and from which an earlier filter is worth a hint.
 GREAT_LOSS, WORTH = 0.5, 0.1
 
@@ -27,6 +33,9 @@ class Facts:
     nulls: dict[str, int]
     n_unique: dict[str, int | None] = field(default_factory=dict)
     details: dict = field(default_factory=dict)
+    #: Seconds that the step's aggregate took beside the others, and the optimizer's estimate of the frame's bytes.
+    seconds: float = 0.0
+    bytes: int = 0
 
 
 @dataclass
@@ -36,6 +45,8 @@ class Finding:
     step: int
     message: str
     column: str | None = None
+    #: The kind of Report.examples that shows rows of it.
+    example: str | None = None
 
 
 @dataclass
@@ -45,6 +56,8 @@ class Hint:
     message: str
     #: "auto": Catalyst does it already; "actionable": it can't.
     status: str
+    #: Code to write instead.
+    suggestion: str = ""
 
 
 @dataclass
@@ -57,8 +70,22 @@ class Check:
 
 
 def facts(df: DataFrame, distinct: bool) -> Facts:
-    rows = profile.profile(df, distinct).collect()
-    return Facts(rows[0]["rows"] if rows else df.count(), dict(df.dtypes), {r["column"]: r["null_count"] for r in rows}, {r["column"]: r["n_unique"] for r in rows} if distinct else {})
+    """Distinct values are exact up to profile.EXACT_ROWS rows, estimated beyond."""
+    began = time.monotonic()
+    rows = profile.profile(df, distinct, distinct and df.count() > profile.EXACT_ROWS).collect()
+    out = Facts(rows[0]["rows"] if rows else df.count(), dict(df.dtypes), {r["column"]: r["null_count"] for r in rows}, {r["column"]: r["n_unique"] for r in rows} if distinct else {})
+    out.seconds, out.bytes = round(time.monotonic() - began, 3), profile.estimated_bytes(df)
+    return out
+
+
+def numbers(pipeline: Pipeline, s: Step) -> dict:
+    """What one aggregate tells of a join's or a grouping's inputs; nothing of other steps."""
+    before = [pipeline.steps[i].df for i, _ in s.inputs]
+    if s.category == "join" and s.args["how"] in ("inner", "left", "right", "outer"):
+        return joins.join_stats(*before, s.args["left_on"], s.args["right_on"], s.args["how"], s.args["null_safe"]).first().asDict()
+    if s.op in ("groupby", "value_counts") and before:
+        return groups.group_stats(before[0], s.args["keys"], s.args["dropna"]).first().asDict()
+    return {}
 
 
 class Report:
@@ -71,21 +98,26 @@ class Report:
     @classmethod
     def of(cls, pipeline: Pipeline, distinct: bool, cache_shared: bool) -> Report:
         shared = [s.df.persist() for s in pipeline.steps if len(pipeline.consumers(s)) > 1] if cache_shared else []
-        known = {}
-        for s in pipeline.steps:
-            f = known[s.id] = facts(s.df, distinct)
+        # the steps' jobs don't depend on each other: a few run side by side, so that none leaves the cluster idle
+        with ThreadPoolExecutor(JOBS) as pool:
+            made = list(pool.map(lambda s: facts(s.df, distinct), pipeline.steps))
+            counted = list(pool.map(lambda s: numbers(pipeline, s), pipeline.steps))
+        known = {s.id: f for s, f in zip(pipeline.steps, made, strict=True)}
+        for s, more in zip(pipeline.steps, counted, strict=True):
+            f = known[s.id]
+            f.details = more
             before = [pipeline.steps[i] for i, _ in s.inputs]
             if s.category in ("filter", "limit") and before:
                 n = known[before[0].id].rows
                 f.details = {"rows_in": n, "rows_out": f.rows, "rows_dropped": n - f.rows, "pct_kept": round(100 * f.rows / n, 2) if n else None}
-            elif s.op == "merge" and s.args["how"] in ("inner", "left", "right", "outer"):
+            elif s.category == "join" and more:
                 left, right = before
-                f.details = joins.join_stats(left.df, right.df, s.args["left_on"], s.args["right_on"], s.args["how"], s.args["null_safe"]).first().asDict()
                 f.details |= {"key_types": joins.key_type_mismatches(left.df, right.df, s.args["left_on"], s.args["right_on"]), "collisions": joins.suffix_collisions(left.df, right.df, s.df, s.args["suffixes"])}
             elif s.op == "concat":
                 f.details = {"rows_per_input": [known[b.id].rows for b in before], "rows_out": f.rows, "columns_not_in_all_inputs": joins.columns_not_in_all([b.df for b in before])}
-            elif s.op in ("groupby", "value_counts") and before:
-                f.details = groups.group_stats(before[0].df, s.args["keys"], s.args["dropna"]).first().asDict()
+            elif not before:
+                files = s.df.inputFiles()
+                f.details = {"files": len(files), "first_file": min(files, default=None), "columns": len(s.df.columns), "bytes": f.bytes}
         for df in shared:
             df.unpersist()
         return cls(pipeline, known)
@@ -98,9 +130,9 @@ class Report:
         elif kind == "dropped" and step.op in ("filter", "query"):
             found = filters.dropped_rows(before[0], step.args["condition"])
         elif kind == "dropped" and step.op == "dropna":
-            found = filters.missing_rows(before[0], step.args["subset"], step.args["how"])
+            found = filters.missing_rows(before[0], step.args["subset"], step.args["how"], step.args["thresh"])
         elif kind == "dropped" and step.op == "drop_duplicates":
-            found = filters.duplicates(before[0], step.args["keys"], step.args["order_by"])
+            found = filters.duplicates(before[0], step.args["keys"], step.args["order_by"], step.args["keep"])
         elif kind == "dropped":
             raise ValueError(f"{step.op} has no examples of dropped rows")
         else:
@@ -110,6 +142,18 @@ class Report:
             found = joins.unmatched(own, other, a, b, step.args["null_safe"]) if what == "unmatched" else joins.duplicate_key_rows(own, a) if what == "duplicate_keys" else joins.null_key_rows(own, a)
         return found.orderBy(*order_by).limit(n)
 
+    def null_examples(self, step: Step, order_by: list) -> dict[str, DataFrame]:
+        """Rows with nulls for each of the first NULL_COLUMNS columns that have more nulls than before the step."""
+        before = self.facts[step.inputs[0][0]].nulls if step.inputs else {}
+        rose = [c for c, n in self.facts[step.id].nulls.items() if n > before.get(c, 0)]
+        return {c: self.examples(step, "nulls", order_by, column=c) for c in rose[:NULL_COLUMNS]}
+
+    def example_of(self, finding: Finding, order_by: list) -> DataFrame | None:
+        """Rows that show a finding, where there are any to show."""
+        if not finding.example:
+            return None
+        return self.examples(self.pipeline.steps[finding.step], finding.example, order_by, finding.column)
+
     def schema_change(self, step: Step) -> dict:
         if not step.inputs:
             return {"added": [], "removed": [], "dtype_changed": {}}
@@ -122,17 +166,19 @@ class Report:
         return {
             "steps": spark.createDataFrame(steps, "id int, op string, category string, label string, name string, rows long, details string"),
             "edges": spark.createDataFrame(edges, "source int, target int, role string"),
+            "checks": spark.createDataFrame([(c.kind, c.step, c.code, c.passes, c.reason) for c in self.checks], "kind string, step int, code string, passes boolean, reason string"),
+            "hints": spark.createDataFrame([(h.kind, h.step, h.message, h.status, h.suggestion) for h in self.hints], "kind string, step int, message string, status string, suggestion string"),
             "findings": spark.createDataFrame([(f.kind, f.severity, f.step, f.column, f.message) for f in self.findings], "kind string, severity string, step int, column string, message string"),
         }
 
     def to_json(self) -> str:
-        steps = [{"id": s.id, "op": s.op, "category": s.category, "label": s.label, "name": s.name, "inputs": s.inputs, "schema_change": self.schema_change(s), **asdict(self.facts[s.id])} for s in self.pipeline.steps]
+        steps = [{"id": s.id, "op": s.op, "category": s.category, "label": s.label, "name": s.name, "site": s.site, "inputs": s.inputs, "schema_change": self.schema_change(s), **asdict(self.facts[s.id])} for s in self.pipeline.steps]
         return json.dumps({"steps": steps, "findings": [asdict(f) for f in self.findings], "checks": [asdict(c) for c in self.checks], "hints": [asdict(h) for h in self.hints], "warnings": self.pipeline.warnings}, default=str)
 
     def text(self) -> str:
-        lines = [f"{s.id:>3} {s.category:<10} {s.label}: {self.facts[s.id].rows} rows, {len(s.df.columns)} columns" for s in self.pipeline.steps]
+        lines = [f"{s.id:>3} {s.category:<10} {s.label}: {self.facts[s.id].rows} rows, {len(s.df.columns)} columns, {self.facts[s.id].seconds} s" for s in self.pipeline.steps]
         lines += [f"{f.severity}: step {f.step}: {f.message}" for f in self.findings]
-        lines += [f"hint ({h.status}): step {h.step}: {h.message}" for h in self.hints]
+        lines += [f"hint ({h.status}): step {h.step}: {h.message}" + (f"; write {h.suggestion}" if h.suggestion else "") for h in self.hints]
         return "\n".join(lines)
 
     def checks_script(self) -> str:
@@ -150,37 +196,37 @@ def findings(pipeline: Pipeline, known: dict[int, Facts]) -> list[Finding]:
         before = known[s.inputs[0][0]]
         d = f.details
         if before.rows and not f.rows:
-            out.append(Finding("row_loss", "error", s.id, f"no rows are left of {before.rows}"))
+            out.append(Finding("row_loss", "error", s.id, f"no rows are left of {before.rows}", example="dropped" if s.op in SHOWN else None))
         elif s.category in ("filter", "limit") and f.rows < before.rows:
             lost = before.rows - f.rows
-            out.append(Finding("row_loss", "warning" if lost >= GREAT_LOSS * before.rows else "info", s.id, f"{lost} of {before.rows} rows are dropped"))
+            out.append(Finding("row_loss", "warning" if lost >= GREAT_LOSS * before.rows else "info", s.id, f"{lost} of {before.rows} rows are dropped", example="dropped" if s.op in SHOWN else None))
         rose = [c for c, n in f.nulls.items() if n > before.nulls.get(c, 0)]
         if not (s.category == "reshape" and sum(f.nulls.values()) <= sum(before.nulls.values())):
             for c in rose:
                 if c not in seen:
                     seen.add(c)
-                    out.append(Finding("null_origin", "warning", s.id, f"nulls of {c} first appear here: {before.nulls.get(c, 0)} before, {f.nulls[c]} after", c))
+                    out.append(Finding("null_origin", "warning", s.id, f"nulls of {c} first appear here: {before.nulls.get(c, 0)} before, {f.nulls[c]} after", c, "nulls"))
         if s.op not in TYPE_OPS:
             for c, t in f.dtypes.items():
                 if c in before.dtypes and before.dtypes[c] != t:
                     out.append(Finding("dtype_drift", "warning", s.id, f"{c} was {before.dtypes[c]} and is {t}", c))
-        if s.op == "merge" and d:
+        if s.category == "join" and d:
             how = s.args["how"]
             if d["cardinality"] == "m:m":
-                out.append(Finding("join", "error", s.id, "keys repeat on both sides"))
+                out.append(Finding("join", "error", s.id, "keys repeat on both sides", example="duplicate_keys_right"))
             if d["explosion_factor"] and d["explosion_factor"] > 1 and how in ("left", "inner"):
-                out.append(Finding("row_explosion", "warning", s.id, f"each left row makes {d['explosion_factor']} rows"))
+                out.append(Finding("row_explosion", "warning", s.id, f"each left row makes {d['explosion_factor']} rows", example="duplicate_keys_right"))
             if d["left_only"] and how == "inner":
-                out.append(Finding("row_loss", "warning", s.id, f"{d['left_only']} left rows have no match and are lost"))
+                out.append(Finding("row_loss", "warning", s.id, f"{d['left_only']} left rows have no match and are lost", example="unmatched_left"))
             if d["left_only"] and how == "left":
-                out.append(Finding("join", "info", s.id, f"{d['left_only']} left rows have no match"))
+                out.append(Finding("join", "info", s.id, f"{d['left_only']} left rows have no match", example="unmatched_left"))
             for a, ta, b, tb in d["key_types"]:
                 out.append(Finding("join", "warning", s.id, f"keys differ in type: {a} {ta}, {b} {tb}", a))
             if d["collisions"]:
                 out.append(Finding("join", "info", s.id, f"columns of both sides got suffixes: {', '.join(d['collisions'])}"))
             if d["left_null_keys"] or d["right_null_keys"]:
                 means = "match each other" if s.args["null_safe"] else "match nothing"
-                out.append(Finding("join", "warning", s.id, f"null keys {means}: {d['left_null_keys']} left, {d['right_null_keys']} right"))
+                out.append(Finding("join", "warning", s.id, f"null keys {means}: {d['left_null_keys']} left, {d['right_null_keys']} right", example="null_keys_left" if d["left_null_keys"] else "null_keys_right"))
     return out
 
 
@@ -191,7 +237,7 @@ def checks(pipeline: Pipeline, known: dict[int, Facts], found: list[Finding]) ->
     for s in pipeline.steps:
         f, d = known[s.id], known[s.id].details
         before = [pipeline.steps[i] for i, _ in s.inputs]
-        if s.op == "merge" and d:
+        if s.category == "join" and d:
             side, keys = (before[1], s.args["right_on"]) if d["suggested_validate"] == "m:1" else (before[0], s.args["left_on"])
             out.append(Check("unique_keys", s.id, f"assert {name(side)}.count() == {name(side)}.select({keys!r}).distinct().count()", d["validate_passes"], f"join {d['suggested_validate']}"))
             for b, k, n in ((before[0], s.args["left_on"], d["left_null_keys"]), (before[1], s.args["right_on"], d["right_null_keys"])):
@@ -200,7 +246,7 @@ def checks(pipeline: Pipeline, known: dict[int, Facts], found: list[Finding]) ->
                     out.append(Check("not_null", s.id, f"assert {name(b)}.filter({test!r}).isEmpty()", True, "join keys hold no null"))
             if s.args["how"] == "left":
                 out.append(Check("row_count", s.id, f"assert {name(s)}.count() == {name(before[0])}.count()", f.rows == known[before[0].id].rows, "a left join keeps the number of rows"))
-        if (s.op == "merge" and s.args["how"] == "inner") or s.category in ("filter", "limit"):
+        if (s.category == "join" and s.args["how"] == "inner") or s.category in ("filter", "limit"):
             out.append(Check("not_empty", s.id, f"assert not {name(s)}.isEmpty()", f.rows > 0, "rows are left"))
         if s.name and not pipeline.consumers(s) and len(f.dtypes) <= SCHEMA_COLUMNS:
             out.append(Check("schema", s.id, f"assert dict({name(s)}.dtypes) == {f.dtypes!r}", True, "the result's columns and types"))
@@ -226,29 +272,29 @@ def hints(pipeline: Pipeline, known: dict[int, Facts]) -> list[Hint]:
         if s.op in ("filter", "query") and d["rows_in"] and d["rows_dropped"] >= WORTH * d["rows_in"]:
             before = pipeline.steps[s.inputs[0][0]]
             used = catalyst.filter_columns(s.df)
-            if before.op == "merge" and len(pipeline.consumers(before)) == 1:
+            if before.category == "join" and len(pipeline.consumers(before)) == 1:
                 if used and _one_side(pipeline, before, used):
-                    out.append(Hint("filter_before_join", s.id, f"{', '.join(sorted(used))} could be filtered before the join", "auto"))
+                    out.append(Hint("filter_before_join", s.id, f"{', '.join(sorted(used))} could be filtered before the join", "auto", f"{s.label} on the input of step {before.id} that has the columns"))
                 if catalyst.narrowed(s.df):
-                    out.append(Hint("join_narrowed", s.id, "this filter makes the outer join an inner one", "actionable"))
+                    out.append(Hint("join_narrowed", s.id, "this filter makes the outer join an inner one", "actionable", "how='inner'"))
             elif before.category == "sort" or (before.op in ROW_WISE and used and not used & set(before.args["touched"])):
-                out.append(Hint("filter_earlier", s.id, f"the filter could come before {before.op}", "auto"))
+                out.append(Hint("filter_earlier", s.id, f"the filter could come before {before.op}", "auto", f"{s.label}, then {before.label}"))
         if s.category == "sort":
             after = pipeline.consumers(s)
             if len(after) == 1 and after[0].category == "sort":
-                out.append(Hint("useless_sort", s.id, "the next step sorts anew", "auto"))
+                out.append(Hint("useless_sort", s.id, "the next step sorts anew", "auto", after[0].label))
             elif len(after) == 1 and after[0].op in ("groupby", "agg", "value_counts") and not any(_ORDERED.search(str(c)) for c in after[0].args.get("made", {}).values()):
                 kept = catalyst.has_sort(after[0].df)
-                out.append(Hint("useless_sort", s.id, "the order doesn't matter to the aggregate that follows", "actionable" if kept else "auto"))
+                out.append(Hint("useless_sort", s.id, "the order doesn't matter to the aggregate that follows", "actionable" if kept else "auto", after[0].label))
         if s.op == "apply":
-            out.append(Hint("row_apply", s.id, "a Python function; an expression would stay in the JVM", "actionable"))
+            out.append(Hint("row_apply", s.id, "a Python function; an expression would stay in the JVM", "actionable", "assign() with functions of pyspark.sql"))
         if not s.inputs:
             unused = catalyst.unused_columns(pipeline, s)
             if unused:
-                out.append(Hint("unused_columns", s.id, f"no later step reads {', '.join(unused)}", "auto"))
+                out.append(Hint("unused_columns", s.id, f"no later step reads {', '.join(unused)}", "auto", f"select({', '.join(repr(c) for c in s.df.columns if c not in unused)})"))
             for path in s.df.inputFiles() if s.op != "source" else []:
                 if path in reads and reads[path] != s.id:
-                    out.append(Hint("duplicate_read", s.id, f"step {reads[path]} reads the same files; cache() would save a scan", "actionable"))
+                    out.append(Hint("duplicate_read", s.id, f"step {reads[path]} reads the same files; cache() would save a scan", "actionable", f"the frame of step {reads[path]}"))
                     break
                 reads[path] = s.id
     return out
@@ -285,7 +331,14 @@ def diff(report: Report, a: int, b: int) -> dict:
             columns[c] = f"renamed from {renamed[c]}" if renamed.get(c) in fa.dtypes and renamed[c] not in fb.dtypes else "added"
         elif c not in renamed.values() or c in fb.dtypes:
             columns[c] = "removed"
-    return {"relation": "same" if a == b else relation if path is not None else "unrelated", "path": path or [], "rows": (fa.rows, fb.rows), "columns": columns}
+    return {"relation": "same" if a == b else relation if path is not None else "unrelated", "path": path or [], "rows": (fa.rows, fb.rows), "bytes": fb.bytes - fa.bytes, "columns": columns}
+
+
+def diff_text(d: dict) -> str:
+    """A difference in words: how the steps are related, then rows, then the columns that aren't the same."""
+    (a, b), other = d["rows"], {c: how for c, how in d["columns"].items() if how != "same"}
+    lines = [f"{d['relation']}, over steps {' > '.join(map(str, d['path']))}" if d["path"] else d["relation"], f"rows: {a} to {b} ({b - a:+d})"]
+    return "\n".join([*lines, *[f"{c}: {how}" for c, how in other.items()]] if other else [*lines, "all columns are the same"])
 
 
 def _path(pipeline: Pipeline, a: int, b: int) -> list[int] | None:
