@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import mode_first, to_datetime, to_numeric
 from plumbline.operators import filters, groups, joins, profile, reshape
 from plumbline.plans.pipeline import Frame, Pipeline
+from plumbline.plans.report import diff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -120,10 +121,12 @@ query("per_group_head", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number
 query("per_group_tail", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n <= 2")(lambda t: filters.numbered(t.orders.df, ["o_custkey"], [F.col("o_orderkey").desc()]).where("__n <= 2").select("o_custkey", "o_orderkey"))
 query("group_cumsum", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 3) AS total FROM events")(lambda t: groups.running(t.events.df, ["user_id"], ["event_id"], total=F.sum("value")).select("event_id", F.round("total", 3).alias("total")))
 query("group_cumcount", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events")(lambda t: groups.running(t.events.df, ["user_id"], ["event_id"], n=F.count(F.lit(1))).select("event_id", (F.col("n") - 1).alias("n")))
-for method, sql in {"average": "(2 * rank() OVER w + count(*) OVER (PARTITION BY o_custkey, o_orderpriority) - 1) / 2.0::DOUBLE", "min": "rank() OVER w", "dense": "dense_rank() OVER w"}.items():
-    kind = "DOUBLE" if method == "average" else "INTEGER"
+for method, sql in {"average": "(2 * rank() OVER w + count(*) OVER (PARTITION BY o_custkey, o_orderpriority) - 1) / 2.0::DOUBLE", "min": "rank() OVER w", "dense": "dense_rank() OVER w", "max": "rank() OVER w + count(*) OVER (PARTITION BY o_custkey, o_orderpriority) - 1"}.items():
+    kind = {"average": "DOUBLE", "max": "BIGINT"}.get(method, "INTEGER")
     query(f"group_rank_{method}", f"SELECT o_orderkey, ({sql})::{kind} AS r FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")(lambda t, method=method: groups.rank(t.orders.df, ["o_custkey"], "o_orderpriority", "r", method).select("o_orderkey", "r"))
-query("group_idxmax", "SELECT user_id, arg_max(event_id, value * 1000000 + event_id * 0.000001) AS at FROM events GROUP BY 1")(lambda t: t.events.agg(["user_id"], at=F.max_by("event_id", F.col("value") * 1000000 + F.col("event_id") * 0.000001)))
+query("group_idxmax", "SELECT user_id, event_id AS at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events) WHERE n = 1")(lambda t: t.events.agg(["user_id"], at=F.max_by("event_id", F.struct("value", -F.col("event_id")))))
+query("group_idxmin", "SELECT user_id, event_id AS at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS n FROM events) WHERE n = 1")(lambda t: t.events.agg(["user_id"], at=F.min_by("event_id", F.struct("value", "event_id"))))
+query("group_rank_first", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INTEGER AS r FROM orders")(lambda t: t.orders.rank(["o_custkey"], "o_orderkey", "r", "first").select("o_orderkey", "r"))
 query("group_value_counts", "SELECT user_id, event_type, count(*) AS count FROM events GROUP BY ALL")(lambda t: t.events.agg(["user_id", "event_type"], count=F.count(F.lit(1))))
 query("group_describe", "SELECT l_returnflag, count(l_quantity) AS l_quantity_count, round(avg(l_quantity), 6) AS l_quantity_mean, min(l_quantity) AS l_quantity_min, quantile_cont(l_quantity, 0.25) AS l_quantity_p25, quantile_cont(l_quantity, 0.5) AS l_quantity_p50, quantile_cont(l_quantity, 0.75) AS l_quantity_p75, max(l_quantity) AS l_quantity_max FROM lineitem GROUP BY 1")(
     lambda t: reshape.describe(t.lineitem.df, ["l_quantity"], ["l_returnflag"]).withColumn("l_quantity_mean", F.round("l_quantity_mean", 6)).drop("l_quantity_std")
@@ -204,3 +207,137 @@ query("row_flow", "SELECT 1::INTEGER AS id, 'select' AS op, (SELECT count(*) FRO
 )
 query("null_origin_by_step", "SELECT 5::INTEGER AS step, 'toxic' AS \"column\", 'null_origin' AS kind")(lambda t: revenue(t).pipeline.report().as_dataframes(t.spark)["findings"].where("kind = 'null_origin'").select("step", "column", "kind"))
 query("findings")(lambda t: revenue(t).pipeline.report().as_dataframes(t.spark)["findings"])
+
+# ---------------------------------------------------------------- more verbs
+
+query("column", "SELECT c_name FROM customer")(lambda t: t.customer.column("c_name"))
+query("to_frame", "SELECT c_mktsegment AS segment FROM customer")(lambda t: t.customer.column("c_mktsegment").to_frame("segment"))
+query("rename_axis", "SELECT c_custkey AS id, c_name FROM customer")(lambda t: t.customer.select("c_custkey", "c_name").rename_axis({"c_custkey": "id"}))
+query("set_index", "SELECT n_name, n_nationkey, n_regionkey FROM nation")(lambda t: t.nation.set_index("n_name"))
+query("reset_index", "SELECT n_name, n_nationkey FROM nation")(lambda t: t.nation.select("n_nationkey", "n_name").set_index("n_name").reset_index())
+query("copy", "SELECT * FROM supplier")(lambda t: t.supplier.copy())
+query("filter_items", "SELECT p_partkey, p_size FROM part")(lambda t: t.part.filter_columns(items=["p_partkey", "p_size", "absent"]))
+query("filter_regex", "SELECT o_orderdate, o_orderpriority, o_orderstatus FROM orders")(lambda t: t.orders.filter_columns(regex="(date|y|status)$").drop("o_orderkey", "o_custkey"))
+query("sort_index", "SELECT o_custkey, o_orderkey FROM orders ORDER BY o_custkey DESC, o_orderkey DESC")(lambda t: t.orders.select("o_custkey", "o_orderkey").sort_index("o_custkey", "o_orderkey", ascending=False))
+query("sort_mixed", "SELECT o_orderkey, status FROM (SELECT * FROM " + NULLED + " t ORDER BY status DESC NULLS LAST, o_orderkey LIMIT 50)")(lambda t: nulled(t).select("o_orderkey", "status").sort_values("status", "o_orderkey", ascending=[False, True]).df.limit(50))
+query("dropna_thresh", f"SELECT o_orderkey FROM {NULLED} t WHERE (price IS NOT NULL)::INTEGER + (status IS NOT NULL)::INTEGER >= 1")(lambda t: nulled(t).dropna(["price", "status"], thresh=1).select("o_orderkey"))
+query("dropped_rows_thresh", f"SELECT o_orderkey FROM {NULLED} t WHERE (price IS NOT NULL)::INTEGER + (status IS NOT NULL)::INTEGER < 2")(lambda t: filters.missing_rows(nulled(t).df, ["price", "status"], thresh=2).select("o_orderkey"))
+query("drop_duplicates_last", "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")(lambda t: t.orders.drop_duplicates(["o_custkey"], ["o_orderkey"], keep="last").select("o_custkey", "o_orderkey"))
+query("drop_duplicates_none", "SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2 HAVING count(*) = 1")(lambda t: t.orders.drop_duplicates(["o_custkey", "o_orderdate"], ["o_orderkey"], keep="none").select("o_custkey", "o_orderdate", "o_orderkey"))
+query("dropped_rows_dedupe_none", "SELECT o_orderkey FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey, o_orderdate) AS n FROM orders) WHERE n > 1")(lambda t: filters.duplicates(t.orders.df, ["o_custkey", "o_orderdate"], ["o_orderkey"], "none").select("o_orderkey"))
+query("map_function", "SELECT c_custkey, upper(c_name) AS c_name FROM customer")(lambda t: t.customer.select("c_custkey", "c_name").map("c_name", F.upper))
+query("isin_verb", "SELECT o_orderkey, o_orderstatus IN ('F', 'P') AS closed FROM orders")(lambda t: t.orders.isin("o_orderstatus", ["F", "P"], "closed").select("o_orderkey", "closed"))
+query("convert_dtypes", "SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS l_quantity, l_discount FROM lineitem")(lambda t: t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount").convert_dtypes())
+query("join_verb", "SELECT c.c_custkey, c_name, n FROM customer c LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS n FROM orders GROUP BY 1) o USING (c_custkey)")(
+    lambda t: t.customer.select("c_custkey", "c_name").join(t.orders.rename({"o_custkey": "c_custkey"}).agg(["c_custkey"], n=F.count(F.lit(1))), on=["c_custkey"])
+)
+query("concat_columns_verb", "SELECT doc_id, d.n_chars, l.quality FROM documents d FULL JOIN labels l USING (doc_id)")(lambda t: t.documents.select("doc_id", "n_chars").concat_columns(t.labels.select("doc_id", "quality"), ["doc_id"]))
+query("stack", f"SELECT o_orderkey, 'price' AS variable, price AS value FROM {NULLED} t WHERE price IS NOT NULL UNION ALL SELECT o_orderkey, 'customer', o_custkey::DOUBLE FROM orders")(
+    lambda t: nulled(t).select("o_orderkey", "price", F.col("o_custkey").cast("double").alias("customer")).stack(["o_orderkey"])
+)
+STATES = ["F", "O", "P"]
+query("unstack", "SELECT o_custkey, " + ", ".join(f"sum(o_totalprice) FILTER (o_orderstatus = '{s}') IS NOT NULL AS \"{s}\"" for s in STATES) + " FROM orders GROUP BY 1")(
+    lambda t: t.orders.agg(["o_custkey", "o_orderstatus"], any=F.lit(True) & (F.count(F.lit(1)) > 0)).unstack(["o_custkey"], "o_orderstatus", STATES, "any").fillna({s: False for s in STATES})
+)
+query("transpose", "SELECT 'n' AS variable, " + ", ".join(f"(count(*) FILTER (o_orderstatus = '{s}'))::DOUBLE AS \"{s}\"" for s in STATES) + " FROM orders UNION ALL SELECT 'top', " + ", ".join(f"max(o_totalprice) FILTER (o_orderstatus = '{s}')" for s in STATES) + " FROM orders")(
+    lambda t: t.orders.agg(["o_orderstatus"], n=F.count(F.lit(1)).cast("double"), top=F.max("o_totalprice")).transpose("o_orderstatus", STATES)
+)
+query("describe_verb", "SELECT event_type, count(value) AS value_count, min(value) AS value_min, max(value) AS value_max FROM events GROUP BY 1")(lambda t: t.events.describe(["value"], ["event_type"]).select("event_type", "value_count", "value_min", "value_max"))
+query("approximate_distinct", "SELECT 'o_custkey' AS \"column\", true AS near")(
+    lambda t: profile.profile(t.orders.df.select("o_custkey"), approximate=True).join(t.orders.df.agg(F.count_distinct("o_custkey").alias("exact"))).select("column", (F.abs(F.col("n_unique") / F.col("exact") - 1) < 0.2).alias("near"))
+)
+
+# ---------------------------------------------------------------- reports of pipelines
+
+
+def _reported(build: Callable[[Tables], Frame], what: str) -> Callable[[Tables], DataFrame]:
+    """The report's table `what` of the pipeline that build records."""
+    columns = {"findings": ("step", "kind", "severity", "column"), "checks": ("step", "kind", "passes"), "hints": ("step", "kind", "status")}[what]
+    return lambda t: build(t).pipeline.report().as_dataframes(t.spark)[what].select(*columns)
+
+
+def _inner(t: Tables) -> Frame:
+    return t.customer.select("c_custkey", "c_name").merge(t.events.select("event_id", "user_id"), left_on=["c_custkey"], right_on=["user_id"])
+
+
+def _many(t: Tables) -> Frame:
+    return t.nation.select("n_nationkey", "n_regionkey").merge(t.nation.select("n_nationkey", "n_regionkey"), on=["n_regionkey"])
+
+
+def _null_keys(t: Tables) -> Frame:
+    return nulled(t).select("o_orderkey", "status").merge(nulled(t).agg(["status"], n=F.count(F.lit(1))), on=["status"], how="left")
+
+
+def _types(t: Tables) -> Frame:
+    texts = t.customer.select("c_custkey", "c_name").astype({"c_custkey": "string"})
+    return t.orders.select("o_orderkey", "o_custkey").merge(texts, left_on=["o_custkey"], right_on=["c_custkey"]).where("c_name", F.lit(True))
+
+
+def _nothing(t: Tables) -> Frame:
+    return t.orders.select("o_orderkey", "o_totalprice").filter("o_totalprice < 0")
+
+
+def _late_filter(t: Tables) -> Frame:
+    return t.orders.select("o_orderkey", "o_custkey", "o_totalprice").merge(t.customer.select("c_custkey", "c_name"), left_on=["o_custkey"], right_on=["c_custkey"]).filter("o_totalprice > 100000")
+
+
+_finding = lambda step, kind, severity, column="NULL", where="true": f"SELECT {step}::INTEGER AS step, '{kind}' AS kind, '{severity}' AS severity, {column}::VARCHAR AS \"column\" WHERE {where}"
+_all = " UNION ALL ".join
+query("findings_inner_join", _all([
+    _finding(4, "row_explosion", "warning", where="(SELECT count(*) FROM customer JOIN events ON c_custkey = user_id) > (SELECT count(*) FROM customer)"),
+    _finding(4, "row_loss", "warning", where="(SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)) > 0"),
+]))(_reported(_inner, "findings"))
+query("findings_many_to_many", _all([
+    _finding(4, "join", "error", where="(SELECT count(*) > count(DISTINCT n_regionkey) FROM nation)"),
+    _finding(4, "row_explosion", "warning", where="(SELECT count(*) FROM nation a JOIN nation b USING (n_regionkey)) > (SELECT count(*) FROM nation)"),
+    _finding(4, "join", "info"),
+]))(_reported(_many, "findings"))
+query("findings_null_keys", _all([
+    _finding(1, "null_origin", "warning", "'price'", f"(SELECT count(*) > count(price) FROM {NULLED} t)"),
+    _finding(1, "null_origin", "warning", "'status'", f"(SELECT count(*) > count(status) FROM {NULLED} t)"),
+    _finding(6, "null_origin", "warning", "'n'", f"(SELECT count(*) > count(status) FROM {NULLED} t)"),
+    _finding(6, "join", "info", where=f"(SELECT count(*) > count(status) FROM {NULLED} t)"),
+    _finding(6, "join", "warning", where=f"(SELECT count(*) > count(status) FROM {NULLED} t)"),
+]))(_reported(_null_keys, "findings"))
+query("findings_key_types", _all([
+    _finding(5, "join", "warning", "'o_custkey'"),
+    _finding(5, "row_loss", "warning", where="(SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) > 0"),
+]))(_reported(_types, "findings"))
+query("findings_empty_result", _finding(2, "row_loss", "error", where="(SELECT count(*) FROM orders WHERE o_totalprice < 0) = 0"))(_reported(_nothing, "findings"))
+query("findings_filter_loss", "SELECT 2::INTEGER AS step, 'row_loss' AS kind, CASE WHEN 2 * lost >= n THEN 'warning' ELSE 'info' END AS severity, NULL::VARCHAR AS \"column\" FROM (SELECT count(*) AS n, count(*) FILTER (o_totalprice >= 150000) AS lost FROM orders) WHERE lost > 0")(
+    _reported(lambda t: t.orders.select("o_orderkey", "o_totalprice").filter("o_totalprice < 150000"), "findings")
+)
+query("checks_of_pipeline", _all([
+    "SELECT 2::INTEGER AS step, 'not_empty' AS kind, (SELECT count(*) FROM documents WHERE n_chars > 500) > 0 AS passes",
+    "SELECT 5, 'unique_keys', (SELECT count(*) = count(DISTINCT doc_id) FROM labels)",
+    "SELECT 5, 'not_null', true WHERE (SELECT count(*) FROM documents WHERE n_chars > 500 AND doc_id IS NULL) = 0",
+    "SELECT 5, 'not_null', true WHERE (SELECT count(*) FROM labels WHERE doc_id IS NULL) = 0",
+    "SELECT 5, 'row_count', (SELECT count(*) FROM documents LEFT JOIN labels USING (doc_id) WHERE n_chars > 500) = (SELECT count(*) FROM documents WHERE n_chars > 500)",
+    "SELECT 5, 'not_null', false WHERE (SELECT count(*) FROM documents WHERE n_chars > 500 AND doc_id NOT IN (SELECT doc_id FROM labels)) > 0",
+    "SELECT 6, 'schema', true",
+    "SELECT 6, 'dtype', false",  # toxic is an int before the aggregate and a long after it
+]))(_reported(lambda t: revenue(t), "checks"))
+query("hints_filter_before_join", "SELECT 5::INTEGER AS step, 'filter_before_join' AS kind, 'auto' AS status WHERE (SELECT count(*) FILTER (o_totalprice > 100000) FROM orders) <= 0.9 * (SELECT count(*) FROM orders)")(
+    lambda t: _reported(_late_filter, "hints")(t).where("kind <> 'unused_columns'")
+)
+query("examples_nulls", "SELECT doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE n_chars > 500 AND toxic IS NULL ORDER BY doc_id LIMIT 5")(
+    lambda t: (lambda r: r.null_examples(r.pipeline.steps[5], ["doc_id"])["toxic"].select("doc_id"))(revenue(t).pipeline.report())
+)
+query("examples_of_findings", "SELECT doc_id FROM documents WHERE NOT coalesce(n_chars > 500, false) ORDER BY doc_id LIMIT 5")(
+    lambda t: (lambda r: r.example_of(next(f for f in r.findings if f.kind == "row_loss"), ["doc_id"]).select("doc_id"))(revenue(t).pipeline.report())
+)
+query("step_facts", "SELECT 2::INTEGER AS step, 'rows_dropped' AS fact, (SELECT count(*) FROM documents WHERE NOT coalesce(n_chars > 500, false)) AS value UNION ALL SELECT 5, 'left_only', (SELECT count(*) FROM documents WHERE n_chars > 500 AND doc_id NOT IN (SELECT doc_id FROM labels)) UNION ALL SELECT 6, 'n_groups', (SELECT count(DISTINCT lang) FROM documents WHERE n_chars > 500)")(
+    lambda t: (lambda r: t.spark.createDataFrame([(i, k, r.facts[i].details[k]) for i, k in ((2, "rows_dropped"), (5, "left_only"), (6, "n_groups"))], "step int, fact string, value long"))(revenue(t).pipeline.report())
+)
+query("concat_facts", "SELECT 0::INTEGER AS input, count(*) AS rows FROM customer UNION ALL SELECT 1, count(*) FROM supplier")(
+    lambda t: (lambda f: t.spark.createDataFrame([*enumerate(f.pipeline.report().facts[f.step.id].details["rows_per_input"])], "input int, rows long"))(t.customer.column("c_name").to_frame("name").concat(t.supplier.column("s_name").to_frame("name")))
+)
+
+
+def _differences(t: Tables) -> DataFrame:
+    end = nulled(t).rename({"status": "state"}).fillna({"price": 0.0})
+    d = diff(end.pipeline.report(), 1, end.step.id)
+    return t.spark.createDataFrame([(c, how, *d["rows"]) for c, how in d["columns"].items()], "column string, change string, rows_before long, rows_after long")
+
+
+query("step_diff", f"SELECT c AS \"column\", h AS change, n AS rows_before, n AS rows_after FROM (VALUES ('o_orderkey', 'same'), ('o_custkey', 'same'), ('state', 'renamed from status')) v(c, h), (SELECT count(*) AS n FROM orders) UNION ALL SELECT 'price', CASE WHEN count(*) > count(price) THEN 'changed' ELSE 'same' END, count(*), count(*) FROM {NULLED} t")(_differences)
