@@ -85,4 +85,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+#: Equal payloads by their text; base32 of each 20 bits (5 hexadecimal digits) of the digest as 4 letters.
+_OP3 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS kept FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('{_LETTERS}234567', (((('0x' || substr(hex, (i // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM d"""
+
+#: Two sets that link share one of each one's n - ceil(0.9 n) + 1 rarest shingles; those pairs are counted in full.
+_OP4 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+f AS (SELECT g, count(*) AS df FROM e GROUP BY g),
+r AS (SELECT doc_id, n, g, row_number() OVER (PARTITION BY doc_id ORDER BY df, g) AS place FROM e JOIN f USING (g)),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE a.place <= a.n - (9 * a.n + 9) // 10 + 1 AND b.place <= b.n - (9 * b.n + 9) // 10 + 1 AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)),
+i AS (SELECT a, b, na, nb, len(list_intersect(x.s, y.s)) AS common FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b),
+l AS (SELECT a, b FROM i WHERE 100 * common >= 90 * (na + nb - common)),
+links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.doc_id)
+SELECT s.doc_id, len(s) AS n_shingles, m.component_id FROM s JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op3_warc": _OP3, "op4_jaccard_join": _OP4}
