@@ -58,15 +58,22 @@ def renames(a: DataFrame, b: DataFrame) -> dict[str, str]:
     return out
 
 
+def _nodes(plan):
+    yield plan
+    for child in _list(plan.children()):
+        yield from _nodes(child)
+
+
 def unused_columns(pipeline, step) -> list[str]:
-    """Columns of a source that no result needs: not in any result's optimized plan."""
+    """Columns of a source that no result needs: no result has a column of that name, nor does an operator of its optimized plan read one."""
     results = [s for s in pipeline.steps if not pipeline.consumers(s) and s is not step]
     if not results:
         return []
-    text = "\n".join(_plan(s.df, "optimizedPlan").toString() for s in results)
-    kept = {m for line in text.splitlines() if re.search(r"Relation|LocalRelation|LogicalRDD|Project|InMemoryRelation", line) for m in re.findall(r"(\w+)#\d+", line)}
-    projected = {m for line in text.splitlines() if "Project [" in line for m in re.findall(r"(\w+)#\d+", line)}
-    scanned = [line for line in text.splitlines() if re.search(r"\b(Relation|LogicalRDD)\b", line)]
-    used = projected if scanned and projected else kept
-    used |= {m for line in text.splitlines() if re.search(r"Filter|Join|Aggregate|Sort", line) for m in re.findall(r"(\w+)#\d+", line)}
+    used = set()
+    for plan in (_plan(s.df, "optimizedPlan") for s in results):
+        used |= {a.name() for a in _list(plan.output())}
+        for node in _nodes(plan):
+            it = node.references().iterator()
+            while it.hasNext():
+                used.add(it.next().name())
     return [c for c in step.df.columns if c not in used]

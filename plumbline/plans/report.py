@@ -74,7 +74,7 @@ def facts(df: DataFrame, distinct: bool) -> Facts:
     began = time.monotonic()
     rows = profile.profile(df, distinct, distinct and df.count() > profile.EXACT_ROWS).collect()
     out = Facts(rows[0]["rows"] if rows else df.count(), dict(df.dtypes), {r["column"]: r["null_count"] for r in rows}, {r["column"]: r["n_unique"] for r in rows} if distinct else {})
-    out.seconds, out.bytes = round(time.monotonic() - began, 3), profile.estimated_bytes(df)
+    out.seconds = round(time.monotonic() - began, 3)
     return out
 
 
@@ -115,11 +115,14 @@ class Report:
                 f.details |= {"key_types": joins.key_type_mismatches(left.df, right.df, s.args["left_on"], s.args["right_on"]), "collisions": joins.suffix_collisions(left.df, right.df, s.df, s.args["suffixes"])}
             elif s.op == "concat":
                 f.details = {"rows_per_input": [known[b.id].rows for b in before], "rows_out": f.rows, "columns_not_in_all_inputs": joins.columns_not_in_all([b.df for b in before])}
-            elif not before:
-                files = s.df.inputFiles()
-                f.details = {"files": len(files), "first_file": min(files, default=None), "columns": len(s.df.columns), "bytes": f.bytes}
         for df in shared:
             df.unpersist()
+        # a frame keeps the plan that is first asked for: ask when no cache hides what is below it
+        for s in pipeline.steps:
+            known[s.id].bytes = profile.estimated_bytes(s.df)
+            if not s.inputs:
+                files = s.df.inputFiles()
+                known[s.id].details = {"files": len(files), "first_file": min(files, default=None), "columns": len(s.df.columns), "bytes": known[s.id].bytes}
         return cls(pipeline, known)
 
     def examples(self, step: Step, kind: str, order_by: list, column: str | None = None, n: int = EXAMPLE_ROWS) -> DataFrame:

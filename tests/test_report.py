@@ -69,6 +69,24 @@ def test_hints(spark, sf):
     assert {("join_narrowed", "actionable"), ("useless_sort", "actionable"), ("row_apply", "actionable"), ("duplicate_read", "actionable"), ("unused_columns", "auto")} <= hints
 
 
+def test_unused_columns_of_a_wide_table(spark):
+    p = Pipeline()
+    wide = p.source(spark.createDataFrame([tuple(range(60))], [f"c{i}" for i in range(60)]))
+    wide.filter("c59 > 1").select(*[f"c{i}" for i in range(55)])
+    (hint,) = [h for h in p.report().hints if h.kind == "unused_columns"]
+    assert hint.message.endswith("reads c55, c56, c57, c58")
+
+
+def test_shared_sources_keep_their_files(spark, sf):
+    p = Pipeline()
+    one, two = (p.source(spark.read.parquet(f"{sf}/nation.parquet"), "nation", "read_parquet") for _ in range(2))
+    for n in (one, two):
+        n.select("n_name").merge(n.select("n_name", "n_regionkey"), on=["n_name"])
+    r = p.report()
+    assert [r.facts[s.step.id].details["files"] for s in (one, two)] == [1, 1] and "duplicate_read" in {h.kind for h in r.hints}
+    assert p.steps[0].site.split(":")[0].endswith("test_report.py") and "bytes" in r.to_json()
+
+
 @pytest.mark.parametrize(
     "how, condition, expected",
     [
