@@ -1,4 +1,4 @@
-"""The queries of the ten operators, over whole tables, and their SQL where SQL can express them."""
+"""The queries of the numbered operators, over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, fingerprints, jaccard_join, lm_scoring, packing, substring_dedup, token_counts, token_files, toxicity, warc
+from plumbline.llm import decontamination, exact_dedup, fingerprints, jaccard_join, lm_scoring, packing, substring_dedup, token_counts, token_files, toxicity, warc
 from plumbline.llm.common import shared_path
 
 
@@ -72,6 +72,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, lm_scoring.fit(docs))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_files": op2_token_files,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -111,4 +116,10 @@ links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.doc_id)
 SELECT s.doc_id, len(s) AS n_shingles, m.component_id FROM s JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op3_warc": _OP3, "op4_jaccard_join": _OP4}
+#: Equal texts by the texts themselves.
+_OP13 = f"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY t)"""
+
+ORACLE_SQL: dict[str, str] = {"op3_warc": _OP3, "op4_jaccard_join": _OP4, "op13_exact_dedup": _OP13}
