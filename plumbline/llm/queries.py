@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, exact_dedup, fingerprints, jaccard_join, lm_scoring, packing, substring_dedup, token_counts, token_files, toxicity, warc
+from plumbline.llm import decontamination, exact_dedup, fingerprints, jaccard_join, lm_scoring, packing, prefix_trie, substring_dedup, token_counts, token_files, toxicity, warc
 from plumbline.llm.common import shared_path
 
 
@@ -72,6 +72,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, lm_scoring.fit(docs))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.branched(prefix_trie.turns_of(_table(spark, sf_dir, "conversations"))))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(_table(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -116,10 +121,27 @@ links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.doc_id)
 SELECT s.doc_id, len(s) AS n_shingles, m.component_id FROM s JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)"""
 
+#: crc32 of the decimal id byte by byte, bit by bit (the polynomial is a fixed value); prefixes as lists of turns.
+_OP12 = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS n FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT DISTINCT conv_id AS c, conv_id::VARCHAR AS s FROM t),
+h AS (SELECT c, c - c % 5 AS base, xor(4294967295, list_reduce(list_transform(range(0, len(s) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295 ELSE ord(s[i]) END),
+  lambda x, y: list_reduce(list_prepend(xor(x, y), range(0, 8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1))))) % 9 AS h FROM i),
+r AS (SELECT c, n AS place, r, t FROM h JOIN t ON conv_id = base AND n <= h UNION ALL SELECT c, n + 8, r, t FROM h JOIN t ON conv_id = c AND n > h),
+s AS (SELECT c, coalesce(list({'r': r, 't': t} ORDER BY place) FILTER (WHERE place IS NOT NULL), []) AS turns FROM h LEFT JOIN r USING (c) GROUP BY c),
+n AS (SELECT c, d, turns[1:d] AS p, d = len(turns) AS ends FROM s, unnest(range(0, len(turns) + 1)) AS u(d)),
+g AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '') AS ends FROM n GROUP BY p, d),
+k AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1, 2),
+b AS (SELECT g.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * CASE WHEN g.d = 0 THEN 0 ELSE strlen(g.p[g.d].t) END AS own FROM g LEFT JOIN k ON k.p = g.p AND k.d = g.d),
+x AS (SELECT p[1:e] AS p, e AS d, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM b, unnest(range(0, d + 1)) AS u(e) GROUP BY 1, 2)
+SELECT b.conv_id, b.d AS depth, a.conv_id AS parent_conv_id, b.n_convs, b.n_children, n_leaves, saved_tokens, sha256(b.ends) AS ends_sha256
+FROM b JOIN x ON x.p = b.p AND x.d = b.d LEFT JOIN g a ON b.d > 0 AND a.d = b.d - 1 AND a.p = b.p[1:b.d - 1]"""
+
 #: Equal texts by the texts themselves.
 _OP13 = f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
 FROM t WINDOW same AS (PARTITION BY t)"""
 
-ORACLE_SQL: dict[str, str] = {"op3_warc": _OP3, "op4_jaccard_join": _OP4, "op13_exact_dedup": _OP13}
+ORACLE_SQL: dict[str, str] = {"op3_warc": _OP3, "op4_jaccard_join": _OP4, "op12_prefix_trie": _OP12, "op13_exact_dedup": _OP13}
