@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, exact_dedup, fingerprints, jaccard_join, lm_scoring, packing, prefix_trie, substring_dedup, token_counts, token_files, toxicity, warc
+from plumbline.llm import decontamination, exact_dedup, fingerprints, jaccard_join, lm_scoring, packing, prefix_trie, substring_dedup, token_alignment, token_counts, token_files, toxicity, warc
 from plumbline.llm.common import shared_path
 
 
@@ -72,6 +72,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, lm_scoring.fit(docs))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.link_statistics(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.branched(prefix_trie.turns_of(_table(spark, sf_dir, "conversations"))))
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_token_alignment": op11_token_alignment,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_exact_dedup": op13_exact_dedup,
 }
