@@ -41,6 +41,47 @@ def duplicates(df: DataFrame, keys: list[str], order_by: list, keep: str = "firs
     return _marked(df, keys, order_by, keep).where(f"NOT ({_KEPT[keep]})").drop("__n", "__of")
 
 
+def _row_hash(df: DataFrame, columns: list[str]) -> list[Column]:
+    """128 bits of a row's values, by column name; nulls and where they stand count."""
+    kinds = dict(df.dtypes)
+    values = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kinds[c] else F.col(f"`{c}`") for c in columns]
+    nulls = F.array(*[v.isNull() for v in values])
+    return [F.xxhash64(F.lit(seed), nulls, *values) for seed in (1, 2)]
+
+
+def lost_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(h1, h2, lost): rows of before that after has fewer of, by their hash; a row that occurs twice may be lost once.
+
+    Both sides are put together before anything moves, as +1 and -1 for a row, and added up where they are read, so one
+    shuffle moves a hash and a number for each distinct row of a task.
+    """
+    columns = [c for c in before.columns if c in after.columns]
+    sides = []
+    for df, sign in ((before, 1), (after, -1)):
+        a, b = _row_hash(df, columns)
+        sides.append(df.select(a.alias("h1"), b.alias("h2"), F.lit(sign).cast("long").alias("n")))
+    return sides[0].union(sides[1]).groupBy("h1", "h2").agg(F.sum("n").alias("lost")).where("lost > 0")
+
+
+def lost_rows(before: DataFrame, after: DataFrame, n: int | None = None) -> DataFrame:
+    """The rows of before that are not in after, each as often as it was lost (n of them at most), whatever dropped them.
+
+    after has columns of before; rows are told apart by these.
+    """
+    lost = lost_counts(before, after)
+    columns = [c for c in before.columns if c in after.columns]
+    a, b = _row_hash(before, columns)
+    marked = before.withColumns({"__h1": a, "__h2": b})
+    same = (F.col("__h1") == F.col("h1")) & (F.col("__h2") == F.col("h2"))
+    if n is not None:
+        # one row of each hash, as often as it was lost: no more than n rows of a hash ever meet
+        few = marked.join(F.broadcast(lost.orderBy("h1", "h2").limit(n)), same)
+        one = few.groupBy("h1", "h2", "lost").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in before.columns])).alias("row"))
+        return one.select("row.*", F.explode(F.sequence(F.lit(1), F.least("lost", F.lit(n)))).alias("__n")).drop("__n").limit(n)
+    order = Window.partitionBy("__h1", "__h2").orderBy("lost")
+    return marked.join(lost, same).withColumn("__n", F.row_number().over(order)).where("__n <= lost").drop("__h1", "__h2", "h1", "h2", "lost", "__n")
+
+
 def missing_rows(df: DataFrame, subset: list[str] | None = None, how: str = "any", thresh: int | None = None) -> DataFrame:
     """The rows that dropna leaves out; thresh: those with fewer values than that, whatever how says."""
     if thresh is not None:

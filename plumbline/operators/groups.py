@@ -42,9 +42,20 @@ def running(df: DataFrame, keys: list[str], order_by: list, **made: Column) -> D
 
 
 def rank(df: DataFrame, keys: list[str], by: str, name: str, method: str = "average", ascending: bool = True) -> DataFrame:
-    """df with the rank of `by` in its group: average, min, max, dense or first (of tied rows any order)."""
-    w = Window.partitionBy(*keys).orderBy(F.col(by).asc() if ascending else F.col(by).desc())
+    """df with the rank of `by` in its group: average, min, max, dense or first (of tied rows any order); nulls have none and don't count."""
+    w = Window.partitionBy(*keys).orderBy(F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last())
     ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, by))
     least = F.rank().over(w)
     value = {"average": (2 * least + ties - 1) / 2.0, "min": least, "max": least + ties - 1, "dense": F.dense_rank().over(w), "first": F.row_number().over(w)}[method]
     return df.withColumn(name, F.when(F.col(by).isNotNull(), value))
+
+
+def filter_groups(df: DataFrame, keys: list[str], condition: Column) -> DataFrame:
+    """The rows of the groups whose aggregates meet the condition.
+
+    The groups that do are found by an aggregate and joined back, so that the rows of one key need not meet in one task.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    found = df.groupBy(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)]).agg(condition.alias("__kept")).where("__kept").drop("__kept")
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    return df.join(found, same, "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 
 def _plan(df: DataFrame, which: str):
@@ -15,6 +15,44 @@ def _list(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
+def condition_of(df: DataFrame) -> str:
+    """The condition of the filter on top of the plan, as SQL; empty where there is none."""
+    plan = _plan(df, "analyzed")
+    return plan.condition().sql() if plan.nodeName() == "Filter" else ""
+
+
+def repeated(frames: dict[int, DataFrame]) -> list[tuple[list[int], str]]:
+    """Parts of plans that occur more than once over all frames: the frames' numbers (one for each occurrence) and the part's operators.
+
+    Parts are compared in canonical form, so other names and ids of attributes make no difference. Only the largest parts
+    are told, those of more than a relation (and its projection), and each occurrence once.
+    """
+    met: dict[int, list[tuple[int, int]]] = {}
+    shapes: dict[int, str] = {}
+    above: dict[int, set[int]] = {}
+
+    def walk(n: int, plan, parents: tuple[int, ...]) -> None:
+        key, children = plan.semanticHash(), _list(plan.children())
+        met.setdefault(key, []).append((n, len(parents)))
+        if key not in shapes:
+            shapes[key] = " > ".join(x.nodeName() for x in _nodes(plan))
+        above.setdefault(key, set()).update(parents[-1:])
+        for child in children:
+            walk(n, child, (*parents, key))
+
+    for n, df in frames.items():
+        walk(n, _plan(df, "optimizedPlan"), ())
+    work = lambda key: any(w in shapes[key].split(" > ") for w in ("Join", "Aggregate", "Window", "Sort", "Filter", "Generate", "MapInPandas"))
+    often = {k for k, places in met.items() if len(places) > 1 and work(k)}
+    top = [k for k in often if not any(p in often and len(met[p]) >= len(met[k]) for p in above[k])]
+    return sorted(([n for n, _ in met[k]], shapes[k]) for k in top)
+
+
+def observed(observation: Observation) -> bool:
+    """Whether the metrics of an observation are there to be read."""
+    return observation._jo is not None and observation._jo.future().isCompleted()
+
+
 def filter_columns(df: DataFrame) -> set[str]:
     """The columns that the filter on top of the plan reads."""
     plan = _plan(df, "analyzed")
@@ -38,42 +76,138 @@ def narrowed(df: DataFrame) -> bool:
     return sum(after) < sum(before) or after[0] < before[0]
 
 
+def _nodes(plan):
+    yield plan
+    for child in _list(plan.children()):
+        yield from _nodes(child)
+
+
+def _ids(attributes) -> set[int]:
+    """The ids of a set of attributes."""
+    it, out = attributes.iterator(), set()
+    while it.hasNext():
+        out.add(it.next().exprId().id())
+    return out
+
+
 def lineage(df: DataFrame) -> dict[str, int]:
     """Column to the id of the attribute it is."""
     return {a.name(): a.exprId().id() for a in _list(_plan(df, "analyzed").output())}
 
 
+def _made(plan) -> list:
+    """The expressions that give a node's own columns: those of projections, aggregates and windows."""
+    name = plan.nodeName()
+    if name == "Project":
+        return _list(plan.projectList())
+    if name == "Aggregate":
+        return _list(plan.aggregateExpressions())
+    return _list(plan.windowExpressions()) if name == "Window" else []
+
+
 def renames(a: DataFrame, b: DataFrame) -> dict[str, str]:
-    """Columns of b that are a column of a under another name (an alias of nothing but the attribute)."""
-    ids = {v: k for k, v in lineage(a).items()}
-    text = _plan(b, "analyzed").toString()
+    """Columns of b that are a column of a under another name: followed through aliases of nothing but an attribute."""
+    known = {v: k for k, v in lineage(a).items()}
+    same: dict[int, int] = {}
+    for node in _nodes(_plan(b, "analyzed")):
+        for e in _made(node):
+            if e.nodeName() == "Alias" and e.child().nodeName() == "AttributeReference":
+                same[e.exprId().id()] = e.child().exprId().id()
     out = {}
     for name, i in lineage(b).items():
-        if i in ids:
-            if ids[i] != name:
-                out[name] = ids[i]
-        elif m := re.search(rf"(\w+)#(\d+)L? AS {re.escape(name)}#{i}L?\b", text):
-            if ids.get(int(m[2])) not in (None, name):
-                out[name] = ids[int(m[2])]
+        while i not in known and i in same:
+            i = same[i]
+        if i in known and known[i] != name:
+            out[name] = known[i]
     return out
 
 
-def _nodes(plan):
-    yield plan
-    for child in _list(plan.children()):
-        yield from _nodes(child)
+def origins(df: DataFrame, sources: list[DataFrame]) -> dict[str, list[tuple[int, str]]]:
+    """The columns of sources (by number and name) that each column of df is made of, through any operator.
+
+    A column that an operator makes of rows as a whole (a Python function of batches) is made of all that it reads.
+    """
+    found: dict[int, set[tuple[int, str]]] = {}
+    relations: dict[int, list[int]] = {}
+    for n, source in enumerate(sources):
+        for name, i in lineage(source).items():
+            found.setdefault(i, set()).add((n, name))
+        for node in _nodes(_plan(source, "analyzed")):
+            if not _list(node.children()):
+                relations.setdefault(node.semanticHash(), [a.exprId().id() for a in _list(node.output())])
+    of = lambda ids: set().union(*[found.get(i, set()) for i in ids])
+
+    def walk(plan) -> None:
+        children = _list(plan.children())
+        out = [a.exprId().id() for a in _list(plan.output())]
+        if all(i in found for i in out):
+            return
+        if not children:  # a relation that a plan reads twice has new ids the second time
+            for mine, copy in zip(relations.get(plan.semanticHash(), []), out, strict=False):
+                if mine in found:
+                    found.setdefault(copy, found[mine])
+        for child in children:
+            walk(child)
+        for e in _made(plan):
+            if e.exprId().id() not in found:
+                found[e.exprId().id()] = of(_ids(e.references()))
+        if plan.nodeName() == "Union":
+            sides = [[a.exprId().id() for a in _list(c.output())] for c in children]
+            for k, i in enumerate(out):
+                found[i] = found.get(i, set()) | of([side[k] for side in sides])
+        elif plan.nodeName() == "Generate":
+            for i in out:
+                found.setdefault(i, of(_ids(plan.generator().references())))
+        elif plan.nodeName() == "Expand":
+            rows = [_list(r) for r in _list(plan.projections())]
+            for k, i in enumerate(out):
+                found.setdefault(i, of(set().union(*[_ids(r[k].references()) for r in rows])))
+        below = [a.exprId().id() for c in children for a in _list(c.output())]
+        for i in out:
+            if i not in found:
+                found[i] = of(below)
+
+    walk(_plan(df, "analyzed"))
+    return {name: sorted(found.get(i, set())) for name, i in lineage(df).items()}
 
 
 def unused_columns(pipeline, step) -> list[str]:
-    """Columns of a source that no result needs: no result has a column of that name, nor does an operator of its optimized plan read one."""
+    """Columns of a source that no result needs: neither a result nor an operator of its optimized plan reads the attribute.
+
+    Attributes are told apart by their ids, not names. The optimizer gives a source that is read twice in one plan new
+    ids; such a copy is known by its relation, unless it is another source of the pipeline.
+    """
     results = [s for s in pipeline.steps if not pipeline.consumers(s) and s is not step]
     if not results:
         return []
-    used = set()
+    own = lineage(step.df)
+    others = {i for s in pipeline.steps if not s.inputs and s is not step for i in lineage(s.df).values()}
+    leaves = {n.semanticHash(): [a.exprId().id() for a in _list(n.output())] for n in _nodes(_plan(step.df, "analyzed")) if not _list(n.children())}
+    used: set[int] = set()
     for plan in (_plan(s.df, "optimizedPlan") for s in results):
-        used |= {a.name() for a in _list(plan.output())}
+        read, copies = {a.exprId().id() for a in _list(plan.output())}, {}
+        for node in _nodes(plan):
+            if _list(node.children()):
+                read |= _ids(node.references())
         for node in _nodes(plan):
-            it = node.references().iterator()
-            while it.hasNext():
-                used.add(it.next().name())
-    return [c for c in step.df.columns if c not in used]
+            if not _list(node.children()):
+                outputs = [a.exprId().id() for a in _list(node.output())]
+                for mine, copy in zip(leaves.get(node.semanticHash(), []), outputs, strict=False):
+                    if copy != mine and copy not in others:
+                        copies[copy] = mine
+        used |= read | {copies[i] for i in read if i in copies}
+    same = _aliases(_plan(step.df, "analyzed"))
+    return [c for c, i in own.items() if i not in used and not _reaches(same, used, i)]
+
+
+def _aliases(plan) -> dict[int, int]:
+    return {e.exprId().id(): e.child().exprId().id() for node in _nodes(plan) for e in _made(node) if e.nodeName() == "Alias" and e.child().nodeName() == "AttributeReference"}
+
+
+def _reaches(same: dict[int, int], used: set[int], i: int) -> bool:
+    """Whether an attribute below, of which this one is an alias, is used: the optimizer puts it in the alias's place."""
+    while i in same:
+        i = same[i]
+        if i in used:
+            return True
+    return False

@@ -14,14 +14,13 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import filters, groups, joins, profile
 from plumbline.plans import catalyst
+from plumbline.plans.observed import JOBS, Runs
 from plumbline.plans.pipeline import ROW_WISE, TYPE_OPS, Pipeline, Step
 
 #: Rows of an example, columns of null examples for a step, columns up to which a schema check is made.
 EXAMPLE_ROWS, NULL_COLUMNS, SCHEMA_COLUMNS = 5, 3, 40
-#: Steps of a report whose jobs run at a time.
-JOBS = 4
-#: Operations whose dropped rows Report.examples can show.
-SHOWN = ("filter", "query", "dropna", "drop_duplicates")
+#: Categories whose dropped rows Report.examples can show.
+SHOWN = ("filter", "other")
 #: Share of rows lost from which a loss is a warning, and from which an earlier filter is worth a hint.
 GREAT_LOSS, WORTH = 0.5, 0.1
 
@@ -33,7 +32,7 @@ class Facts:
     nulls: dict[str, int]
     n_unique: dict[str, int | None] = field(default_factory=dict)
     details: dict = field(default_factory=dict)
-    #: Seconds that the step's aggregate took beside the others, and the optimizer's estimate of the frame's bytes.
+    #: Seconds of the run that counted the step (with all others it counted), and the optimizer's estimate of the frame's bytes.
     seconds: float = 0.0
     bytes: int = 0
 
@@ -78,9 +77,9 @@ def facts(df: DataFrame, distinct: bool) -> Facts:
     return out
 
 
-def numbers(pipeline: Pipeline, s: Step) -> dict:
-    """What one aggregate tells of a join's or a grouping's inputs; nothing of other steps."""
-    before = [pipeline.steps[i].df for i, _ in s.inputs]
+def numbers(pipeline: Pipeline, s: Step, frames: dict[int, DataFrame]) -> dict:
+    """What one aggregate of the keys tells of a join's or a grouping's inputs; nothing of other steps. frames: cached ones."""
+    before = [frames.get(i, pipeline.steps[i].df) for i, _ in s.inputs]
     if s.category == "join" and s.args["how"] in ("inner", "left", "right", "outer"):
         return joins.join_stats(*before, s.args["left_on"], s.args["right_on"], s.args["how"], s.args["null_safe"]).first().asDict()
     if s.op in ("groupby", "value_counts") and before:
@@ -88,6 +87,31 @@ def numbers(pipeline: Pipeline, s: Step) -> dict:
     return {}
 
 
+def measure(pipeline: Pipeline, distinct: bool, cache_shared: bool) -> tuple[dict[int, Facts], dict[int, dict]]:
+    """The facts of all steps, from one run of each result where that is sure to count all of them, and the numbers of joins and groupings."""
+    runs = Runs(pipeline, distinct, cache_shared)
+    try:
+        seen = runs.run()
+        cached = {i: runs.frames[i] for i in runs.cached}
+        with ThreadPoolExecutor(JOBS) as pool:
+            counted = dict(zip([s.id for s in pipeline.steps], pool.map(lambda s: numbers(pipeline, s, cached), pipeline.steps), strict=True))
+            for s in pipeline.steps:
+                if s.category == "join" and counted[s.id]:
+                    for (i, _), rows in zip(s.inputs, (counted[s.id]["rows_left"], counted[s.id]["rows_right"]), strict=True):
+                        if i in seen and seen[i]["rows"] != rows:
+                            for k in runs.above(i):
+                                seen.pop(k, None)
+            alone = [s for s in pipeline.steps if s.id not in seen or (distinct and seen[s.id]["rows"] <= profile.EXACT_ROWS)]
+            known = dict(zip([s.id for s in alone], pool.map(lambda s: facts(cached.get(s.id, s.df), distinct), alone), strict=True))
+    finally:
+        runs.release()
+    for s in pipeline.steps:
+        if s.id not in known:
+            m, columns = seen[s.id], s.df.columns
+            known[s.id] = Facts(m["rows"], dict(s.df.dtypes), {c: m[f"n{i}"] for i, c in enumerate(columns)}, {c: m.get(f"d{i}") for i, c in enumerate(columns)} if distinct else {}, seconds=runs.seconds[runs.run_of[s.id]])
+    return {s.id: known[s.id] for s in pipeline.steps}, counted
+
+
 class Report:
     def __init__(self, pipeline: Pipeline, known: dict[int, Facts]):
         self.pipeline, self.facts = pipeline, known
@@ -97,27 +121,24 @@ class Report:
 
     @classmethod
     def of(cls, pipeline: Pipeline, distinct: bool, cache_shared: bool) -> Report:
-        shared = [s.df.persist() for s in pipeline.steps if len(pipeline.consumers(s)) > 1] if cache_shared else []
-        # the steps' jobs don't depend on each other: a few run side by side, so that none leaves the cluster idle
-        with ThreadPoolExecutor(JOBS) as pool:
-            made = list(pool.map(lambda s: facts(s.df, distinct), pipeline.steps))
-            counted = list(pool.map(lambda s: numbers(pipeline, s), pipeline.steps))
-        known = {s.id: f for s, f in zip(pipeline.steps, made, strict=True)}
-        for s, more in zip(pipeline.steps, counted, strict=True):
+        if not pipeline.steps:
+            return cls(pipeline, {})
+        known, counted = measure(pipeline, distinct, cache_shared)
+        for s in pipeline.steps:
             f = known[s.id]
-            f.details = more
+            f.details = counted[s.id]
             before = [pipeline.steps[i] for i, _ in s.inputs]
             if s.category in ("filter", "limit") and before:
                 n = known[before[0].id].rows
                 f.details = {"rows_in": n, "rows_out": f.rows, "rows_dropped": n - f.rows, "pct_kept": round(100 * f.rows / n, 2) if n else None}
-            elif s.category == "join" and more:
+            elif s.category == "join" and f.details:
                 left, right = before
                 f.details |= {"key_types": joins.key_type_mismatches(left.df, right.df, s.args["left_on"], s.args["right_on"]), "collisions": joins.suffix_collisions(left.df, right.df, s.df, s.args["suffixes"])}
+            elif s.category == "join" and s.args["how"] == "cross":
+                a, b = (known[x.id].rows for x in before)
+                f.details = {"rows_left": a, "rows_right": b, "rows_out": f.rows, "explosion_factor": round(f.rows / a, 4) if a else None}
             elif s.op == "concat":
                 f.details = {"rows_per_input": [known[b.id].rows for b in before], "rows_out": f.rows, "columns_not_in_all_inputs": joins.columns_not_in_all([b.df for b in before])}
-        for df in shared:
-            df.unpersist()
-        # a frame keeps the plan that is first asked for: ask when no cache hides what is below it
         for s in pipeline.steps:
             known[s.id].bytes = profile.estimated_bytes(s.df)
             if not s.inputs:
@@ -137,7 +158,9 @@ class Report:
         elif kind == "dropped" and step.op == "drop_duplicates":
             found = filters.duplicates(before[0], step.args["keys"], step.args["order_by"], step.args["keep"])
         elif kind == "dropped":
-            raise ValueError(f"{step.op} has no examples of dropped rows")
+            if step.category != "filter" and (step.category != "other" or set(step.df.columns) != set(before[0].columns)):
+                raise ValueError(f"{step.op} has no examples of dropped rows")
+            found = filters.lost_rows(before[0], step.df, n)
         else:
             what, side = kind.rsplit("_", 1)
             own, other = (before[0], before[1]) if side == "left" else (before[1], before[0])
@@ -191,29 +214,36 @@ class Report:
 
 def findings(pipeline: Pipeline, known: dict[int, Facts]) -> list[Finding]:
     out: list[Finding] = []
-    seen: set[str] = set()
+    #: Columns of each step whose nulls were told of before.
+    told: dict[int, set[str]] = {}
+    #: The first step that computes a frame; one that computes the same again has nothing new to tell of its nulls.
+    computed: dict[int, int] = {}
     for s in pipeline.steps:
         f = known[s.id]
+        again = computed.setdefault(s.df.semanticHash(), s.id)
         if not s.inputs:
             continue
         before = known[s.inputs[0][0]]
         d = f.details
         if before.rows and not f.rows:
-            out.append(Finding("row_loss", "error", s.id, f"no rows are left of {before.rows}", example="dropped" if s.op in SHOWN else None))
-        elif s.category in ("filter", "limit") and f.rows < before.rows:
+            out.append(Finding("row_loss", "error", s.id, f"no rows are left of {before.rows}", example="dropped" if s.category in SHOWN else None))
+        elif f.rows < before.rows and (s.category in ("filter", "limit") or (s.category == "other" and set(f.dtypes) == set(before.dtypes))):
             lost = before.rows - f.rows
-            out.append(Finding("row_loss", "warning" if lost >= GREAT_LOSS * before.rows else "info", s.id, f"{lost} of {before.rows} rows are dropped", example="dropped" if s.op in SHOWN else None))
-        rose = [c for c, n in f.nulls.items() if n > before.nulls.get(c, 0)]
+            out.append(Finding("row_loss", "warning" if lost >= GREAT_LOSS * before.rows else "info", s.id, f"{lost} of {before.rows} rows are dropped" + _where(s), example="dropped" if s.category in SHOWN else None))
+        # a column is the one it was before under another name, or the one of its own name
+        old = {c: c for c in f.nulls} | catalyst.renames(pipeline.steps[s.inputs[0][0]].df, s.df)
+        told[s.id] = {c for c in f.nulls if c in told.get(again, ()) or any(old[c] in told.get(i, ()) or c in told.get(i, ()) for i, _ in s.inputs)}
+        rose = [c for c, n in f.nulls.items() if n > before.nulls.get(old[c], 0)]
         if not (s.category == "reshape" and sum(f.nulls.values()) <= sum(before.nulls.values())):
             for c in rose:
-                if c not in seen:
-                    seen.add(c)
-                    out.append(Finding("null_origin", "warning", s.id, f"nulls of {c} first appear here: {before.nulls.get(c, 0)} before, {f.nulls[c]} after", c, "nulls"))
+                if c not in told[s.id]:
+                    told[s.id].add(c)
+                    out.append(Finding("null_origin", "warning", s.id, f"nulls of {c} first appear here: {_null_origin(s, d, before.nulls.get(old[c], 0), f.nulls[c])}", c, "nulls"))
         if s.op not in TYPE_OPS:
             for c, t in f.dtypes.items():
                 if c in before.dtypes and before.dtypes[c] != t:
                     out.append(Finding("dtype_drift", "warning", s.id, f"{c} was {before.dtypes[c]} and is {t}", c))
-        if s.category == "join" and d:
+        if s.category == "join" and "cardinality" in d:
             how = s.args["how"]
             if d["cardinality"] == "m:m":
                 out.append(Finding("join", "error", s.id, "keys repeat on both sides", example="duplicate_keys_right"))
@@ -233,6 +263,23 @@ def findings(pipeline: Pipeline, known: dict[int, Facts]) -> list[Finding]:
     return out
 
 
+def _where(s: Step) -> str:
+    """The text of a filter's condition and the place in the caller's code, for a message."""
+    condition = catalyst.condition_of(s.df) if s.op in ("filter", "query") else ""
+    return (f" by {condition}" if condition else "") + (f" ({s.site})" if s.site else "")
+
+
+def _null_origin(s: Step, d: dict, before: int, after: int) -> str:
+    """Why nulls may appear at a step."""
+    if s.category == "join":
+        return f"rows without a match on the other side: {after} nulls"
+    if s.op == "concat":
+        return f"not every input of concat has a value there: {before} nulls in the first input, {after} after"
+    if s.category == "reshape" or s.op in ("pivot_table", "crosstab"):
+        return f"combinations that don't occur: {after} nulls"
+    return f"the step's expression gives null: {before} before, {after} after"
+
+
 def checks(pipeline: Pipeline, known: dict[int, Facts], found: list[Finding]) -> list[Check]:
     """Assertions to put after the steps; passes says how each comes out on the data seen."""
     out: list[Check] = []
@@ -240,7 +287,7 @@ def checks(pipeline: Pipeline, known: dict[int, Facts], found: list[Finding]) ->
     for s in pipeline.steps:
         f, d = known[s.id], known[s.id].details
         before = [pipeline.steps[i] for i, _ in s.inputs]
-        if s.category == "join" and d:
+        if s.category == "join" and "cardinality" in d:
             side, keys = (before[1], s.args["right_on"]) if d["suggested_validate"] == "m:1" else (before[0], s.args["left_on"])
             out.append(Check("unique_keys", s.id, f"assert {name(side)}.count() == {name(side)}.select({keys!r}).distinct().count()", d["validate_passes"], f"join {d['suggested_validate']}"))
             for b, k, n in ((before[0], s.args["left_on"], d["left_null_keys"]), (before[1], s.args["right_on"], d["right_null_keys"])):

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import mode_first, to_datetime, to_numeric
-from plumbline.operators import filters, groups, joins, profile, reshape
+from plumbline.operators import filters, groups, joins, positions, profile, reshape
+from plumbline.plans import catalyst
 from plumbline.plans.pipeline import Frame, Pipeline
 from plumbline.plans.report import diff
 
@@ -341,3 +342,99 @@ def _differences(t: Tables) -> DataFrame:
 
 
 query("step_diff", f"SELECT c AS \"column\", h AS change, n AS rows_before, n AS rows_after FROM (VALUES ('o_orderkey', 'same'), ('o_custkey', 'same'), ('state', 'renamed from status')) v(c, h), (SELECT count(*) AS n FROM orders) UNION ALL SELECT 'price', CASE WHEN count(*) > count(price) THEN 'changed' ELSE 'same' END, count(*), count(*) FROM {NULLED} t")(_differences)
+
+
+# ---------------------------------------------------------------- nulls, positions, groups
+
+query("isin_nulls", f"SELECT o_orderkey, coalesce(status IN ('F', 'P'), false) AS closed FROM {NULLED} t")(lambda t: nulled(t).isin("status", ["F", "P"], "closed").select("o_orderkey", "closed"))
+query("crosstab_nulls", "SELECT status, " + ", ".join(f"count(*) FILTER (band = {b}) AS \"{b}\"" for b in range(3)) + f" FROM (SELECT status, CASE WHEN price IS NOT NULL THEN o_custkey % 3 END AS band FROM {NULLED} t) WHERE status IS NOT NULL AND band IS NOT NULL GROUP BY 1")(
+    lambda t: nulled(t).assign(band=F.when(F.col("price").isNotNull(), F.col("o_custkey") % 3)).crosstab("status", "band", [0, 1, 2])
+)
+query("head_nulls", f"SELECT o_orderkey, price FROM {NULLED} t ORDER BY price ASC NULLS LAST, o_orderkey LIMIT 10")(lambda t: nulled(t).select("o_orderkey", "price").head(10, ["price", "o_orderkey"]))
+for method, sql in {"average": "((2 * rank() OVER w + count(*) OVER (PARTITION BY o_custkey, price) - 1) / 2.0)::DOUBLE", "min": "rank() OVER w::INTEGER", "max": "(rank() OVER w + count(*) OVER (PARTITION BY o_custkey, price) - 1)::BIGINT", "dense": "dense_rank() OVER w::INTEGER", "first": "row_number() OVER w::INTEGER"}.items():
+    expression = sql.replace("rank() OVER w::INTEGER", "(rank() OVER w)::INTEGER").replace("dense_(rank() OVER w)::INTEGER", "(dense_rank() OVER w)::INTEGER").replace("row_number() OVER w::INTEGER", "(row_number() OVER w)::INTEGER")
+    query(f"group_rank_nulls_{method}", f"SELECT o_orderkey, CASE WHEN price IS NOT NULL THEN {expression} END AS r FROM (SELECT o_orderkey, o_custkey, round(price / 20000) AS price FROM {NULLED} t) WINDOW w AS (PARTITION BY o_custkey ORDER BY price ASC NULLS LAST{', o_orderkey' if method == 'first' else ''})")(
+        lambda t, method=method: (
+            nulled(t).assign(price=F.round(F.col("price") / 20000)).assign(by=F.when(F.col("price").isNotNull(), F.struct("price", "o_orderkey") if method == "first" else F.col("price"))).rank(["o_custkey"], "by", "r", method).select("o_orderkey", "r")
+        )
+    )
+query("loc_deep", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 20 OFFSET 12345")(
+    lambda t: t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").loc(12345, 12365, ["l_orderkey", "l_linenumber", "l_partkey"])
+)
+query("row_positions", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS position FROM orders")(
+    lambda t: positions.positions(t.orders.df.select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), "o_orderkey"]).select("o_orderkey", "position")
+)
+query("loc_labels", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 900")(lambda t: t.orders.loc_labels("o_orderkey", 100, 900, ["o_orderkey", "o_totalprice"]))
+query("filter_groups", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 12 AND max(o_totalprice) > 200000)")(
+    lambda t: t.orders.filter_groups(["o_custkey"], (F.count(F.lit(1)) > 12) & (F.max("o_totalprice") > 200000)).select("o_orderkey")
+)
+query("group_head_verb", f"SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY price NULLS LAST, o_orderkey) AS n FROM {NULLED} t) WHERE n <= 2")(lambda t: nulled(t).group_head(["o_custkey"], 2, ["price", "o_orderkey"]).select("o_custkey", "o_orderkey"))
+query("sample_n", "SELECT 100::BIGINT AS n, 100::BIGINT AS different, 0::BIGINT AS others")(
+    lambda t: t.orders.sample(n=100, seed=3).df.join(t.orders.df.select(F.col("o_orderkey").alias("known")), F.col("o_orderkey") == F.col("known"), "left").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("different"), F.count_if(F.col("known").isNull()).alias("others"))
+)
+
+# ---------------------------------------------------------------- reports in one run, lineage, lost rows
+
+
+def _chain(t: Tables) -> Frame:
+    """Twelve steps over the line items, three of which drop rows."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag").filter("l_quantity > 5")
+    rows = rows.assign(net=F.col("l_extendedprice") * (1 - F.col("l_discount"))).where("l_discount", F.col("l_discount") > 0.02).rename({"l_returnflag": "flag"})
+    rows = rows.fillna({"l_discount": 0.0}).filter(F.col("flag") != "R").astype({"l_quantity": "long"}).isin("flag", ["A"], "returned")
+    return rows.mask("net", F.col("net") > 50000).dropna(["net"])
+
+
+_STEPS = [("read_parquet", "true", 11), ("select", "true", 6), ("filter", "q", 6), ("assign", "q", 7), ("where", "q", 7), ("rename", "q", 7), ("fillna", "q", 7), ("filter", "q AND r", 7), ("astype", "q AND r", 7), ("isin", "q AND r", 8), ("mask", "q AND r", 8), ("dropna", "q AND r AND p", 8)]
+_NULLS = {4: "count(*) FILTER (q AND l_discount <= 0.02)", 5: "count(*) FILTER (q AND l_discount <= 0.02)", 10: "count(*) FILTER (q AND r AND NOT p)"}
+query("report_one_pass", "WITH l AS (SELECT *, l_quantity > 5 AS q, l_returnflag <> 'R' AS r, l_extendedprice * (1 - l_discount) <= 50000 AS p FROM lineitem) " + " UNION ALL ".join(f"SELECT {i}::INTEGER AS id, '{'query' if op == 'filter' and i == 2 else op}' AS op, count(*) FILTER ({kept}) AS rows, {columns}::BIGINT AS columns, {_NULLS.get(i, '0::BIGINT')} AS nulls FROM l" for i, (op, kept, columns) in enumerate(_STEPS)))(
+    lambda t: (lambda p, r: t.spark.createDataFrame([(s.id, s.op, r.facts[s.id].rows, len(s.df.columns), sum(r.facts[s.id].nulls.values())) for s in p.steps], "id int, op string, rows long, columns long, nulls long"))(*(lambda f: (f.pipeline, f.pipeline.report()))(_chain(t)))
+)
+
+
+def _wide_renames(t: Tables) -> DataFrame:
+    """Of sixty columns, which are which after a rename, some computed ones, and a swap of two names."""
+    wide = t.nation.select(*[(F.col("n_nationkey") + i).alias(f"c{i}") for i in range(60)])
+    end = wide.rename({"c40": "forty", "c7": "the 7th.one", "c1": "c2", "c2": "c1"}).assign(c50=F.col("c50") + 1)
+    found = catalyst.renames(wide.df, end.df)
+    return t.spark.createDataFrame(sorted(found.items()), "now string, before string").join(t.nation.agg([], n=F.count(F.lit(1))).df)
+
+
+query("renames_by_lineage", "SELECT now, before, (SELECT count(*) FROM nation) AS n FROM (VALUES ('forty', 'c40'), ('the 7th.one', 'c7'), ('c2', 'c1'), ('c1', 'c2')) v(now, before)")(_wide_renames)
+
+
+def _two_sources(t: Tables) -> Frame:
+    """Two sources with the same names of columns, of which one's notes are read."""
+    left = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("notes"), F.col("o_totalprice").alias("amount"))
+    right = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("notes"), F.col("c_acctbal").alias("amount"))
+    own = Pipeline()
+    a, b = own.source(left.df, "left"), own.source(right.df, "right")
+    return a.merge(b, on=["id"]).select("notes_x", "amount_y")
+
+
+query("unused_by_lineage", "SELECT * FROM (VALUES ('left', 'amount'), ('right', 'notes')) v(source, \"column\") WHERE (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) >= 0")(
+    lambda t: (lambda f: t.spark.createDataFrame([(s.label, c) for s in f.pipeline.steps if s.op == "source" for c in catalyst.unused_columns(f.pipeline, s)], "source string, column string"))(_two_sources(t))
+)
+query("column_origins", "SELECT * FROM (VALUES ('revenue', 'orders', 'o_totalprice'), ('revenue', 'customer', 'c_acctbal'), ('who', 'customer', 'c_name'), ('who', 'orders', 'o_orderstatus')) v(\"column\", source, origin)")(
+    lambda t: (lambda o, c: t.spark.createDataFrame([
+        (name, ("orders", "customer")[n], origin)
+        for name, made in catalyst.origins(
+            o.merge(c, left_on=["o_custkey"], right_on=["c_custkey"]).assign(x=F.col("o_totalprice") + F.col("c_acctbal")).select("x", F.col("c_name").alias("who")).concat(o.select(F.col("o_totalprice").alias("x"), F.col("o_orderstatus").alias("who"))).agg(["who"], revenue=F.sum("x")).df,
+            [o.df, c.df],
+        ).items()
+        for n, origin in made
+    ], "column string, source string, origin string"))(t.orders, t.customer)
+)
+query("null_origin_after_rename", f"SELECT 1::INTEGER AS step, c AS \"column\" FROM (VALUES ('price'), ('status')) v(c) WHERE (SELECT count(*) > count(price) FROM {NULLED} t)")(
+    lambda t: nulled(t).rename({"price": "paid", "status": "state"}).assign(twice=F.lit(1)).rename({"paid": "amount"}).pipeline.report().as_dataframes(t.spark)["findings"].where("kind = 'null_origin'").select("step", "column")
+)
+query("lost_rows", "SELECT o_custkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS n FROM orders) WHERE n > 1")(
+    lambda t: filters.lost_rows(t.orders.df.select("o_custkey", "o_orderstatus"), t.orders.df.select("o_custkey", "o_orderstatus").distinct())
+)
+query("lost_counts", "SELECT sum(n - 1)::BIGINT AS total, max(n - 1) AS most FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus) WHERE n > 1")(
+    lambda t: filters.lost_counts(t.orders.df.select("o_custkey", "o_orderstatus"), t.orders.df.select("o_custkey", "o_orderstatus").distinct()).agg(F.sum("lost").alias("total"), F.max("lost").alias("most"))
+)
+query("examples_of_groups", "SELECT n, n = least(5, lost) AS shown FROM (SELECT least(5, count(*)) AS n, count(*) AS lost FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 12))")(
+    lambda t: (lambda f: (lambda r: r.examples(f.step, "dropped", ["o_orderkey"]).join(f.df.select(F.col("o_orderkey").alias("kept")), F.col("o_orderkey") == F.col("kept"), "left").agg(F.count(F.lit(1)).alias("n"), (F.count("kept") == 0).alias("shown")))(f.pipeline.report()))(
+        t.orders.filter_groups(["o_custkey"], F.count(F.lit(1)) > 12)
+    )
+)
