@@ -49,6 +49,46 @@ def profile(df: DataFrame, distinct: bool = True, approximate: bool = False) ->
     return counts.join(F.broadcast(found), "position", "left") if found is not None else counts.withColumn("n_unique", F.lit(None).cast("long"))
 
 
+#: Bits of a sketch's registers: an estimate of its distinct values is off by 1.04 / sqrt(2 ** SKETCH_BITS) (one standard
+#: deviation: 1.6 %), and a sketch takes 4 KB at most.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+_SKETCHED = (T.StringType, T.BinaryType, T.IntegerType, T.LongType)
+
+
+def _sketchable(df: DataFrame, name: str) -> Column | None:
+    """A column as a type that sketches take: others by their text; nothing for maps and variants."""
+    kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, _SKETCHED):
+        return c
+    if isinstance(kind, (T.MapType, T.VariantType)):
+        return None
+    return F.to_json(F.struct(c)) if isinstance(kind, (T.ArrayType, T.StructType)) else c.cast("string")
+
+
+def sketches(df: DataFrame) -> DataFrame:
+    """(column, rows, null_count, sketch) for each column, by one aggregate: profiles that can be added up.
+
+    The sketch (HyperLogLog) of a column's values is null where they can't be compared.
+    """
+    made = [F.count(F.lit(1)).alias("rows")]
+    for i, name in enumerate(df.columns):
+        c = _sketchable(df, name)
+        made.append(F.count_if(F.col(f"`{name}`").isNull()).alias(f"n{i}"))
+        made.append((F.lit(None).cast("binary") if c is None else F.hll_sketch_agg(c, F.lit(SKETCH_BITS))).alias(f"s{i}"))
+    row = df.agg(*made)
+    entries = [F.struct(F.lit(name).alias("column"), F.col("rows"), F.col(f"n{i}").alias("null_count"), F.col(f"s{i}").alias("sketch")) for i, name in enumerate(df.columns)]
+    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+
+
+def united(parts: DataFrame) -> DataFrame:
+    """The sketches of batches, steps or days, any number of them, as one row (column, rows, null_count, n_unique) for each column.
+
+    Rows and nulls are exact sums; n_unique is an estimate with a standard deviation of SKETCH_ERROR, of one or many parts alike.
+    """
+    return parts.groupBy("column").agg(F.sum("rows").alias("rows"), F.sum("null_count").alias("null_count"), F.when(F.count("sketch") > 0, F.hll_sketch_estimate(F.hll_union_agg("sketch"))).alias("n_unique"))
+
+
 def sample_rows(df: DataFrame, order_by: list[str], n: int = SAMPLE_ROWS) -> DataFrame:
     """The first n rows in the given order."""
     return df.orderBy(*order_by).limit(n)

@@ -44,7 +44,7 @@ def convert_dtypes(df: DataFrame) -> DataFrame:
 def crosstab(df: DataFrame, index: str, columns: str, values: list) -> DataFrame:
     """Rows of each pair of labels; null labels, of either column, count nowhere."""
     known = df.where(F.col(f"`{index}`").isNotNull() & F.col(f"`{columns}`").isNotNull())
-    counts = known.groupBy(index).pivot(columns, values).agg(F.count(F.lit(1)))
+    counts = known.groupBy(F.col(f"`{index}`")).pivot(f"`{columns}`", values).agg(F.count(F.lit(1)))
     return counts.select(f"`{index}`", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in counts.columns[1:]])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def _plan(df: DataFrame, which: str):
@@ -21,31 +21,74 @@ def condition_of(df: DataFrame) -> str:
     return plan.condition().sql() if plan.nodeName() == "Filter" else ""
 
 
-def repeated(frames: dict[int, DataFrame]) -> list[tuple[list[int], str]]:
-    """Parts of plans that occur more than once over all frames: the frames' numbers (one for each occurrence) and the part's operators.
+#: Operators that are worth computing once.
+_WORK = {"Join", "Aggregate", "Window", "Sort", "Filter", "Generate", "Deduplicate", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas"}
 
-    Parts are compared in canonical form, so other names and ids of attributes make no difference. Only the largest parts
-    are told, those of more than a relation (and its projection), and each occurrence once.
+
+def repeated(frames: dict[int, DataFrame]) -> list[tuple[int, list[int]]]:
+    """Parts of plans that occur more than once over all frames: the part's canonical hash and the frames, one for each occurrence.
+
+    Canonical hashes make no difference of names and ids of attributes. Only parts with work in them are told, and of parts
+    that occur together, the largest.
     """
-    met: dict[int, list[tuple[int, int]]] = {}
-    shapes: dict[int, str] = {}
-    above: dict[int, set[int]] = {}
-
-    def walk(n: int, plan, parents: tuple[int, ...]) -> None:
-        key, children = plan.semanticHash(), _list(plan.children())
-        met.setdefault(key, []).append((n, len(parents)))
-        if key not in shapes:
-            shapes[key] = " > ".join(x.nodeName() for x in _nodes(plan))
-        above.setdefault(key, set()).update(parents[-1:])
-        for child in children:
-            walk(n, child, (*parents, key))
+    met: dict[int, list[int]] = {}
+    works: dict[int, bool] = {}
+    above: dict[int, set[int | None]] = {}
+
+    def walk(n: int, plan, parent: int | None) -> bool:
+        key = plan.semanticHash()
+        if key != parent:  # an operator that only names columns anew is the same as what is below it
+            met.setdefault(key, []).append(n)
+            above.setdefault(key, set()).add(parent)
+        below = [walk(n, child, key) for child in _list(plan.children())]
+        works[key] = works.get(key, False) or plan.nodeName() in _WORK or any(below)
+        return works[key]
 
     for n, df in frames.items():
-        walk(n, _plan(df, "optimizedPlan"), ())
-    work = lambda key: any(w in shapes[key].split(" > ") for w in ("Join", "Aggregate", "Window", "Sort", "Filter", "Generate", "MapInPandas"))
-    often = {k for k, places in met.items() if len(places) > 1 and work(k)}
-    top = [k for k in often if not any(p in often and len(met[p]) >= len(met[k]) for p in above[k])]
-    return sorted(([n for n, _ in met[k]], shapes[k]) for k in top)
+        walk(n, _plan(df, "analyzed"), None)
+    often = {k for k, places in met.items() if len(places) > 1 and works[k]}
+    # a part that never occurs but below a part that is told as often is not told again
+    return [(k, met[k]) for k in met if k in often and not all(p in often and len(met[p]) == len(met[k]) for p in above[k])]
+
+
+#: Expressions that hold a query of their own.
+_SUBQUERIES = ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery")
+
+
+def relations(spark: SparkSession, query: str) -> set[tuple[str, ...]]:
+    """The tables that a query reads, by the parts of their names: those of its parsed plan, subqueries included.
+
+    A name that WITH defines hides a table of that name in what comes after it, not in its own definition. Text in
+    literals, comments, aliases and columns names no table. Nothing is looked up, so the tables need not exist.
+    """
+    found: set[tuple[str, ...]] = set()
+
+    def expression(e, hidden: frozenset[str]) -> None:
+        if e.getClass().getSimpleName() in _SUBQUERIES:
+            walk(e.plan(), hidden)
+        for child in _list(e.children()):
+            expression(child, hidden)
+
+    def walk(plan, hidden: frozenset[str]) -> None:
+        kind = plan.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            parts = tuple(_list(plan.multipartIdentifier()))
+            if len(parts) > 1 or parts[0].lower() not in hidden:
+                found.add(parts)
+        if kind == "UnresolvedWith":
+            for cte in _list(plan.cteRelations()):
+                own = hidden | {cte._1().lower()} if plan.allowRecursion() else hidden
+                walk(cte._2(), own)
+                hidden = hidden | {cte._1().lower()}
+            walk(plan.child(), hidden)
+            return
+        for e in _list(plan.expressions()):
+            expression(e, hidden)
+        for child in _list(plan.children()):
+            walk(child, hidden)
+
+    walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(query), frozenset())
+    return found
 
 
 def observed(observation: Observation) -> bool:

@@ -2,7 +2,8 @@
 
 The pipeline is built again from the functions that its steps keep, with metrics between the steps (`DataFrame.observe`).
 Running a result then fills in the numbers of all steps it comes from; a frame that several steps use is cached for that
-and run first. Numbers are taken only where they are sure to be whole. Otherwise the step is counted by a job of its own:
+and run first. Only what a step changes is observed: rows where it may drop or add some, nulls of columns that are new
+there (by the ids of their attributes) or whose rows changed, and none of columns that can't be null. Numbers are taken only where they are sure to be whole. Otherwise the step is counted by a job of its own:
 where no numbers came back (a part that the optimizer left out), where a stage of the run was repeated or a task failed
 (what a lost executor had counted may be counted again), where a join's own count of its inputs differs, and where one
 join feeds another through a filter (sorted inputs need not be read to their end).
@@ -17,9 +18,10 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.plans import catalyst
-from plumbline.plans.pipeline import Pipeline, Step
+from plumbline.plans.pipeline import ROW_WISE, Pipeline, Step
 
 #: Results that run side by side.
 JOBS = 4
@@ -31,13 +33,14 @@ _RULES = "spark.sql.adaptive.optimizer.excludedRules"
 _EMPTY = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
 
 
-def metrics(df: DataFrame, distinct: bool) -> list[Column]:
-    """rows, then n0, n1, ... (nulls by position) and, where asked for, d0, d1, ... (estimated distinct values)."""
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    out = [F.count(F.lit(1)).alias("rows"), *[F.count_if(c.isNull()).alias(f"n{i}") for i, c in enumerate(columns)]]
-    if distinct:
-        out += [F.approx_count_distinct(c).alias(f"d{i}") for i, (c, (_, t)) in enumerate(zip(columns, df.dtypes, strict=True)) if not t.startswith(("map", "variant"))]
-    return out
+#: Joins whose inputs are counted with them: a semi join need not read all of its right side, and a cross join reads it often.
+COUNTED = ("inner", "left", "right", "outer")
+#: Operations besides those on single rows that neither drop nor add rows.
+_SAME_ROWS = ("convert_dtypes", "transform", "rank", "running", "set_index", "reset_index", "get_dummies")
+
+
+def same_rows(s: Step) -> bool:
+    return s.category in ("projection", "sort") or s.op in ROW_WISE or s.op in _SAME_ROWS
 
 
 def stops_early(pipeline: Pipeline) -> set[int]:
@@ -62,6 +65,10 @@ class Runs:
     def __init__(self, pipeline: Pipeline, distinct: bool, cache_shared: bool):
         self.pipeline, self.distinct = pipeline, distinct
         self.watch: dict[int, Observation] = {}
+        #: Where a step's rows were counted, and each column's nulls: step and name of the metric, or nothing where there are none.
+        self.rows_at: dict[int, int] = {}
+        self.nulls_at: dict[int, dict[str, tuple[int, int] | None]] = {}
+        self._ids: dict[int, dict[str, int]] = {}
         self.frames: dict[int, DataFrame] = {}
         self.cached: list[int] = []
         #: Steps by the result whose run counts them, and seconds of that run.
@@ -73,24 +80,53 @@ class Runs:
             df = self._again(s)
             if df is not None:
                 fed |= {i for i, _ in s.inputs}
-            self.watch[s.id] = Observation(f"step-{s.id}-{uuid.uuid4().hex}")
-            self.frames[s.id] = (s.df if df is None else df).observe(self.watch[s.id], *metrics(s.df, distinct))
+            self.frames[s.id] = self._watched(s, s.df if df is None else df, df is not None)
             if cache_shared and len(pipeline.consumers(s)) > 1:
                 self.frames[s.id] = self.frames[s.id].persist()
                 self.cached.append(s.id)
-        # inputs of joins that need not read them to the end are run by themselves
-        alone = {i for s in pipeline.steps if s.category == "join" and s.args.get("how") not in ("inner", "left", "right", "outer") for i, _ in s.inputs}
-        self.results = [s.id for s in pipeline.steps if (s.id not in fed or s.id in alone) and s.id not in self.cached]
+        self.results = [s.id for s in pipeline.steps if s.id not in fed and s.id not in self.cached]
 
     def _again(self, s: Step) -> DataFrame | None:
-        if s.make is None or not s.inputs:
+        """The step's frame of the observed ones, where a run of it reads each of them once and to the end.
+
+        Sorts are left out: the numbers don't depend on the order, and looking for the bounds of its ranges reads all rows twice.
+        """
+        if s.make is None or not s.inputs or (s.category == "join" and s.args.get("how") not in COUNTED):
             return None
+        if s.category == "sort":
+            return self.frames[s.inputs[0][0]]
         try:
             df = s.make(*[self.frames[i] for i, _ in s.inputs])
         except AnalysisException:  # a column bound to the frame it was recorded with
             return None
         return df if df.columns == s.df.columns else None
 
+    def _watched(self, s: Step, df: DataFrame, again: bool) -> DataFrame:
+        """df with the metrics of what the step changes."""
+        self._ids[s.id] = catalyst.lineage(df)
+        before = s.inputs[0][0] if again and same_rows(s) else None
+        known = {} if before is None else {self._ids[before][c]: at for c, at in self.nulls_at[before].items()}
+        made: list[Column] = []
+        if before is None:
+            made.append(F.count(F.lit(1)).alias("rows"))
+        self.rows_at[s.id] = s.id if before is None else self.rows_at[before]
+        self.nulls_at[s.id] = {}
+        for i, field in enumerate(df.schema.fields):
+            own = self._ids[s.id][field.name]
+            if own in known:
+                self.nulls_at[s.id][field.name] = known[own]
+                continue
+            self.nulls_at[s.id][field.name] = (s.id, i) if field.nullable or self.distinct else None
+            column = F.col(f"`{field.name}`")
+            if field.nullable or self.distinct:
+                made.append(F.count_if(column.isNull()).alias(f"n{i}"))
+            if self.distinct and not isinstance(field.dataType, (T.MapType, T.VariantType)):
+                made.append(F.approx_count_distinct(column).alias(f"d{i}"))
+        if not made:
+            return df
+        self.watch[s.id] = Observation(f"step-{s.id}-{uuid.uuid4().hex}")
+        return df.observe(self.watch[s.id], *made)
+
     def _run(self, i: int) -> None:
         df, group = self.frames[i], f"plumbline-{uuid.uuid4().hex}"
         sc = df.sparkSession.sparkContext
@@ -121,14 +157,21 @@ class Runs:
         for i in [*self.cached, *self.results]:
             for s in self.above(i):
                 self.run_of.setdefault(s, i)
-        doubtful, out, until = stops_early(self.pipeline), {}, time.monotonic() + PATIENCE
-        for i, seen in self.watch.items():
+        doubtful, seen, until = stops_early(self.pipeline), {}, time.monotonic() + PATIENCE
+        for i, watch in self.watch.items():
             if i in doubtful or self.run_of[i] in self.repeated:
                 continue
-            while not catalyst.observed(seen) and time.monotonic() < until:
+            while not catalyst.observed(watch) and time.monotonic() < until:
                 time.sleep(0.02)
-            if catalyst.observed(seen):
-                out[i] = seen.get
+            if catalyst.observed(watch):
+                seen[i] = watch.get
+        out = {}
+        for s in self.pipeline.steps:
+            at = self.nulls_at[s.id]
+            if self.rows_at[s.id] in seen and all(a is None or a[0] in seen for a in at.values()):
+                nulls = {c: 0 if a is None else seen[a[0]][f"n{a[1]}"] for c, a in at.items()}
+                distinct = {c: None if a is None else seen[a[0]].get(f"d{a[1]}") for c, a in at.items()}
+                out[s.id] = {"rows": seen[self.rows_at[s.id]]["rows"], "nulls": nulls, "distinct": distinct}
         return out
 
     def above(self, i: int) -> set[int]:

@@ -107,8 +107,8 @@ def measure(pipeline: Pipeline, distinct: bool, cache_shared: bool) -> tuple[dic
         runs.release()
     for s in pipeline.steps:
         if s.id not in known:
-            m, columns = seen[s.id], s.df.columns
-            known[s.id] = Facts(m["rows"], dict(s.df.dtypes), {c: m[f"n{i}"] for i, c in enumerate(columns)}, {c: m.get(f"d{i}") for i, c in enumerate(columns)} if distinct else {}, seconds=runs.seconds[runs.run_of[s.id]])
+            m = seen[s.id]
+            known[s.id] = Facts(m["rows"], dict(s.df.dtypes), m["nulls"], m["distinct"] if distinct else {}, seconds=runs.seconds[runs.run_of[s.id]])
     return {s.id: known[s.id] for s in pipeline.steps}, counted
 
 
@@ -342,11 +342,18 @@ def hints(pipeline: Pipeline, known: dict[int, Facts]) -> list[Hint]:
             unused = catalyst.unused_columns(pipeline, s)
             if unused:
                 out.append(Hint("unused_columns", s.id, f"no later step reads {', '.join(unused)}", "auto", f"select({', '.join(repr(c) for c in s.df.columns if c not in unused)})"))
-            for path in s.df.inputFiles() if s.op != "source" else []:
+            for path in s.df.inputFiles():
                 if path in reads and reads[path] != s.id:
                     out.append(Hint("duplicate_read", s.id, f"step {reads[path]} reads the same files; cache() would save a scan", "actionable", f"the frame of step {reads[path]}"))
                     break
                 reads[path] = s.id
+    steps: dict[int, Step] = {}
+    for s in pipeline.steps:
+        steps.setdefault(s.df.semanticHash(), s)
+    for part, users in catalyst.repeated({s.id: s.df for s in pipeline.steps if not pipeline.consumers(s)}):
+        if part in steps:
+            s = steps[part]
+            out.append(Hint("repeated_work", s.id, f"computed {len(users)} times, for the results of steps {', '.join(map(str, sorted({*users})))}", "actionable", f"{s.name or f'step_{s.id}'}.cache()"))
     return out
 
 

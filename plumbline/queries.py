@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import mode_first, to_datetime, to_numeric
 from plumbline.operators import filters, groups, joins, positions, profile, reshape
+from plumbline.operators.apply import apply_groups, combine_groups
 from plumbline.plans import catalyst
+from plumbline.plans.contract import Contract, violating_rows, violations
 from plumbline.plans.pipeline import Frame, Pipeline
 from plumbline.plans.report import diff
 
@@ -438,3 +441,68 @@ query("examples_of_groups", "SELECT n, n = least(5, lost) AS shown FROM (SELECT
         t.orders.filter_groups(["o_custkey"], F.count(F.lit(1)) > 12)
     )
 )
+
+
+# ---------------------------------------------------------------- functions of groups, contracts, sketches, repeated work
+
+
+def longest_run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a group and its longest run of one event type, over any number of batches."""
+    last, run, most, n = None, 0, 0, 0
+    for batch in batches:
+        n += len(batch)
+        for kind in batch["event_type"]:
+            run = run + 1 if kind == last else 1
+            last, most = kind, max(most, run)
+    yield pd.DataFrame({"n": [n], "longest": [most]})
+
+
+def three_largest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    best = pd.Series([], dtype="float64")
+    for batch in batches:
+        best = pd.concat([best, batch["value"]]).nlargest(3)
+    yield pd.DataFrame({"value": best})
+
+
+query("apply_groups", "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS island FROM events), r AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id, event_type, island) SELECT user_id, sum(n)::BIGINT AS n, max(n) AS longest FROM r GROUP BY 1")(
+    lambda t: apply_groups(t.events.df.select("user_id", "event_type", "event_id"), ["user_id"], longest_run, "n long, longest long", ["event_id"])
+)
+query("combine_groups", "SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC) AS n FROM events WHERE value IS NOT NULL) WHERE n <= 3")(
+    lambda t: combine_groups(t.events.df.select("event_type", "value").where("value IS NOT NULL"), ["event_type"], three_largest, "value double", three_largest)
+)
+_CONTRACT = Contract(
+    types={"o_orderkey": "bigint", "price": "double", "status": "int", "absent": "string"},
+    not_null=("o_orderkey", "price"),
+    unique=(("o_orderkey",), ("o_custkey", "status")),
+    values={"cheap": "price < 200000", "known": "status IN ('F', 'O')"},
+    least_rows=10**9,
+    most_rows=10,
+)
+query("contract_violations", f"WITH t AS (SELECT * FROM {NULLED} u) SELECT * FROM (VALUES ('column', 'o_orderkey', 0::BIGINT), ('column', 'price', 0), ('column', 'status', 0), ('column', 'absent', 1), ('type', 'o_orderkey bigint', 0), ('type', 'price double', 0), ('type', 'status int', 1)) v(rule, subject, violations) UNION ALL SELECT 'rows', 'at least 1000000000', 1000000000 - count(*) FROM t UNION ALL SELECT 'rows', 'at most 10', count(*) - 10 FROM t UNION ALL SELECT 'not_null', 'o_orderkey', count(*) - count(o_orderkey) FROM t UNION ALL SELECT 'not_null', 'price', count(*) - count(price) FROM t UNION ALL SELECT 'values', 'cheap', count(*) FILTER (NOT coalesce(price < 200000, false)) FROM t UNION ALL SELECT 'values', 'known', count(*) FILTER (NOT coalesce(status IN ('F', 'O'), false)) FROM t UNION ALL SELECT 'unique', 'o_orderkey', count(*) - count(DISTINCT o_orderkey) FROM t UNION ALL SELECT 'unique', 'o_custkey, status', sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM t GROUP BY o_custkey, status)")(
+    lambda t: violations(nulled(t).df, _CONTRACT)
+)
+query("contract_rows", f"WITH t AS (SELECT *, count(*) OVER (PARTITION BY o_custkey, status) AS n FROM {NULLED} u), b AS (SELECT o_orderkey, price IS NULL AS x, NOT coalesce(price < 200000, false) AS y, NOT coalesce(status IN ('F', 'O'), false) AS z, n > 1 AS u FROM t) SELECT o_orderkey, concat_ws('; ', CASE WHEN x THEN 'not_null price' END, CASE WHEN y THEN 'values cheap' END, CASE WHEN z THEN 'values known' END, CASE WHEN u THEN 'unique o_custkey, status' END) AS broken FROM b WHERE x OR y OR z OR u")(
+    lambda t: violating_rows(nulled(t).df, _CONTRACT).select("o_orderkey", F.array_join("broken", "; ").alias("broken"))
+)
+query("sketches_united", f"SELECT c AS \"column\", n AS rows, null_count, true AS near FROM (SELECT 'o_orderkey' AS c, count(*) AS n, 0::BIGINT AS null_count FROM orders UNION ALL SELECT 'o_custkey', count(*), 0 FROM orders UNION ALL SELECT 'price', count(*), count(*) - count(price) FROM {NULLED} t UNION ALL SELECT 'status', count(*), count(*) - count(status) FROM {NULLED} t)")(
+    lambda t: (lambda df: profile.united(profile.sketches(df.where("o_orderkey % 3 = 0")).union(profile.sketches(df.where("o_orderkey % 3 > 0"))))
+        .join(profile.profile(df).select("column", F.col("n_unique").alias("exact")), "column")
+        .select("column", "rows", "null_count", (F.abs(F.col("n_unique") - F.col("exact")) <= 4 * profile.SKETCH_ERROR * F.col("exact") + 1).alias("near")))(nulled(t).df)
+)
+
+
+def _twice(t: Tables) -> Frame:
+    """Two results of one join that is written out twice, over sources read by hand."""
+    own = Pipeline()
+    read = lambda name: own.source(t.spark.read.parquet(f"{t.dir}/{name}.parquet"), name)
+    both = lambda: read("orders").merge(read("customer"), left_on=["o_custkey"], right_on=["c_custkey"])
+    both().agg(["c_mktsegment"], n=F.count(F.lit(1)))
+    return both().agg(["o_orderstatus"], top=F.max("o_totalprice"))
+
+
+query("hints_repeated_work", "SELECT 2::INTEGER AS step, 'repeated_work' AS kind, 'actionable' AS status, 'step_2.cache()' AS suggestion UNION ALL SELECT 4, 'duplicate_read', 'actionable', 'the frame of step 0' UNION ALL SELECT 5, 'duplicate_read', 'actionable', 'the frame of step 1' WHERE (SELECT count(*) FROM orders) > 0")(
+    lambda t: _twice(t).pipeline.report().as_dataframes(t.spark)["hints"].where("kind <> 'unused_columns'").select("step", "kind", "status", "suggestion")
+)
+query("finding_names_condition", "SELECT 1::INTEGER AS step, true AS condition, true AS place WHERE (SELECT count(*) FROM orders WHERE o_totalprice <= 100000) > 0")(
+    lambda t: t.orders.filter(F.col("o_totalprice") > 100000).pipeline.report().as_dataframes(t.spark)["findings"].where("kind = 'row_loss'").select("step", F.col("message").contains("o_totalprice > ").alias("condition"), F.col("message").contains("queries.py:").alias("place"))
+)

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.plans.catalyst import relations
+
 
 @dataclass(frozen=True)
 class Format:
@@ -70,6 +72,44 @@ def read_sql(spark: SparkSession, query: str) -> DataFrame:
     return spark.sql(query)
 
 
+#: Ranges of the key that are counted for each partition of a table, to cut it evenly.
+FINE = 16
+
+
+def key_ranges(spark: SparkSession, url: str, table: str, key: str, partitions: int, **options: str) -> list[str]:
+    """Conditions on a whole-number key (written as the database wants it, quoted or not) that cut a table of a database into parts of about as many rows.
+
+    One aggregate tells the ends of the key, a second one the rows of FINE * partitions ranges of equal width; neighbours
+    are put together until they hold their share. A single range is never cut, so keys that crowd in one make it larger.
+    """
+    ask = lambda query: spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    low, high, rows = ask(f"SELECT MIN({key}) AS lo, MAX({key}) AS hi, COUNT(*) AS n FROM {table}").first()
+    if low is None or partitions < 2:
+        return ["1 = 1"]
+    low, high = int(low), int(high)
+    width = max(1, -(-(high - low + 1) // (FINE * partitions)))
+    place = f"SELECT FLOOR(({key} - ({low})) / {width}) AS b FROM {table} WHERE {key} IS NOT NULL"
+    counts = sorted((int(b), int(n)) for b, n in ask(f"SELECT b, COUNT(*) AS n FROM ({place}) q GROUP BY b").collect())
+    cuts, held = [], 0
+    for b, n in counts:
+        if held and held + n / 2 > rows / partitions:
+            cuts.append(low + b * width)
+            held = 0
+        held += n
+    edges = [None, *cuts, None]
+    parts = [" AND ".join(p for p in (f"{key} >= {a}" if a is not None else "", f"{key} < {b}" if b is not None else "") if p) for a, b in zip(edges, edges[1:], strict=False)]
+    parts[0] = f"({parts[0]}) OR {key} IS NULL" if parts[0] else "1 = 1"
+    return parts
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, partitions: int | None = None, **options: str) -> DataFrame:
+    """A table of a database, in one part or, by a whole-number key, in parts of about as many rows that are read side by side."""
+    if key is None:
+        return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    parts = key_ranges(spark, url, table, key, partitions or spark.sparkContext.defaultParallelism, **options)
+    return spark.read.jdbc(url, table, predicates=parts, properties=options)
+
+
 #: Names that generated scripts use themselves.
 RESERVED = {"pd", "spark"}
 
@@ -107,6 +147,6 @@ class Datasets:
         self.info.pop(name, None)
 
     def referenced(self, query: str) -> list[str]:
-        """The datasets that a query names."""
-        words = set(re.findall(r"\w+", query))
-        return [n for n in self.info if n in words]
+        """The datasets that a query reads."""
+        read_by = {parts[0].lower() for parts in relations(self.spark, query) if len(parts) == 1}
+        return [n for n in self.info if n.lower() in read_by]
