@@ -230,8 +230,31 @@ def common_words(x: np.ndarray, y: np.ndarray) -> int:
     return len(x) - v.bit_count()
 
 
-def stretches(equal: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
-    """Disjoint [a, b) of at least `least` columns with the greatest sums of +1 for an equal and -3 for another column."""
+def longest(equal: np.ndarray, least: int, identity: float) -> tuple[int, int] | None:
+    """The longest [a, b) of at least `least` columns and `identity` that begins and ends with equal ones, or nothing."""
+    total = np.concatenate([[0.0], np.cumsum(equal - identity)])
+    starts = np.flatnonzero(equal)
+    ends = starts + 1
+    if not len(starts):
+        return None
+    # only a start with a smaller total than all before it can be that of the longest stretch to some end
+    low = np.minimum.accumulate(total[starts])
+    lows = np.flatnonzero(np.append(True, total[starts][1:] < low[:-1]))
+    firsts = starts[lows]
+    # totals at these starts fall, so the first of at most an end's total is found by bisection
+    at = np.searchsorted(-total[firsts], -(total[ends] + 1e-9), side="left")
+    known = at < len(firsts)
+    sizes = np.where(known, ends - firsts[np.minimum(at, len(firsts) - 1)], 0)
+    best = int(np.argmax(sizes))
+    return (int(ends[best] - sizes[best]), int(ends[best])) if sizes[best] >= least else None
+
+
+def stretches(equal: np.ndarray, least: int, identity: float = IDENTITY) -> Iterator[tuple[int, int]]:
+    """Disjoint [a, b) of at least `least` columns and `identity`.
+
+    Those with the greatest sums of +1 for an equal and -3 for another column, which end where equality ends; where the
+    greatest is too short (changed words near its ends cut it), the longest stretch of that identity.
+    """
     todo = [(0, len(equal))]
     while todo:
         a, b = todo.pop()
@@ -241,8 +264,11 @@ def stretches(equal: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
         low = np.minimum.accumulate(total)
         j = int(np.argmax(total - low))
         i = int(np.flatnonzero(total[: j + 1] == low[j])[-1])
-        if total[j] - total[i] <= 0:
-            continue
+        if j - i < least or equal[a + i : a + j].mean() < identity:
+            found = longest(equal[a:b], least, identity)
+            if found is None:
+                continue
+            i, j = found
         yield a + i, a + j
         todo += [(a, a + i), (a + j, b)]
 
@@ -269,7 +295,7 @@ def align(chain: np.ndarray, x: np.ndarray, x_at: int, y: np.ndarray, y_at: int,
                 columns.append((a0 + np.minimum(i, g), c0 + np.minimum(i, h), i < same))
         columns.append((np.arange(a, b), np.arange(c, d), x[a - x_at : b - x_at] == y[c - y_at : d - y_at]))
     p, r, equal = (np.concatenate([c[i] for c in columns]) for i in range(3))
-    for i, j in stretches(equal, min_words):
+    for i, j in stretches(equal, min_words, identity):
         share = float(equal[i:j].mean())
         if share >= identity and p[j - 1] + 1 - p[i] >= min_words:
             yield int(p[i]), int(p[j - 1]) + 1, int(r[i]), int(r[j - 1]) + 1, share
@@ -497,6 +523,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spans = found.groupBy(F.col("doc_id").alias("owner")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     left = areas_of(later).join(spans, "owner", "left").select("owner", outside("areas", "spans").alias("areas")).where(F.size("areas") > 0)
     left = materialize(left, "passage-left")
+    if left.isEmpty():
+        return found
     few = broadcast_small(left, areas=16)
     inside = F.exists("areas", lambda x: (F.col("at") >= x["a"]) & (F.col("at") < x["b"]))
     # written before the join, so that the join alone is a stage and a frequent seed can be split

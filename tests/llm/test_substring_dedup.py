@@ -183,3 +183,43 @@ def test_uncovered():
     for at in (np.arange(5, 300), np.array([0, 60, 61, 150])):
         words = lambda starts: {w for x in starts.tolist() for w in range(x, x + 50)}
         assert words(at[sd.covering(at, 50)]) == words(at)
+
+
+def plain_longest(equal, least, identity):
+    best = None
+    for a in range(len(equal)):
+        for b in range(a + least, len(equal) + 1):
+            if equal[a] and equal[b - 1] and equal[a:b].mean() >= identity - 1e-12 and (best is None or b - a > best[1] - best[0]):
+                best = (a, b)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_longest_stretch(seed):
+    rng = np.random.default_rng(seed)
+    equal = rng.random(rng.integers(1, 60)) < rng.choice([0.3, 0.7, 0.9])
+    least = int(rng.integers(1, 20))
+    found, want = sd.longest(equal, least, 0.8), plain_longest(equal, least, 0.8)
+    assert (found is None) == (want is None)
+    if found:
+        assert found[1] - found[0] == want[1] - want[0] and equal[found[0]] and equal[found[1] - 1] and equal[found[0] : found[1]].mean() >= 0.8 - 1e-9
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Passages with words replaced at random places, of identity 0.82 at least as a whole: of each length and share nine in ten are found."""
+    rng = random.Random(11)
+    pairs, rows, cells = 60, [], {}
+    fresh = lambda n: [f"u{rng.getrandbits(60)}" for _ in range(n)]
+    for length in (52, 60, 80, 120):
+        for share in (0.05, 0.10, 0.15, 0.18):
+            for _ in range(pairs):
+                passage, first = fresh(length), len(rows)
+                other = list(passage)
+                for i in rng.sample(range(length), min(round(share * length), int(0.18 * length))):
+                    other[i] = fresh(1)[0]
+                rows += [(first, " ".join(fresh(60) + passage + fresh(60))), (first + 1, " ".join(fresh(45) + other + fresh(45)))]
+                cells[first + 1] = (length, share)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {r.doc_id for r in sd.repeated_passages(docs).where("end - start >= 50").collect()}
+    recall = {c: sum(d in found for d, x in cells.items() if x == c) / pairs for c in set(cells.values())}
+    assert found <= set(cells) and min(recall.values()) >= 0.9, sorted(recall.items())
