@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.positions import ordered, quoted
+
 
 def group_sizes(df: DataFrame, keys: list[str], dropna: bool = False) -> DataFrame:
     """(keys, size); with dropna, without groups that have a null key."""
@@ -41,6 +43,22 @@ def running(df: DataFrame, keys: list[str], order_by: list, **made: Column) -> D
     return df.withColumns({k: c.over(w) for k, c in made.items()})
 
 
+def cumcount(df: DataFrame, keys: list[str], order_by: list, name: str, ascending: bool = True) -> DataFrame:
+    """df with the number of rows of the group before each row in the given order, or after it."""
+    w = Window.partitionBy(*keys).orderBy(*ordered(order_by))
+    before = F.row_number().over(w) - 1
+    return df.withColumn(name, before if ascending else F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int") - 1 - before)
+
+
+def idx(df: DataFrame, keys: list[str], label: str, by: str, most: bool = True) -> DataFrame:
+    """(keys, label): that of the row of each group with the greatest (or smallest) value, of ties the smallest label; rows without a value don't count."""
+    rows = df.where(F.col(quoted(by)).isNotNull())
+    value, name = F.col(quoted(by)), F.col(quoted(label))
+    least = rows.groupBy(*[F.col(quoted(k)) for k in keys]).agg((F.max if most else F.min)(value).alias("__best"))
+    met = rows.join(least, [*keys]).where(value == F.col("__best"))
+    return met.groupBy(*[F.col(quoted(k)) for k in keys]).agg(F.min(name).alias(label))
+
+
 def rank(df: DataFrame, keys: list[str], by: str, name: str, method: str = "average", ascending: bool = True) -> DataFrame:
     """df with the rank of `by` in its group: average, min, max, dense or first (of tied rows any order); nulls have none and don't count."""
     w = Window.partitionBy(*keys).orderBy(F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last())

@@ -10,6 +10,18 @@ def melt(df: DataFrame, ids: list[str], values: list[str] | None = None, var_nam
     return df.unpivot(ids, values or [c for c in df.columns if c not in ids], var_name, value_name)
 
 
+#: Values of a column that may become columns without being given.
+MOST_VALUES = 1000
+
+
+def values_of(df: DataFrame, column: str) -> list:
+    """The values of a column, sorted, without null: one job that brings MOST_VALUES + 1 of them at most; refused beyond."""
+    found = [r[0] for r in df.select(F.col(f"`{column}`")).where(F.col(f"`{column}`").isNotNull()).distinct().limit(MOST_VALUES + 1).collect()]
+    if len(found) > MOST_VALUES:
+        raise ValueError(f"{column} has over {MOST_VALUES} values: give those that are to become columns")
+    return sorted(found)
+
+
 def pivot_table(df: DataFrame, index: list[str], columns: str, values: list, agg: Column) -> DataFrame:
     """One column for each of the given values of `columns`; giving them saves the job that would look for them."""
     return df.groupBy(*index).pivot(columns, values).agg(agg)
@@ -62,20 +74,23 @@ def reindex(df: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     return labels.select(*keys).join(df, keys, "left")
 
 
-def value_counts(df: DataFrame, column: str, dropna: bool = True, normalize: bool = False) -> DataFrame:
+def value_counts(df: DataFrame, column: str, dropna: bool = True, normalize: bool = False, sort: bool = False) -> DataFrame:
+    """Rows of each value; sort: the most frequent first, of equally frequent ones the smaller value."""
     rows = df.where(F.col(column).isNotNull()) if dropna else df
     counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+    if sort:
+        counts = counts.orderBy(F.col("count").desc(), F.col(f"`{column}`").asc_nulls_last())
     if not normalize:
         return counts
     total = counts.agg(F.sum("count").alias("total"))
     return counts.crossJoin(F.broadcast(total)).select(column, (F.col("count") / F.col("total")).alias("proportion"))
 
 
-def describe(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
-    """count, mean, std, min, quartiles and max of each column, as <column>_<what>."""
+def describe(df: DataFrame, columns: list[str], keys: list[str] | None = None, percentiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """count, mean, std, min, percentiles and max of each column, as <column>_<what>; a percentile of 0.25 as p25."""
     out = []
     for c in columns:
         q = lambda p, c=c: F.percentile(c, F.lit(p))
-        made = {"count": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "p25": q(0.25), "p50": q(0.5), "p75": q(0.75), "max": F.max(c)}
+        made = {"count": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), **{f"p{100 * p:g}": q(p) for p in percentiles}, "max": F.max(c)}
         out += [v.alias(f"{c}_{k}") for k, v in made.items()]
     return df.groupBy(*(keys or [])).agg(*out)

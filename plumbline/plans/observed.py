@@ -36,7 +36,7 @@ _EMPTY = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
 #: Joins whose inputs are counted with them: a semi join need not read all of its right side, and a cross join reads it often.
 COUNTED = ("inner", "left", "right", "outer")
 #: Operations besides those on single rows that neither drop nor add rows.
-_SAME_ROWS = ("convert_dtypes", "transform", "rank", "running", "set_index", "reset_index", "get_dummies")
+_SAME_ROWS = ("convert_dtypes", "transform", "rank", "running", "cumcount", "set_index", "reset_index", "get_dummies")
 
 
 def same_rows(s: Step) -> bool:

@@ -116,6 +116,10 @@ class Frame:
         inputs = inputs or [(self, "input")]
         return self.pipeline.add(op, label or op, make(*(f.df for f, _ in inputs)), inputs, make, **args)
 
+    def _values(self, column: str, values: list | None) -> list:
+        """The values that become columns: given, or looked up by a job when the step is recorded."""
+        return reshape.values_of(self.df, column) if values is None else values
+
     # columns
     @verb("projection")
     def select(self, *columns: str | Column) -> Frame:
@@ -212,6 +216,25 @@ class Frame:
         """The first n rows of each group in the given order, nulls last."""
         return self._add("group_head", lambda df: filters.numbered(df, keys, positions.ordered(order_by)).where(F.col("__n") <= n).drop("__n"), f"first {n} of {keys}", keys=keys)
 
+    @verb("filter", "group_tail")
+    def group_tail(self, keys: list[str], n: int, order_by: list[str]) -> Frame:
+        """The last n rows of each group in the given order, in which nulls come last."""
+        return self._add("group_tail", lambda df: filters.numbered(df, keys, [F.col(positions.quoted(c)).desc_nulls_first() for c in order_by]).where(F.col("__n") <= n).drop("__n"), f"last {n} of {keys}", keys=keys)
+
+    @verb("aggregate", "idxmax", "idxmin")
+    def idx(self, keys: list[str], label: str, by: str, most: bool = True) -> Frame:
+        """The label of each group's row with the greatest (idxmax) or smallest (idxmin) value."""
+        return self._add("idxmax" if most else "idxmin", lambda df: groups.idx(df, keys, label, by, most), f"{label} of the {'greatest' if most else 'smallest'} {by}", keys=keys)
+
+    @verb("aggregate", "size")
+    def size(self, keys: list[str], dropna: bool = False) -> Frame:
+        """Rows of each group."""
+        return self._add("size", lambda df: groups.group_sizes(df, keys, dropna), f"size of {keys}", keys=keys)
+
+    @verb("mutate", "cumcount")
+    def cumcount(self, keys: list[str], order_by: list, name: str, ascending: bool = True) -> Frame:
+        return self._add("cumcount", lambda df: groups.cumcount(df, keys, order_by, name, ascending), f"cumcount of {keys}")
+
     @verb("limit")
     def head(self, n: int, order_by: list) -> Frame:
         """The first n rows in the given order; as in sort_values and loc, nulls come last."""
@@ -313,8 +336,8 @@ class Frame:
         return self._add("groupby" if keys else "agg", lambda df: rows(df).groupBy(*keys).agg(*[c.alias(k) for k, c in made.items()]), f"groupby {keys} {[*made]}", keys=keys, dropna=dropna, made=made)
 
     @verb("aggregate")
-    def value_counts(self, column: str, dropna: bool = True) -> Frame:
-        return self._add("value_counts", lambda df: reshape.value_counts(df, column, dropna), f"value_counts {column}", keys=[column], dropna=dropna)
+    def value_counts(self, column: str, dropna: bool = True, sort: bool = False) -> Frame:
+        return self._add("value_counts", lambda df: reshape.value_counts(df, column, dropna, sort=sort), f"value_counts {column}", keys=[column], dropna=dropna)
 
     @verb("mutate")
     def transform(self, keys: list[str], **made: Column) -> Frame:
@@ -325,7 +348,8 @@ class Frame:
         return self._add("melt", lambda df: reshape.melt(df, ids, values, var_name, value_name), "melt")
 
     @verb("reshape")
-    def pivot(self, index: list[str], columns: str, values: list, value: str) -> Frame:
+    def pivot(self, index: list[str], columns: str, values: list | None, value: str) -> Frame:
+        values = self._values(columns, values)
         return self._add("pivot", lambda df: reshape.pivot(df, index, columns, values, value), "pivot")
 
     @verb("reshape", types=True)
@@ -333,15 +357,18 @@ class Frame:
         return self._add("stack", lambda df: reshape.stack(df, ids, values, var_name, value_name), "stack")
 
     @verb("reshape")
-    def unstack(self, index: list[str], columns: str, values: list, value: str) -> Frame:
+    def unstack(self, index: list[str], columns: str, values: list | None, value: str) -> Frame:
+        values = self._values(columns, values)
         return self._add("unstack", lambda df: reshape.pivot(df, index, columns, values, value), f"unstack {columns}")
 
     @verb("reshape", types=True)
-    def transpose(self, label: str, labels: list, name: str = "variable") -> Frame:
+    def transpose(self, label: str, labels: list | None = None, name: str = "variable") -> Frame:
+        labels = self._values(label, labels)
         return self._add("transpose", lambda df: reshape.transpose(df, label, labels, name), "transpose")
 
     @verb("aggregate", types=True)
-    def pivot_table(self, index: list[str], columns: str, values: list, agg: Column) -> Frame:
+    def pivot_table(self, index: list[str], columns: str, values: list | None, agg: Column) -> Frame:
+        values = self._values(columns, values)
         return self._add("pivot_table", lambda df: reshape.pivot_table(df, index, columns, values, agg), "pivot_table")
 
     @verb("reshape", types=True)
@@ -349,15 +376,17 @@ class Frame:
         return self._add("explode", lambda df: reshape.explode(df, column), f"explode {column}")
 
     @verb("aggregate")
-    def crosstab(self, index: str, columns: str, values: list) -> Frame:
+    def crosstab(self, index: str, columns: str, values: list | None = None) -> Frame:
+        values = self._values(columns, values)
         return self._add("crosstab", lambda df: reshape.crosstab(df, index, columns, values), f"crosstab {index} {columns}")
 
     @verb("aggregate")
-    def describe(self, columns: list[str], keys: list[str] | None = None) -> Frame:
-        return self._add("describe", lambda df: reshape.describe(df, columns, *([keys] if keys else [])), f"describe {columns}")
+    def describe(self, columns: list[str], keys: list[str] | None = None, percentiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> Frame:
+        return self._add("describe", lambda df: reshape.describe(df, columns, keys, percentiles), f"describe {columns}")
 
     @verb("reshape")
-    def get_dummies(self, column: str, values: list) -> Frame:
+    def get_dummies(self, column: str, values: list | None = None) -> Frame:
+        values = self._values(column, values)
         return self._add("get_dummies", lambda df: reshape.get_dummies(df, column, values), f"get_dummies {column}")
 
     @verb("mutate")

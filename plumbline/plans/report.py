@@ -388,6 +388,14 @@ def diff(report: Report, a: int, b: int) -> dict:
             columns[c] = f"renamed from {renamed[c]}" if renamed.get(c) in fa.dtypes and renamed[c] not in fb.dtypes else "added"
         elif c not in renamed.values() or c in fb.dtypes:
             columns[c] = "removed"
+    # a column that went and one that came with the same type, nulls and distinct values, alone of their kind, are likely one
+    marks = lambda f, c: (f.dtypes[c], f.nulls[c], f.n_unique[c]) if (f.n_unique.get(c) or 0) > 1 else None
+    gone, come = ([(c, marks(f, c)) for c, how in columns.items() if how == kind] for f, kind in ((fa, "removed"), (fb, "added")))
+    for c, mark in come:
+        same = [a for a, m in gone if m == mark]
+        if mark and fa.rows == fb.rows and len(same) == 1 and [m for _, m in come].count(mark) == 1:
+            columns[c] = f"likely renamed from {same[0]}"
+            del columns[same[0]]
     return {"relation": "same" if a == b else relation if path is not None else "unrelated", "path": path or [], "rows": (fa.rows, fb.rows), "bytes": fb.bytes - fa.bytes, "columns": columns}
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import mode_first, to_datetime, to_numeric
+from plumbline.functions.columns import mode_first, nunique, to_datetime, to_numeric
 from plumbline.operators import filters, groups, joins, positions, profile, reshape
 from plumbline.operators.apply import apply_groups, combine_groups
 from plumbline.plans import catalyst
@@ -506,3 +506,26 @@ query("hints_repeated_work", "SELECT 2::INTEGER AS step, 'repeated_work' AS kind
 query("finding_names_condition", "SELECT 1::INTEGER AS step, true AS condition, true AS place WHERE (SELECT count(*) FROM orders WHERE o_totalprice <= 100000) > 0")(
     lambda t: t.orders.filter(F.col("o_totalprice") > 100000).pipeline.report().as_dataframes(t.spark)["findings"].where("kind = 'row_loss'").select("step", F.col("message").contains("o_totalprice > ").alias("condition"), F.col("message").contains("queries.py:").alias("place"))
 )
+
+# ---------------------------------------------------------------- values looked up, more options of verbs
+
+query("pivot_table_looked_up", "SELECT o_orderpriority, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{s}') AS \"{s}\"" for s in STATUSES) + " FROM orders GROUP BY 1")(
+    lambda t: t.orders.pivot_table(["o_orderpriority"], "o_orderstatus", None, F.count(F.lit(1))).fillna({s: 0 for s in STATUSES})
+)
+query("crosstab_looked_up", "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{s}') AS \"{s}\"" for s in TYPES) + " FROM events GROUP BY 1")(lambda t: t.events.crosstab("user_id", "event_type"))
+query("get_dummies_looked_up", "SELECT o_orderkey, " + ", ".join(f"(o_orderstatus = '{s}')::INTEGER AS o_orderstatus_{s}" for s in STATUSES) + " FROM orders")(lambda t: t.orders.select("o_orderkey", "o_orderstatus").get_dummies("o_orderstatus"))
+query("describe_percentiles", "SELECT count(o_totalprice) AS n, round(quantile_cont(o_totalprice, 0.1), 4) AS p10, round(quantile_cont(o_totalprice, 0.995), 4) AS p99_5 FROM orders")(
+    lambda t: t.orders.describe(["o_totalprice"], percentiles=(0.1, 0.995)).df.select(F.col("o_totalprice_count").alias("n"), F.round("o_totalprice_p10", 4).alias("p10"), F.round("`o_totalprice_p99.5`", 4).alias("p99_5"))
+)
+query("nunique_keepna", f"SELECT o_custkey, count(DISTINCT status) + (count(*) > count(status))::BIGINT AS kinds FROM {NULLED} t GROUP BY 1")(lambda t: nulled(t).agg(["o_custkey"], kinds=nunique("status", dropna=False)))
+query("cumcount_descending", "SELECT event_id, (count(*) OVER (PARTITION BY user_id) - row_number() OVER (PARTITION BY user_id ORDER BY event_id))::INTEGER AS n FROM events")(lambda t: t.events.cumcount(["user_id"], ["event_id"], "n", ascending=False).select("event_id", "n"))
+query("value_counts_sorted", f"SELECT o_custkey, count FROM (SELECT o_custkey, count(*) AS count FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)")(lambda t: t.orders.value_counts("o_custkey", sort=True).df.limit(20))
+query("group_tail_verb", f"SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY price DESC NULLS FIRST, o_orderkey DESC) AS n FROM {NULLED} t) WHERE n <= 2")(lambda t: nulled(t).group_tail(["o_custkey"], 2, ["price", "o_orderkey"]).select("o_custkey", "o_orderkey"))
+for most in (True, False):
+    query(f"idx{'max' if most else 'min'}_verb", f"SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY price {'DESC' if most else ''}, o_orderkey) AS n FROM {NULLED} t WHERE price IS NOT NULL) WHERE n = 1")(
+        lambda t, most=most: nulled(t).idx(["o_custkey"], "o_orderkey", "price", most)
+    )
+query("size_verb", f"SELECT status, count(*) AS size FROM {NULLED} t WHERE status IS NOT NULL GROUP BY 1")(lambda t: nulled(t).size(["status"], dropna=True))
+query("find_group_loss", "SELECT 1::INTEGER AS step, 'row_loss' AS kind, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 12)) AS lost WHERE (SELECT count(*) FROM orders) > 0")(
+    lambda t: t.orders.filter_groups(["o_custkey"], F.count(F.lit(1)) > 12).pipeline.report().as_dataframes(t.spark)["findings"].where("kind = 'row_loss'").select("step", "kind", F.regexp_extract("message", "^(\\d+) of", 1).cast("long").alias("lost"))
+)

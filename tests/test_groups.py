@@ -103,3 +103,25 @@ def test_nulls_and_names(spark):
     assert a.sample(n=3, seed=1).df.count() == 3 and a.filter_groups(["a.b"], F.count(F.lit(1)) > 1).df.count() == 4
     with pytest.raises(ValueError, match="either"):
         a.sample(0.5, n=3)
+
+
+def test_values_looked_up(spark, monkeypatch):
+    from plumbline.operators import reshape
+
+    p = Pipeline()
+    a = p.source(spark.createDataFrame([(1, "x", 5.0), (1, "y", 6.0), (2, None, 7.0)], "k long, s string, v double"))
+    assert a.pivot(["k"], "s", None, "v").df.columns == ["k", "x", "y"] and a.get_dummies("s").df.columns == ["k", "v", "s_x", "s_y"]
+    monkeypatch.setattr(reshape, "MOST_VALUES", 1)
+    with pytest.raises(ValueError, match="over 1 values"):
+        a.crosstab("k", "s")
+
+
+def test_renames_by_likeness(spark):
+    """A column computed anew under another name, with the same type, nulls and number of values."""
+    from plumbline.plans.report import diff
+
+    p = Pipeline()
+    a = p.source(spark.createDataFrame([(1, "x", 1), (2, "y", 1), (3, None, 1)], "id long, s string, n long"))
+    b = a.assign(t=F.concat("s", F.lit("!")), m=F.col("n") + 1).drop("s", "n")
+    d = diff(p.report(distinct=True), a.step.id, b.step.id)["columns"]
+    assert d == {"id": "same", "t": "likely renamed from s", "n": "removed", "m": "added"}
