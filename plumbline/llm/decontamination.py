@@ -1,14 +1,14 @@
 """Benchmark decontamination: greedy string tiling of documents with test items.
 
-Runs of k tokens that a document shares with an item are the seeds of a join against the items, which are broadcast
-in blocks of a checked size. For each pair that shares a seed, running Karp-Rabin finds the longest common runs of
+Runs of k tokens are seeds. Those of the documents that pass a Bloom filter of the items' seeds are joined with them by
+Spark. For each pair that shares enough seeds, running Karp-Rabin finds the longest common runs of
 unmarked tokens, which are marked as tiles until none of k tokens is left; the share of the item's tokens that tiles
 cover catches passages whose parts were moved about.
 """
 
 from __future__ import annotations
 
-import math
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import broadcast_small, keyed, materialize, pick, shingle_hashes, unkeyed, word_hashes
+from plumbline.llm import exact_dedup
+from plumbline.llm.common import NULL_ID, broadcast_small, groups, keyed, materialize, mix, partitions, pick, shingle_hashes, unkeyed, word_hashes
 
 #: Tokens of the shortest tile, share of an item's tokens at which a document is contaminated.
 SEED, COVERAGE = 5, 0.6
 #: Pairs of equal windows that are looked at together.
 PAIRS = 1 << 20
-#: Bytes of items in a broadcast block; more items make more blocks.
-BLOCK_BYTES = 8 << 20
 SCHEMA = "doc_id long, item_id long, coverage double, item_tokens int, tiles array<struct<item_start:int,doc_start:int,length:int>>"
 
 
@@ -85,66 +84,53 @@ def tiling(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int
             if longest > 2 * s:
                 s = longest
                 continue
-            marked = False
-            for n, i, j in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-                if free_i[i : i + n].all() and free_d[j : j + n].all():
-                    free_i[i : i + n] = False
-                    free_d[j : j + n] = False
-                    tiles.append((i, j, n))
-                    marked = True
-            if marked:
-                continue  # what the tiles have cut off may still hold runs of s
+            # the longest first, of equally long ones that which begins first in the item, then in the document; what
+            # tiles leave of a match is a match of its own length
+            queue = [(-n, i, j) for n, i, j in found]
+            heapq.heapify(queue)
+            while queue:
+                n, i, j = heapq.heappop(queue)
+                both = free_i[i : i - n] & free_d[j : j - n]
+                if both.all():
+                    free_i[i : i - n] = False
+                    free_d[j : j - n] = False
+                    tiles.append((i, j, -n))
+                    continue
+                for a, b in np.flatnonzero(np.diff(np.concatenate([[False], both, [False]]).astype(np.int8))).reshape(-1, 2).tolist():
+                    if b - a >= s:
+                        heapq.heappush(queue, (a - b, i + a, j + a))
             if s == least:
                 break
             s = max(least, s // 2)
         return tiles
 
 
-class Items:
-    """A block of items: their tokens, and the seeds of all of them in order."""
+def tiles_of(item: np.ndarray, runs: list[tuple[int, np.ndarray]], k: int) -> list[tuple[int, int, int]]:
+    """Tiles of an item in a document of which runs (place, tokens) hold all seeds of k tokens that may be the item's.
 
-    def __init__(self, ids: list[int], texts: list[str], seed: int):
-        self.ids, self.tokens = ids, list(word_hashes(texts, punctuation=False))
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for k in {min(seed, len(t)) for t in self.tokens if len(t)}:
-            own = [(i, np.unique(shingle_hashes(t, k))) for i, t in enumerate(self.tokens) if min(seed, len(t)) == k]
-            hashes = np.concatenate([h for _, h in own])
-            of = np.concatenate([np.full(len(h), i) for i, h in own])
-            order = np.argsort(hashes, kind="stable")
-            self.by_length[k] = hashes[order], of[order]
-
-    def matches(self, words: np.ndarray, coverage: float) -> Iterator[tuple[int, float, int, list[tuple[int, int, int]]]]:
-        for k, (hashes, of) in self.by_length.items():
-            if len(words) < k:
-                continue
-            mine = shingle_hashes(words, k)
-            at = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
-            hit = np.flatnonzero(hashes[at] == mine)
-            if not len(hit):
-                continue
-            ends = np.searchsorted(hashes, mine[hit], side="right")
-            by_item: dict[int, list[int]] = {}
-            for j, a, b in zip(hit.tolist(), at[hit].tolist(), ends.tolist(), strict=True):
-                for i in of[a:b].tolist():
-                    by_item.setdefault(i, []).append(j)
-            for i, seeds in by_item.items():
-                item = self.tokens[i]
-                if len(np.unique(np.concatenate([np.array(seeds) + d for d in range(k)]))) < coverage * len(item):
-                    continue  # tiles lie on seeds: they can't cover more
-                # every tile lies on seeds, so the document is cut to those tokens, with a break between runs
-                inside = np.zeros(len(words) + 1, bool)
-                for d in range(k):
-                    inside[np.array(seeds) + d] = True
-                runs = np.flatnonzero(np.diff(np.concatenate([[False], inside])) != 0).reshape(-1, 2)
-                parts, where = [], []
-                for n, (a, b) in enumerate(runs):
-                    parts += [words[a:b], np.array([n], np.uint64)]
-                    where += [np.arange(a, b), [-1]]
-                place = np.concatenate(where)
-                tiles = [(s, int(place[t]), n) for s, t, n in tiling(item, np.concatenate(parts), k)]
-                share = sum(n for _, _, n in tiles) / len(item)
-                if share >= coverage:
-                    yield i, share, len(item), sorted(tiles)
+    Every tile lies on shared seeds, so runs are cut to the tokens of seeds that are the item's, with a break between them.
+    """
+    own = np.unique(shingle_hashes(item, k))
+    parts, where, breaks = [], [], 0
+    for at, words in runs:
+        inside = np.zeros(len(words) + 1, bool)
+        for j in np.flatnonzero(np.isin(shingle_hashes(words, k), own)).tolist():
+            inside[j : j + k] = True
+        for a, b in np.flatnonzero(np.diff(np.concatenate([[False], inside])) != 0).reshape(-1, 2):
+            parts += [words[a:b], np.array([breaks], np.uint64)]
+            where += [np.arange(at + a, at + b), [-1]]
+            breaks += 1
+    if not parts:
+        return []
+    place = np.concatenate(where)
+    return sorted((i, int(place[j]), n) for i, j, n in tiling(item, np.concatenate(parts), k))
+
+
+def _seeds(words: np.ndarray, k: int) -> np.ndarray:
+    """Seeds of k tokens, one for each place, with k in the hash; none where there are fewer tokens."""
+    if len(words) < k:
+        return np.empty(0, np.int64)
+    return mix(shingle_hashes(words, k) + np.uint64(k)).view(np.int64)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
@@ -152,34 +138,77 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     Tokens are runs without white space or ASCII punctuation, A-Z lower-cased; tiles have at least `seed` tokens (an
     item of fewer: all of its tokens). Items without tokens match nothing, nor do null or empty documents. Rows and
-    items with null ids are searched like others; repeated ones give a row each. Empty tables give no rows.
+    items with null ids are searched like others; repeated ones give a row each. Of equally long matches, that which
+    begins first in the item, then in the document, becomes a tile. Very long texts are searched whole, by their shared
+    runs. Empty tables give no rows. Further columns are not read.
+
+    Documents are read once. Where they are read, a Bloom filter of the items' seeds (of bounded size, whatever the number
+    of items) leaves the runs of tokens that may be shared; their seeds are joined with those of the items. Pairs with too
+    few shared seeds to cover the item go before the runs are brought together with the item and tiled.
     """
     spark = docs.sparkSession
-    rows = keyed(docs, id_col, text=text_col)
-    tests = pick(items, item_id=item_id_col, text=item_text_col).where("text IS NOT NULL")
-    size = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    found = []
-    for n in range(blocks):
-        block = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).collect()
-        held = spark.sparkContext.broadcast(([r["item_id"] for r in block], [r["text"] for r in block]))
-
-        def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, texts = held.value
-            index = Items(ids, texts, seed)
-            for batch in batches:
-                out = []
-                for doc_id, words in zip(batch["doc_id"], word_hashes(batch["text"], punctuation=False), strict=True):
-                    out += [(doc_id, index.ids[i], share, n, [{"item_start": a, "doc_start": b, "length": c} for a, b, c in tiles]) for i, share, n, tiles in index.matches(words, coverage)]
-                frame = pd.DataFrame(out, columns=["doc_id", "item_id", "coverage", "item_tokens", "tiles"])
-                frame["item_id"] = frame["item_id"].astype("Int64")
-                yield frame
-
-        found.append(rows.mapInPandas(search, SCHEMA))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return unkeyed(out)
+    rows = keyed(docs, id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
+    tests = pick(items, item_id=item_id_col, text=item_text_col).where("text IS NOT NULL").withColumn("item", F.monotonically_increasing_id())
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = list(word_hashes(batch["text"], punctuation=False))
+            yield pd.DataFrame({"item": batch["item"], "n": [len(w) for w in words], "k": [min(seed, len(w)) for w in words], "words": [w.tobytes() for w in words]})
+
+    ids = materialize(tests.select("item", F.col("item_id").cast("long"), "text"), "contamination-texts")
+    tokens = materialize(ids.select("item", "text").mapInPandas(split, "item long, n int, k int, words binary").where("n > 0"), "contamination-items")
+
+    def seeds_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.unique(_seeds(np.frombuffer(w, np.uint64), k)) for w, k in zip(batch["words"], batch["k"], strict=True)]
+            n = [len(f) for f in found]
+            yield pd.DataFrame({"seed": np.concatenate([np.empty(0, np.int64), *found]), **{c: np.repeat(batch[c].to_numpy(), n) for c in ("item", "k", "n")}})
+
+    seeds = materialize(tokens.mapInPandas(seeds_of, "seed long, item long, k int, n int"), "contamination-seeds")
+    bits, shared = exact_dedup.seen_filter(seeds.select("seed"), seeds.count())
+    lengths = sorted(r[0] for r in tokens.select("k").distinct().collect())  # seed of them at most
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row, doc_id, words in zip(batch["row"], batch["doc_id"], word_hashes(batch["text"], punctuation=False), strict=True):
+                for k in lengths:
+                    mine = _seeds(words, k)
+                    if not len(mine):
+                        continue
+                    hit = np.concatenate([[False], exact_dedup.passes(shared.value, bits, mine), [False]])
+                    for a, b in np.flatnonzero(hit[1:] != hit[:-1]).reshape(-1, 2).tolist():
+                        out.append((row, doc_id, k, a, words[a : b + k - 1].tobytes()))
+            yield pd.DataFrame(out, columns=["row", "doc_id", "k", "at", "words"])
+
+    runs = materialize(rows.mapInPandas(search, "row long, doc_id long, k int, at int, words binary"), "contamination-runs")
+
+    def run_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_seeds(np.frombuffer(w, np.uint64), k) for w, k in zip(batch["words"], batch["k"], strict=True)]
+            yield pd.DataFrame({"seed": np.concatenate([np.empty(0, np.int64), *found]), "row": np.repeat(batch["row"].to_numpy(), [len(f) for f in found])})
+
+    # of a repeated seed in a document one row, with its count
+    met = runs.mapInPandas(run_seeds, "seed long, row long").groupBy("row", "seed").agg(F.count(F.lit(1)).alias("times"))
+    pairs = met.join(broadcast_small(seeds), "seed").groupBy("row", "item", "k", "n").agg(F.sum("times").alias("places"))
+    # tiles lie on shared seeds, each of which covers k tokens
+    pairs = materialize(pairs.where(F.col("places") * F.col("k") >= F.col("n") * coverage).select("row", "item", "k"), "contamination-pairs")
+    few = broadcast_small(pairs)
+    of_items = pairs.join(broadcast_small(tokens.select("item", "words"), words=1), "item").select("row", "item", "k", F.lit(NULL_ID).alias("doc_id"), F.lit(-1).alias("at"), "words")
+    of_docs = runs.join(few, ["row", "k"]).select("row", "item", "k", "doc_id", "at", "words")
+
+    def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, ["row", "item"]):
+            item = np.frombuffer(g["words"][0], np.uint64)  # at -1, before the runs
+            found = tiles_of(item, [(int(a), np.frombuffer(w, np.uint64)) for a, w in zip(g["at"][1:], g["words"][1:], strict=True)], int(g["k"][0]))
+            share = sum(n for _, _, n in found) / len(item)
+            if share >= coverage:
+                yield pd.DataFrame({"doc_id": [int(g["doc_id"][1])], "item": [int(g["item"][0])], "coverage": [share], "item_tokens": [len(item)], "tiles": [[{"item_start": a, "doc_start": b, "length": c} for a, b, c in found]]})
+
+    schema = SCHEMA.replace("item_id long", "item long")
+    both = of_items.union(of_docs).repartition(partitions(spark), "row", "item").sortWithinPartitions("row", "item", "at")
+    found = both.mapInPandas(tile, schema).join(broadcast_small(ids.select("item", "item_id")), "item")
+    return unkeyed(found.select("doc_id", "item_id", "coverage", "item_tokens", "tiles"))
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -103,24 +103,39 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield whole()
 
 
-def repeated_filter(hashes: DataFrame, rows: int):
-    """A column function: whether a hash may be that of another row too. hashes: one column of longs, `rows` of them."""
+def _filter(hashes: DataFrame, rows: int, which: str):
+    """A column function: whether a hash has all its bits set once (or twice) by hashes: one column of longs, `rows` of them."""
     bits = bits_for(rows)
     parts = hashes.mapInArrow(_mark(bits), "segment long, once binary, twice binary")
     united = materialize(parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_unite, "segment long, once binary, twice binary"), "bloom")
     array = np.zeros(bits // 8, np.uint8)
-    for segment, twice in united.select("segment", "twice").toLocalIterator():
-        array[segment * SEGMENT // 8 :][: SEGMENT // 8] = np.frombuffer(twice, np.uint8)
+    for segment, part in united.select("segment", which).toLocalIterator():
+        array[segment * SEGMENT // 8 :][: SEGMENT // 8] = np.frombuffer(part, np.uint8)
     release(united)
-    shared = hashes.sparkSession.sparkContext.broadcast(array.tobytes())
+    return bits, hashes.sparkSession.sparkContext.broadcast(array.tobytes())
+
+
+def passes(array: bytes, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """Which 64-bit hashes have all their bits set."""
+    return _is_set(np.frombuffer(array, np.uint8), _places(hashes, bits)).all(axis=1)
+
+
+def repeated_filter(hashes: DataFrame, rows: int):
+    """A column function: whether a hash may be that of another row too. hashes: one column of longs, `rows` of them."""
+    bits, shared = _filter(hashes, rows, "twice")
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(_is_set(np.frombuffer(shared.value, np.uint8), _places(h.to_numpy(), bits)).all(axis=1))
+        return pd.Series(passes(shared.value, bits, h.to_numpy()))
 
     return maybe
 
 
+def seen_filter(hashes: DataFrame, rows: int):
+    """(bits, broadcast array) for passes(): whether a hash may be one of hashes. The array has MOST_BITS at most."""
+    return _filter(hashes, rows, "once")
+
+
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each of docs: doc_id, keep_id (the largest id of its equal texts), group_size, kept and text_sha256."""
     keys = materialize(pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), digest("text").alias("digest")), "digests")
