@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import common
-from plumbline.llm.common import NULL_ID, broadcast_small, groups, keyed, materialize, mix, partitions, shingle_hashes, word_hashes
+from plumbline.llm.common import NULL_ID, broadcast_small, give_back, groups, keyed, materialize, mix, partitions, shingle_hashes, word_hashes
 
 #: Words of a seed, k-mers of which the least is a seed, words of a passage, share of equal words.
 K, SPAN, MIN_WORDS, IDENTITY = 5, 8, 50, 0.8
@@ -384,6 +384,7 @@ def aligned(rows: DataFrame, matches: DataFrame, min_words: int, identity: float
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
+            give_back()
             for words, version, owner, wanted in zip(word_hashes(batch["text"]), batch["version"], batch["owner"], batch["wanted"], strict=True):
                 short = (words >> np.uint64(32)).astype("<u4")
                 for w in wanted:
@@ -450,6 +451,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 if size >= CHUNK:
                     yield from first_of_chunk(held)
                     held, size = [], 0
+                    give_back()
         if held:
             yield from first_of_chunk(held)
 
@@ -465,8 +467,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         ref, ref_place = doc[first], place[first]
         ref_place[ref == doc] = -1
-        for a in range(0, len(seed), 100_000):
-            part = slice(a, a + 100_000)
+        for a in range(0, len(seed), 20_000):
+            part = slice(a, a + 20_000)
             yield pd.DataFrame({"seed": seed[part], "doc_id": doc[part], "place": place[part], "ref": ref[part], "ref_place": ref_place[part]})
 
     # the firsts of all chunks meet; rows that have a partner in their chunk are dealt evenly, and take over its partner
