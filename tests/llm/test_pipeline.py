@@ -1,7 +1,10 @@
+import pytest
+
 import corpus_pipeline
 from plumbline.llm import queries, toxicity
 from plumbline.llm.common import materialize
 from tests.llm import test_decontamination, test_jaccard_join
+from tests.llm.cases import empty_documents, odd_documents
 
 
 def test_stages(spark, sf):
@@ -31,3 +34,28 @@ def test_stages(spark, sf):
             assert after.columns == docs.columns
         before = after
     assert toxicity.FEATURES and corpus_pipeline.run(spark, sf).count() == before.count()
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_odd_and_empty_tables(spark, tmp_path, kind):
+    """Null and repeated ids, null and long texts, columns of the operators' own names; or no rows in any table."""
+    docs = odd_documents(spark) if kind == "odd" else empty_documents(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(1, 0), (5, 1), (None, 1), (99, None)] if kind == "odd" else []
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    items = [(1, "two words"), (None, "and more words"), (2, None)] if kind == "odd" else []
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        after = materialize(stage(spark, before, str(tmp_path)), name)
+        if name != "packing":
+            assert after.columns == before.columns and after.dtypes == before.dtypes
+            before = after
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if kind == "empty":
+        assert pieces == []
+        return
+    texts = [r["text"] for r in before.collect()]
+    # "ONE" is a copy of "one", the item "two words" took its document along, and nothing else went
+    assert sorted(texts, key=str) == sorted([r["text"] for r in docs.collect() if r["text"] not in ("two words", "ONE")], key=str)
+    assert len({(r["doc_id"], r["sequence_id"], r["offset"]) for r in pieces}) == len(pieces) and sum(r["start"] == 0 for r in pieces) == len(texts)

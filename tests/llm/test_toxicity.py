@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -53,3 +55,48 @@ def test_features():
     assert named["learned_max"] == 5.0 and named["beginnings"] > 0 and named["near"] == pytest.approx(np.log1p(2))
     assert named["caps_words"] > 0 and named["repeated"] > 0 and named["exclaim"] > 0
     assert len(lexicon.features("")) == len(toxicity.FEATURES) and not any(np.isnan(lexicon.features("")))
+
+
+def plain_features(text, words, beginnings):
+    """Each feature by its own definition, word by word."""
+    raw = text.lower().split()
+    n, size = max(1, len(raw)), max(1, len(text))
+    fixed, learned, weights, begun, bad, second, odd, hidden = 0, 0, [], 0, [], [], 0, 0
+    for i, r in enumerate(raw):
+        word = r if r.isalpha() else r.strip(toxicity._EDGE)
+        if not r.isalpha():
+            odd += bool(not word.isalpha() and re.search(r"[^\W\d_]+[\d@$!|*.\-_]+[^\W\d_]", word))
+            signs = set(r) & set("0123456789@$|")
+            if (not word.isalpha() or signs) and word not in toxicity.INSULTS and word not in words:
+                for bare in (toxicity.plain(word), toxicity.plain(r.strip(".,!?"))):
+                    if bare in toxicity.INSULTS or bare in words:
+                        word, hidden = bare, hidden + 1
+                        break
+        weight = words.get(word, 0.0)
+        start = max([beginnings.get(word[:k], 0.0) for k in (4, 5, 6)]) if len(word) > 3 else 0.0
+        fixed += word in toxicity.INSULTS
+        learned += weight > 0
+        begun += start > 0
+        if max(weight, start) > 0:
+            weights.append(max(weight, start))
+        if word in toxicity.INSULTS or max(weight, start) > 0:
+            bad.append(i)
+        if word in toxicity.SECOND:
+            second.append(i)
+    near = sum(any(abs(i - j) <= toxicity.NEAR for j in second) for i in bad)
+    upper, lower = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+    marks = sum(c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for c in text)
+    caps = len(re.findall(r"\b[A-ZÀ-Þ]{3,}\b", text)) if upper > 2 else 0
+    repeated = len(re.findall(r"[!?.]{2,}|([^\w\s])\1", text)) if marks > 1 else 0
+    log = np.log1p
+    return dict(zip(toxicity.FEATURES, [log(len(raw)), log(len(text)), log(fixed), fixed / n, log(learned), learned / n, sum(weights) / n, max(weights, default=0.0), begun / n, log(near), near / n, len(second) / n, upper / max(1, upper + lower), caps / n, text.count("!") / size, text.count("?") / size, marks / size, repeated / n, sum("0" <= c <= "9" for c in text) / size, odd / n, log(hidden), len(set(raw)) / n], strict=True))
+
+
+def test_features_of_all_documents(spark, sf):
+    """Every feature of every text of the table, and of odd ones, against its definition."""
+    lexicon = toxicity.Lexicon({"grum": 4.0, "the": 3.5, "clown": 3.0}, {"lowei": 5.0, "ther": 3.2})
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [r["text"] or "" for r in odd_documents(spark).collect() if len(r["text"] or "") < 5000]
+    texts += ["YOU 1d10t!!", "m0r0n... You're a cl0wn?", "$cum @ you", "you " * 12 + "grum", "A" * 50, "?!?!", "l.o.s.e.r ihr TÚ", "gr-um you"]
+    for text in texts:
+        got, want = dict(zip(toxicity.FEATURES, lexicon.features(text), strict=True)), plain_features(text, lexicon.words, lexicon.beginnings)
+        assert all(got[k] == pytest.approx(want[k]) for k in want), (text[:80], {k: (got[k], want[k]) for k in want if got[k] != pytest.approx(want[k])})
