@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.positions import quoted
+
 
 def filter_stats(df: DataFrame, condition: Column) -> DataFrame:
     """One row (rows_in, rows_out, rows_dropped, pct_kept) in one pass; a null condition drops the row."""
@@ -32,7 +36,17 @@ def _marked(df: DataFrame, keys: list[str], order_by: list, keep: str) -> DataFr
 
 
 def drop_duplicates(df: DataFrame, keys: list[str], order_by: list, keep: str = "first") -> DataFrame:
-    """The first (or last) row of each key in the given order, or with "none" only the rows whose key occurs once."""
+    """The first (or last) row of each key in the given order, or with "none" only the rows whose key occurs once.
+
+    For the last row by names of columns the order is turned round, so that each task keeps one row of a key before any
+    row moves; keys that occur once are found by an aggregate.
+    """
+    if keep == "last" and all(isinstance(c, str) for c in order_by):
+        return numbered(df, keys, [F.col(quoted(c)).desc_nulls_last() for c in order_by]).where("__n = 1").drop("__n")
+    if keep == "none":
+        names = [f"__k{i}" for i in range(len(keys))]
+        once = df.groupBy(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.count(F.lit(1)).alias("__of")).where("__of = 1").drop("__of")
+        return df.join(once, reduce(Column.__and__, [F.col(quoted(k)).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]), "left_semi")
     return _marked(df, keys, order_by, keep).where(_KEPT[keep]).drop("__n", "__of")
 
 

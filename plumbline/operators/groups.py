@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +34,17 @@ def size_histogram(df: DataFrame, keys: list[str], bins: int = 10, dropna: bool
 
 
 def transform(df: DataFrame, keys: list[str], **made: Column) -> DataFrame:
-    """df with aggregates of each row's group."""
-    w = Window.partitionBy(*keys)
-    return df.withColumns({k: c.over(w) for k, c in made.items()})
+    """df with aggregates of each row's group; null keys are a group.
+
+    The aggregates are made on their own, partly where rows are read, and joined back: a join that Spark can split where
+    one key holds a large share of the rows, which it can't do with a window over the key.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    found = df.groupBy(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names, strict=True)]).agg(*[c.alias(f"__v{i}") for i, c in enumerate(made.values())])
+    same = reduce(Column.__and__, [F.col(quoted(k)).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
+    values = dict(zip(made, [f"__v{i}" for i in range(len(made))], strict=True))
+    old = [F.col(values.get(c) or quoted(c)).alias(c) for c in df.columns]
+    return df.join(found, same, "left").select(*old, *[F.col(v).alias(k) for k, v in values.items() if k not in df.columns])
 
 
 def running(df: DataFrame, keys: list[str], order_by: list, **made: Column) -> DataFrame:

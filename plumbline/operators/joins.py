@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Keys = list[str]
@@ -101,8 +101,13 @@ def unmatched(df: DataFrame, other: DataFrame, keys: Keys, other_keys: Keys | No
 
 
 def duplicate_key_rows(df: DataFrame, keys: Keys) -> DataFrame:
-    """The rows that share their key with another row."""
-    return df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("__n > 1").drop("__n")
+    """The rows that share their key with another row; a null is a key value.
+
+    Repeated keys are found by an aggregate and joined back, so that the rows of one key need not meet in one task.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    often = df.groupBy(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    return df.join(often, reduce(Column.__and__, [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]), "left_semi")
 
 
 def null_key_rows(df: DataFrame, keys: Keys) -> DataFrame:

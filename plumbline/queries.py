@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,7 +16,9 @@ from plumbline.operators.apply import apply_groups, combine_groups
 from plumbline.plans import catalyst
 from plumbline.plans.contract import Contract, violating_rows, violations
 from plumbline.plans.pipeline import Frame, Pipeline
-from plumbline.plans.report import diff
+from plumbline.plans.report import diff, diff_text
+from plumbline.sources.catalog import Catalog
+from plumbline.sources.readers import Datasets, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -529,3 +533,133 @@ query("size_verb", f"SELECT status, count(*) AS size FROM {NULLED} t WHERE statu
 query("find_group_loss", "SELECT 1::INTEGER AS step, 'row_loss' AS kind, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 12)) AS lost WHERE (SELECT count(*) FROM orders) > 0")(
     lambda t: t.orders.filter_groups(["o_custkey"], F.count(F.lit(1)) > 12).pipeline.report().as_dataframes(t.spark)["findings"].where("kind = 'row_loss'").select("step", "kind", F.regexp_extract("message", "^(\\d+) of", 1).cast("long").alias("lost"))
 )
+
+# ---------------------------------------------------------------- readers and the catalog, on files written of the tables
+
+
+def _scratch(t: Tables) -> str:
+    """A new folder where the session keeps its checkpoints; in a local session without one, on this machine."""
+    found = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not (t.spark.sparkContext.master.startswith("local") and not t.spark.sparkContext.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines see")
+    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='plumbline-')).rstrip('/')}/plumbline/files-{uuid.uuid4().hex}"
+
+
+_PRICED = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
+_priced = lambda t: t.orders.df.select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+def _read_back(suffix: str, write: Callable[[DataFrame, str], None]) -> Callable[[Tables], DataFrame]:
+    def build(t: Tables) -> DataFrame:
+        path = f"{_scratch(t)}/orders.{suffix}"
+        write(_priced(t), path)
+        return read(t.spark, path, schema="o_orderkey long, o_orderstatus string, o_totalprice double").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+    return build
+
+
+query("read_csv", _PRICED)(_read_back("csv", lambda df, path: df.write.option("header", True).csv(path)))
+query("read_table", _PRICED)(_read_back("tsv", lambda df, path: df.write.options(header=True, sep="\t").csv(path)))
+query("read_json", _PRICED)(_read_back("jsonl", lambda df, path: df.write.json(path)))
+query("read_orc", _PRICED)(_read_back("orc", lambda df, path: df.write.orc(path)))
+
+
+def _catalog(t: Tables) -> Catalog:
+    """A catalog of orders as CSV, replaced once, and customers."""
+    scratch = _scratch(t)
+    out = Catalog(t.spark, f"{scratch}/catalog", most_bytes=1 << 40)
+    _priced(t).limit(0).write.option("header", True).csv(f"{scratch}/old/my orders.csv")
+    _priced(t).write.option("header", True).csv(f"{scratch}/new/my orders.csv")
+    t.customer.df.select("c_custkey", "c_name").write.parquet(f"{scratch}/customers.parquet")
+    out.put(f"{scratch}/old/my orders.csv")
+    out.put(f"{scratch}/new/my orders.csv", replace=True)
+    out.put(f"{scratch}/customers.parquet", "customers")
+    return out
+
+
+query("catalog_get", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")(
+    lambda t: _catalog(t).get("my_orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+)
+query("catalog_list", "SELECT 'customers' AS name, 2::BIGINT AS columns, count(*) AS rows FROM customer UNION ALL SELECT 'my_orders', 3, count(*) FROM orders")(
+    lambda t: (lambda c: c.list().select("name", F.size("columns").cast("long").alias("columns")).join(
+        c.get("customers").agg(F.lit("customers").alias("name"), F.count(F.lit(1)).alias("rows")).union(c.get("my_orders").agg(F.lit("my_orders"), F.count(F.lit(1)))), "name"))(_catalog(t))
+)
+query("catalog_sql", "WITH s AS (SELECT DISTINCT o_orderstatus AS kind FROM orders) SELECT kind, (SELECT count(*) FROM customer) AS customers FROM s")(
+    lambda t: _catalog(t).sql("WITH s AS (SELECT DISTINCT o_orderstatus AS kind FROM my_orders /* not nation */) SELECT kind, (SELECT count(*) FROM customers) AS customers FROM s")
+)
+
+
+def _referenced(t: Tables) -> DataFrame:
+    sets = Datasets(t.spark)
+    for name in ("orders", "customer", "nation"):
+        sets.add(f"{t.dir}/{name}.parquet", f"set_{name}", "parquet")
+    named = sets.referenced("WITH set_nation AS (SELECT 1 AS x) SELECT 'set_customer' AS set_customer FROM Set_Orders o JOIN set_nation ON true -- set_customer")
+    return t.spark.createDataFrame([(n,) for n in named], "name string").crossJoin(sets.get("set_orders").agg(F.count(F.lit(1)).alias("rows")))
+
+
+query("referenced_names", "SELECT 'set_orders' AS name, count(*) AS rows FROM orders")(_referenced)
+
+# ---------------------------------------------------------------- hints, changes and texts of reports
+
+
+def _hints_of(build: Callable[[Tables], Frame], kind: str) -> Callable[[Tables], DataFrame]:
+    return lambda t: build(t).pipeline.report().as_dataframes(t.spark)["hints"].where(F.col("kind") == kind).select("step", "status", "suggestion")
+
+
+query("hints_filter_earlier", "SELECT 3::INTEGER AS step, 'auto' AS status, 'filter o_totalprice > 100000, then assign [''tax'']' AS suggestion WHERE (SELECT count(*) FILTER (o_totalprice > 100000) FROM orders) <= 0.9 * (SELECT count(*) FROM orders)")(
+    _hints_of(lambda t: t.orders.select("o_orderkey", "o_totalprice").assign(tax=F.col("o_orderkey") * 2).filter("o_totalprice > 100000"), "filter_earlier")
+)
+query("hints_unused_columns", "SELECT 0::INTEGER AS step, 'auto' AS status, 'select(''c_custkey'', ''c_acctbal'')' AS suggestion WHERE (SELECT count(*) FROM customer) > 0")(
+    _hints_of(lambda t: t.customer.filter("c_acctbal > 0").agg([], n=F.count("c_custkey")), "unused_columns")
+)
+query("hints_useless_sort", "SELECT 1::INTEGER AS step, 'auto' AS status, 'sort (''o_orderkey'',)' AS suggestion WHERE (SELECT count(*) FROM orders) > 0")(
+    _hints_of(lambda t: t.orders.sort_values("o_totalprice").sort_values("o_orderkey"), "useless_sort")
+)
+
+
+def _doubled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"o_orderkey": batch["o_orderkey"], "twice": batch["o_totalprice"] * 2})
+
+
+query("apply", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders")(lambda t: t.orders.select("o_orderkey", "o_totalprice").apply(_doubled, "o_orderkey long, twice double"))
+query("hints_row_apply", "SELECT 2::INTEGER AS step, 'actionable' AS status, 'assign() with functions of pyspark.sql' AS suggestion WHERE (SELECT count(*) FROM orders) > 0")(
+    _hints_of(lambda t: t.orders.select("o_orderkey", "o_totalprice").apply(_doubled, "o_orderkey long, twice double"), "row_apply")
+)
+query("hints_duplicate_read", "SELECT 2::INTEGER AS step, 'actionable' AS status, 'the frame of step 0' AS suggestion WHERE (SELECT count(*) FROM nation) > 0")(
+    _hints_of(lambda t: t.nation.select("n_nationkey").merge(t.nation.select("n_nationkey", "n_name"), on=["n_nationkey"]), "duplicate_read")
+)
+
+
+def _mine(t: Tables) -> Frame:
+    """A step that the package has no verb for, which keeps some rows."""
+    orders = t.orders.select("o_orderkey", "o_totalprice")
+    return t.pipeline.add("my_filter", "the dear ones", orders.df.where("o_totalprice > 300000"), [(orders, "input")]).named("dear")
+
+
+query("unknown_step", "SELECT id, category, name, rows FROM (SELECT 0::INTEGER AS id, 'source' AS category, NULL::VARCHAR AS name, count(*) AS rows FROM orders UNION ALL SELECT 1, 'projection', NULL, count(*) FROM orders UNION ALL SELECT 2, 'other', 'dear', count(*) FILTER (o_totalprice > 300000) FROM orders)")(
+    lambda t: _mine(t).pipeline.report().as_dataframes(t.spark)["steps"].select("id", "category", "name", "rows")
+)
+query("examples_of_unknown_step", "SELECT least(5, count(*)) AS n, 0::BIGINT AS kept FROM orders WHERE NOT coalesce(o_totalprice > 300000, false)")(
+    lambda t: (lambda f: f.pipeline.report().examples(f.step, "dropped", ["o_orderkey"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") > 300000).alias("kept")))(_mine(t))
+)
+
+
+def _schema_change(t: Tables) -> DataFrame:
+    orders = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    made = t.pipeline.add("shape", "", orders.df.selectExpr("CAST(o_orderkey AS STRING) AS o_orderkey", "o_totalprice", "o_totalprice * 0.1 AS tax"), [(orders, "input")])
+    c = made.pipeline.report().schema_change(made.step)
+    rows = [(kind, x) for kind, key in (("added", "added"), ("removed", "removed"), ("changed", "dtype_changed")) for x in c[key]]
+    return t.spark.createDataFrame(rows, "change string, column string")
+
+
+query("schema_change", "SELECT * FROM (VALUES ('added', 'tax'), ('removed', 'o_orderstatus'), ('changed', 'o_orderkey')) v(change, \"column\") WHERE (SELECT count(*) FROM orders) > 0")(_schema_change)
+query("diff_text", "SELECT 'ancestor, over steps 0 > 1' AS line UNION ALL SELECT 'rows: ' || n || ' to ' || k || ' (' || (k - n) || ')' FROM (SELECT count(*) AS n, count(*) FILTER (o_totalprice > 100000) AS k FROM orders) UNION ALL SELECT 'all columns are the same'")(
+    lambda t: (lambda f: t.spark.createDataFrame([(line,) for line in diff_text(diff(f.pipeline.report(), 0, f.step.id)).split("\n")], "line string"))(t.orders.filter("o_totalprice > 100000"))
+)
+query("checks_script", "SELECT 'assert not dear.isEmpty()  # ' || CASE WHEN count(*) > 0 THEN 'passes' ELSE 'FAILS' END || ': rows are left' AS line FROM orders WHERE o_totalprice > 100000")(
+    lambda t: (lambda f: t.spark.createDataFrame([(line,) for line in f.pipeline.report().checks_script().splitlines() if "isEmpty" in line], "line string"))(t.orders.filter("o_totalprice > 100000").named("dear"))
+)
+query("report_times", "SELECT 'orders' AS label, true AS measured, true AS sized FROM orders LIMIT 1")(
+    lambda t: (lambda r: t.spark.createDataFrame([("orders", all(f.seconds >= 0 for f in r.facts.values()) and max(f.seconds for f in r.facts.values()) > 0, all(f.bytes > 0 for f in r.facts.values()))], "label string, measured boolean, sized boolean"))(t.orders.filter("o_totalprice > 100000").pipeline.report())
+)
