@@ -21,6 +21,15 @@ def condition_of(df: DataFrame) -> str:
     return plan.condition().sql() if plan.nodeName() == "Filter" else ""
 
 
+def expression_of(df: DataFrame, column: str) -> str:
+    """The expression that the operator on top makes the column of, as SQL; empty where it only passes the column on."""
+    plan = _plan(df, "analyzed")
+    for e in _made(plan):
+        if e.nodeName() == "Alias" and e.name() == column and e.child().nodeName() != "AttributeReference":
+            return e.child().sql()
+    return ""
+
+
 #: Operators that are worth computing once.
 _WORK = {"Join", "Aggregate", "Window", "Sort", "Filter", "Generate", "Deduplicate", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas"}
 

@@ -238,7 +238,7 @@ def findings(pipeline: Pipeline, known: dict[int, Facts]) -> list[Finding]:
             for c in rose:
                 if c not in told[s.id]:
                     told[s.id].add(c)
-                    out.append(Finding("null_origin", "warning", s.id, f"nulls of {c} first appear here: {_null_origin(s, d, before.nulls.get(old[c], 0), f.nulls[c])}", c, "nulls"))
+                    out.append(Finding("null_origin", "warning", s.id, f"nulls of {c} first appear here: {_null_origin(s, c, before.nulls.get(old[c], 0), f.nulls[c])}", c, "nulls"))
         if s.op not in TYPE_OPS:
             for c, t in f.dtypes.items():
                 if c in before.dtypes and before.dtypes[c] != t:
@@ -269,15 +269,16 @@ def _where(s: Step) -> str:
     return (f" by {condition}" if condition else "") + (f" ({s.site})" if s.site else "")
 
 
-def _null_origin(s: Step, d: dict, before: int, after: int) -> str:
-    """Why nulls may appear at a step."""
+def _null_origin(s: Step, column: str, before: int, after: int) -> str:
+    """Why nulls of a column may appear at a step: for a computed column with its expression and the place in the caller's code."""
     if s.category == "join":
         return f"rows without a match on the other side: {after} nulls"
     if s.op == "concat":
         return f"not every input of concat has a value there: {before} nulls in the first input, {after} after"
     if s.category == "reshape" or s.op in ("pivot_table", "crosstab"):
         return f"combinations that don't occur: {after} nulls"
-    return f"the step's expression gives null: {before} before, {after} after"
+    made = catalyst.expression_of(s.df, column)
+    return f"the step's expression gives null: {before} before, {after} after" + (f"; {column} is {made}" if made else "") + (f" ({s.site})" if s.site else "")
 
 
 def checks(pipeline: Pipeline, known: dict[int, Facts], found: list[Finding]) -> list[Check]:

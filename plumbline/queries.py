@@ -663,3 +663,7 @@ query("checks_script", "SELECT 'assert not dear.isEmpty()  # ' || CASE WHEN coun
 query("report_times", "SELECT 'orders' AS label, true AS measured, true AS sized FROM orders LIMIT 1")(
     lambda t: (lambda r: t.spark.createDataFrame([("orders", all(f.seconds >= 0 for f in r.facts.values()) and max(f.seconds for f in r.facts.values()) > 0, all(f.bytes > 0 for f in r.facts.values()))], "label string, measured boolean, sized boolean"))(t.orders.filter("o_totalprice > 100000").pipeline.report())
 )
+query("finding_names_expression", "SELECT 1::INTEGER AS step, 'part' AS \"column\", true AS expression, true AS place WHERE (SELECT count(*) FROM orders WHERE o_totalprice <= 100000) > 0")(
+    lambda t: t.orders.assign(part=F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice") / 2)).pipeline.report().as_dataframes(t.spark)["findings"]
+    .select("step", "column", F.col("message").contains("part is CASE WHEN (o_totalprice > ").alias("expression"), F.col("message").contains("queries.py:").alias("place"))
+)
