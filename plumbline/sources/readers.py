@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.plans.catalyst import relations
+from plumbline.sources.sheets import read_excel
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,7 @@ FORMATS = [
     Format("json", ("json",), _json),
     Format("jsonl", ("jsonl", "ndjson"), lambda spark, reader, path: reader.json(path)),
     Format("parquet", ("parquet", "pq"), lambda spark, reader, path: reader.parquet(path)),
+    Format("excel", ("xlsx",), lambda spark, reader, path: read_excel(spark, path)),
     Format("orc", ("orc",), lambda spark, reader, path: reader.orc(path)),
 ]
 _BY_NAME = {f.name: f for f in FORMATS}

@@ -1,11 +1,15 @@
 """The dataset catalog, names that a query reads, and tables of databases."""
 
+import zipfile
+from datetime import datetime
+
 import pytest
 
 from plumbline.plans.catalyst import relations
 from plumbline.sources import readers
 from plumbline.sources.catalog import Catalog
-from plumbline.sources.readers import Datasets, key_ranges, read_jdbc
+from plumbline.sources.readers import Datasets, key_ranges, read, read_jdbc
+from plumbline.sources.sheets import read_excel
 
 
 @pytest.mark.parametrize(
@@ -134,3 +138,39 @@ def test_jdbc(spark):
     assert sum(counted) == 7000 and max(counted) <= 1.2 * 7000 / 8
     assert key_ranges(spark, URL, "(SELECT * FROM numbers WHERE \"k\" < 0) t", '"k"', 8, driver=DRIVER) == ["1 = 1"]
     assert read_jdbc(spark, URL, "numbers", driver=DRIVER).count() == 8001 and readers.FINE > 1
+
+
+_MAIN, _REL = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def write_workbook(path, rows, sheet="Data"):
+    """A workbook of two sheets, the first of which has only a title; a row is the XML of its cells."""
+    body = "".join(f'<row r="{n}">{cells}</row>' for n, cells in rows)
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets><sheet name="Title" sheetId="1" r:id="rId1"/><sheet name="{sheet}" sheetId="2" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{_MAIN}"><si><t>name</t></si><si><r><t>two </t></r><r><t>runs</t></r></si><si><t>when</t></si></sst>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{_MAIN}"><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/><xf numFmtId="22"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN}"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>title</t></is></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet xmlns="{_MAIN}"><sheetData>{body}</sheetData></worksheet>')
+
+
+def test_spreadsheets(spark, tmp_path):
+    head = '<c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>n</t></is></c><c r="C1" t="s"><v>2</v></c><c r="E1" t="str"><v>ok</v></c>'
+    rows = [
+        (1, head),
+        (2, '<c r="A2" t="s"><v>1</v></c><c r="B2"><v>5</v></c><c r="C2" s="1"><v>45292</v></c><c r="D2"><v>1.5</v></c><c r="E2" t="b"><v>1</v></c>'),
+        (4, '<c r="B4"><v>-7</v></c><c r="C4" s="2"><v>45292.75</v></c><c r="E4" t="b"><v>0</v></c><c r="A4" t="e"><v>#N/A</v></c>'),
+        (5, '<c r="A5"/>'),
+    ]
+    (tmp_path / "in").mkdir()
+    write_workbook(tmp_path / "in" / "a.xlsx", rows)
+    df = read_excel(spark, f"{tmp_path}/in/a.xlsx", "Data")
+    assert dict(df.dtypes) == {"name": "string", "n": "bigint", "when": "timestamp_ntz", "c3": "double", "ok": "boolean"}
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([("two runs", 5, datetime(2024, 1, 1), 1.5, True), (None, -7, datetime(2024, 1, 1, 18), None, False)], key=str)
+    assert [tuple(r) for r in read_excel(spark, f"{tmp_path}/in/a.xlsx", header=False).collect()] == [("title",)]
+    # a second file has the columns in another order
+    write_workbook(tmp_path / "in" / "b.xlsx", [(1, '<c r="A1" t="str"><v>n</v></c><c r="B1" t="str"><v>name</v></c>'), (2, '<c r="A2"><v>2.5</v></c><c r="B2" t="str"><v>other</v></c>')])
+    both = read_excel(spark, f"{tmp_path}/in", "Data")
+    assert dict(both.dtypes)["n"] == "double" and sorted((r["name"] or "", r["n"]) for r in both.collect()) == [("", -7.0), ("other", 2.5), ("two runs", 5.0)]
+    assert read(spark, f"{tmp_path}/in/a.xlsx").count() == 0 and read(spark, f"{tmp_path}/in/a.xlsx").columns == ["title"]
