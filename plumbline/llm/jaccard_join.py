@@ -22,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import exact_dedup
 from plumbline.llm.common import NULL_ID, broadcast_small, connected_components, groups, keyed, materialize, mix, partitions, shingle_hashes, unkeyed, word_hashes
 
 #: Entries of a node; coordinates of a point at least and at most (a power of two, by the set's size).
@@ -33,6 +35,8 @@ FANOUT, LEAST, MOST = 16, 64, 1024
 MAX_BLOCK, MAX_BYTES = 3000, 32 << 20
 #: Classes that share a key up to which their count vectors are compared.
 PRUNED = 1000
+#: Bits of the filter of keys (32 MB); of more than half as many keys it would let too many pass, and all are shuffled.
+FILTER_BITS = 1 << 28
 
 
 def levels(n: int, percent: int) -> list[tuple[int, int, int]]:
@@ -201,7 +205,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # the keys, most of what is held here, move once: of further copies only the ids go round, as long as they are few
     gone = materialize(usable.select("doc_id", "n", "h1", "h2").join(copies, ["n", "h1", "h2"]).where("doc_id <> class").select("doc_id", "h1", "h2").distinct(), "jaccard-copies")
     alone = usable.join(broadcast_small(gone), ["doc_id", "h1", "h2"], "left_anti")
-    exploded = alone.select(F.col("doc_id").alias("v"), F.explode("keys").alias("key"))
+    exploded = _repeated_keys(alone)
     # written before the join, so that the join alone is a stage and a frequent key can be split
     firsts = materialize(exploded.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("most"), F.count(F.lit(1)).alias("members")).where("u <> most").drop("most"), "jaccard-firsts")
     meeting = materialize(exploded.join(firsts, "key"), "jaccard-keys")
@@ -243,6 +247,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return unkeyed(named.select("doc_id", F.col("n").alias("n_shingles"), known.alias("component_id")))
 
 
+def _repeated_keys(alone: DataFrame) -> DataFrame:
+    """(v, key) of the keys that another row may have too. Most keys are of one set alone; a Bloom filter keeps them from
+    being shuffled, as long as they are few enough for it to tell. What it lets pass by chance meets nothing later on."""
+    total = alone.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    if not 0 < total <= FILTER_BITS // 2:
+        return alone.select(F.col("doc_id").alias("v"), F.explode("keys").alias("key"))
+    bits, shared = exact_dedup.repeated_bits(alone.select("keys"), total, FILTER_BITS)
+
+    def pick_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            keys = lists.flatten().to_numpy()
+            kept = exact_dedup.passes(shared.value, bits, keys)
+            ids = np.repeat(batch.column("doc_id").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            yield pa.record_batch([pa.array(ids[kept]), pa.array(keys[kept])], names=["v", "key"])
+
+    return materialize(alone.select("doc_id", "keys").mapInArrow(pick_keys, "v long, key long"), "jaccard-repeated")
+
+
 def verified_links(rows: DataFrame, subtree: DataFrame, k: int, percent: int, max_block: int = MAX_BLOCK) -> DataFrame:
     """Verified links (u, v) that span the components of each subtree (node, component) of rows (doc_id, text).
 
