@@ -23,7 +23,8 @@ def dropped_rows(df: DataFrame, condition: Column) -> DataFrame:
 
 
 def numbered(df: DataFrame, keys: list[str], order_by: list, name: str = "__n") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)))
+    named = lambda c: F.col(quoted(c)) if isinstance(c, str) else c
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*map(named, keys)).orderBy(*map(named, order_by))))
 
 
 #: Which rows of a key stay: tests on the row's number and on the rows of its key.
@@ -32,7 +33,7 @@ _KEPT = {"first": "__n = 1", "last": "__n = __of", "none": "__of = 1"}
 
 def _marked(df: DataFrame, keys: list[str], order_by: list, keep: str) -> DataFrame:
     rows = numbered(df, keys, order_by)
-    return rows if keep == "first" else rows.withColumn("__of", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return rows if keep == "first" else rows.withColumn("__of", F.count(F.lit(1)).over(Window.partitionBy(*[F.col(quoted(k)) for k in keys])))
 
 
 def drop_duplicates(df: DataFrame, keys: list[str], order_by: list, keep: str = "first") -> DataFrame:

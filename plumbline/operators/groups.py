@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from plumbline.operators.positions import ordered, quoted
 
 
+def _named(c: str | Column) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col(quoted(c)) if isinstance(c, str) else c
+
+
 def group_sizes(df: DataFrame, keys: list[str], dropna: bool = False) -> DataFrame:
     """(keys, size); with dropna, without groups that have a null key."""
     rows = df.dropna(subset=keys) if dropna else df
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    return rows.groupBy(*map(_named, keys)).agg(F.count(F.lit(1)).alias("size"))
 
 
 def group_stats(df: DataFrame, keys: list[str], dropna: bool = False) -> DataFrame:
@@ -49,15 +54,15 @@ def transform(df: DataFrame, keys: list[str], **made: Column) -> DataFrame:
 
 def running(df: DataFrame, keys: list[str], order_by: list, **made: Column) -> DataFrame:
     """df with aggregates from the start of the group to the row."""
-    w = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*map(_named, keys)).orderBy(*map(_named, order_by)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumns({k: c.over(w) for k, c in made.items()})
 
 
 def cumcount(df: DataFrame, keys: list[str], order_by: list, name: str, ascending: bool = True) -> DataFrame:
     """df with the number of rows of the group before each row in the given order, or after it."""
-    w = Window.partitionBy(*keys).orderBy(*ordered(order_by))
+    w = Window.partitionBy(*map(_named, keys)).orderBy(*ordered(order_by))
     before = F.row_number().over(w) - 1
-    return df.withColumn(name, before if ascending else F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int") - 1 - before)
+    return df.withColumn(name, before if ascending else F.count(F.lit(1)).over(Window.partitionBy(*map(_named, keys))).cast("int") - 1 - before)
 
 
 def idx(df: DataFrame, keys: list[str], label: str, by: str, most: bool = True) -> DataFrame:
@@ -71,11 +76,12 @@ def idx(df: DataFrame, keys: list[str], label: str, by: str, most: bool = True)
 
 def rank(df: DataFrame, keys: list[str], by: str, name: str, method: str = "average", ascending: bool = True) -> DataFrame:
     """df with the rank of `by` in its group: average, min, max, dense or first (of tied rows any order); nulls have none and don't count."""
-    w = Window.partitionBy(*keys).orderBy(F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last())
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, by))
+    value = _named(by)
+    w = Window.partitionBy(*map(_named, keys)).orderBy(value.asc_nulls_last() if ascending else value.desc_nulls_last())
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*map(_named, keys), value))
     least = F.rank().over(w)
-    value = {"average": (2 * least + ties - 1) / 2.0, "min": least, "max": least + ties - 1, "dense": F.dense_rank().over(w), "first": F.row_number().over(w)}[method]
-    return df.withColumn(name, F.when(F.col(by).isNotNull(), value))
+    place = {"average": (2 * least + ties - 1) / 2.0, "min": least, "max": least + ties - 1, "dense": F.dense_rank().over(w), "first": F.row_number().over(w)}[method]
+    return df.withColumn(name, F.when(value.isNotNull(), place))
 
 
 def filter_groups(df: DataFrame, keys: list[str], condition: Column) -> DataFrame:

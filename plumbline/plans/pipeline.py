@@ -242,15 +242,15 @@ class Frame:
 
     @verb("limit")
     def tail(self, n: int, order_by: list[str]) -> Frame:
-        return self._add("tail", lambda df: df.orderBy(*[F.col(c).desc() for c in order_by]).limit(n), f"tail {n}")
+        return self._add("tail", lambda df: df.orderBy(*[F.col(positions.quoted(c)).desc() for c in order_by]).limit(n), f"tail {n}")
 
     @verb("limit")
     def nlargest(self, n: int, by: str, ties: list) -> Frame:
-        return self._add("nlargest", lambda df: df.orderBy(F.col(by).desc(), *ties).limit(n), f"nlargest {n} {by}")
+        return self._add("nlargest", lambda df: df.orderBy(F.col(positions.quoted(by)).desc(), *ties).limit(n), f"nlargest {n} {by}")
 
     @verb("limit")
     def nsmallest(self, n: int, by: str, ties: list) -> Frame:
-        return self._add("nsmallest", lambda df: df.orderBy(F.col(by).asc_nulls_last(), *ties).limit(n), f"nsmallest {n} {by}")
+        return self._add("nsmallest", lambda df: df.orderBy(F.col(positions.quoted(by)).asc_nulls_last(), *ties).limit(n), f"nsmallest {n} {by}")
 
     @verb("limit")
     def sample(self, fraction: float | None = None, seed: int = 0, n: int | None = None) -> Frame:
@@ -333,7 +333,7 @@ class Frame:
     @verb("aggregate", "agg", "groupby")
     def agg(self, keys: list[str], dropna: bool = False, **made: Column) -> Frame:
         rows = lambda df: df.dropna(subset=keys) if dropna and keys else df
-        return self._add("groupby" if keys else "agg", lambda df: rows(df).groupBy(*keys).agg(*[c.alias(k) for k, c in made.items()]), f"groupby {keys} {[*made]}", keys=keys, dropna=dropna, made=made)
+        return self._add("groupby" if keys else "agg", lambda df: rows(df).groupBy(*[F.col(positions.quoted(k)) for k in keys]).agg(*[c.alias(k) for k, c in made.items()]), f"groupby {keys} {[*made]}", keys=keys, dropna=dropna, made=made)
 
     @verb("aggregate")
     def value_counts(self, column: str, dropna: bool = True, sort: bool = False) -> Frame:

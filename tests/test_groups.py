@@ -100,6 +100,9 @@ def test_nulls_and_names(spark):
     assert [r["v"] for r in a.head(2, ["v", "a.b"]).df.collect()] == [1.0, 2.0] and a.loc(0, 1, ["a.b"]).df.count() == 1
     assert a.sort_values("a.b").df.collect()[-1]["a.b"] is None and a.loc_labels("a.b", "a", "z", ["v"]).df.count() == 4
     assert [tuple(r) for r in a.crosstab("a.b", "v", [1.0, 2.0]).df.collect()] == [("g", 1, 2)]
+    named = [a.rank(["a.b"], "v", "r"), a.running(["a.b"], ["v"], n=F.count(F.lit(1))), a.cumcount(["a.b"], ["v"], "n"), a.group_head(["a.b"], 9, ["v"]), a.group_tail(["a.b"], 9, ["a.b", "v"]), a.transform(["a.b"], n=F.count(F.lit(1))), a.tail(9, ["a.b"]), a.nlargest(9, "a.b", ["v"])]
+    assert [f.df.count() for f in named] == [5] * len(named)
+    assert a.agg(["a.b"], n=F.count(F.lit(1))).df.count() == a.size(["a.b"]).df.count() == a.drop_duplicates(["a.b"], ["v"]).df.count() == a.drop_duplicates(["a.b"], ["v"], keep="last").df.count() == 2
     assert a.sample(n=3, seed=1).df.count() == 3 and a.filter_groups(["a.b"], F.count(F.lit(1)) > 1).df.count() == 4
     with pytest.raises(ValueError, match="either"):
         a.sample(0.5, n=3)
