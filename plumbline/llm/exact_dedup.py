@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize, mix, pick, release
+from plumbline.llm.common import give_back, materialize, mix, pick, release
 
 #: Bits of the filter for each row, at most, and bits that each row sets: about one row in 400 passes by chance.
 BITS_PER_ROW, HASHES = 16, 4
@@ -83,6 +83,8 @@ def _mark(bits: int):
             a, b = once[i * size : (i + 1) * size], twice[i * size : (i + 1) * size]
             if a.any():
                 yield pa.record_batch([[i], [a.tobytes()], [b.tobytes()]], schema=_PARTS)
+        del once, twice
+        give_back()
 
     return run
 

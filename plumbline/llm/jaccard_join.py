@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import exact_dedup
-from plumbline.llm.common import NULL_ID, broadcast_small, connected_components, groups, keyed, materialize, mix, partitions, shingle_hashes, unkeyed, word_hashes
+from plumbline.llm.common import NULL_ID, broadcast_small, connected_components, give_back, groups, keyed, materialize, mix, partitions, shingle_hashes, unkeyed, word_hashes
 
 #: Entries of a node; coordinates of a point at least and at most (a power of two, by the set's size).
 FANOUT, LEAST, MOST = 16, 64, 1024
@@ -35,8 +35,8 @@ FANOUT, LEAST, MOST = 16, 64, 1024
 MAX_BLOCK, MAX_BYTES = 3000, 32 << 20
 #: Classes that share a key up to which their count vectors are compared.
 PRUNED = 1000
-#: Bits of the filter of keys (32 MB); of more than half as many keys it would let too many pass, and all are shuffled.
-FILTER_BITS = 1 << 28
+#: Bits of the filter of keys (16 MB); of more than half as many keys it would let too many pass, and all are shuffled.
+FILTER_BITS = 1 << 27
 
 
 def levels(n: int, percent: int) -> list[tuple[int, int, int]]:
@@ -262,6 +262,8 @@ def _repeated_keys(alone: DataFrame) -> DataFrame:
             kept = exact_dedup.passes(shared.value, bits, keys)
             ids = np.repeat(batch.column("doc_id").to_numpy(), np.diff(lists.offsets.to_numpy()))
             yield pa.record_batch([pa.array(ids[kept]), pa.array(keys[kept])], names=["v", "key"])
+            del keys, kept, ids, lists, batch
+        give_back()
 
     return materialize(alone.select("doc_id", "keys").mapInArrow(pick_keys, "v long, key long"), "jaccard-repeated")
 
