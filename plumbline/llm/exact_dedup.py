@@ -40,9 +40,9 @@ def digest(text: str | Column) -> Column:
     return F.unhex(F.sha2(F.translate(F.coalesce(column, F.lit("")), ascii_uppercase, ascii_lowercase), 256))
 
 
-def bits_for(rows: int, most: int | None = None) -> int:
+def bits_for(rows: int) -> int:
     """The size of the filter: a power of two of at least one segment."""
-    return min(most or MOST_BITS, max(SEGMENT, 1 << (max(1, rows) * BITS_PER_ROW - 1).bit_length()))
+    return min(MOST_BITS, max(SEGMENT, 1 << (max(1, rows) * BITS_PER_ROW - 1).bit_length()))
 
 
 def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -73,9 +73,7 @@ def _mark(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            column = batch.column(0)
-            hashes = (column.flatten() if pa.types.is_list(column.type) else column).to_numpy()
-            places, times = np.unique(_places(hashes, bits), return_counts=True)
+            places, times = np.unique(_places(batch.column(0).to_numpy(), bits), return_counts=True)
             _put(twice, places[(times > 1) | _is_set(once, places)])
             _put(once, places)
         size = SEGMENT // 8
@@ -107,9 +105,9 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield whole()
 
 
-def _filter(hashes: DataFrame, rows: int, which: str, most: int | None = None):
-    """(bits, broadcast array) of the bits that are set once (or twice) by hashes: one column of longs, or lists of them, `rows` in all."""
-    bits = bits_for(rows, most)
+def _filter(hashes: DataFrame, rows: int, which: str):
+    """(bits, broadcast array) of the bits that are set once (or twice) by hashes: one column of longs, `rows` of them."""
+    bits = bits_for(rows)
     parts = hashes.mapInArrow(_mark(bits), "segment long, once binary, twice binary")
     united = materialize(parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_unite, "segment long, once binary, twice binary"), "bloom")
     array = np.zeros(bits // 8, np.uint8)
@@ -135,11 +133,6 @@ def repeated_filter(hashes: DataFrame, rows: int):
     return maybe
 
 
-def repeated_bits(hashes: DataFrame, rows: int, most: int):
-    """(bits, broadcast array) for passes(): whether a hash may be there twice. The array has `most` bits at most."""
-    return _filter(hashes, rows, "twice", most)
-
-
 def seen_filter(hashes: DataFrame, rows: int):
     """(bits, broadcast array) for passes(): whether a hash may be one of hashes. The array has MOST_BITS at most."""
     return _filter(hashes, rows, "once")

@@ -145,11 +145,3 @@ def test_components(spark):
             parent[max(a, b)] = min(a, b)
     want = {(x, find(parent, x)) for u, v in edges if u is not None and u != v for x in (u, v)}
     assert {tuple(r) for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()} == want
-
-
-@pytest.mark.parametrize("bits", [0, 1 << 16, 1 << 28])
-def test_filter_of_keys(spark, sf, monkeypatch, bits):
-    """Without the filter, with one too small to tell much, and with the usual one: the same components."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    monkeypatch.setattr(jaccard_join, "FILTER_BITS", bits)
-    assert result(jaccard_join.jaccard_components(docs, k=5, percent=80)) == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 5, 80)
