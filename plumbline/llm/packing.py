@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import keyed, unkeyed
-from plumbline.llm.tokens import KEPT, encoder
+from plumbline.llm.tokens import KEPT, encoder, forget
 
 WINDOW = 2048
 #: Sequences in a partition, at most: the sequence number is partition * SPAN + count.
@@ -99,6 +99,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_i
         rows += _joined([r for number in sorted(partial) for r in partial[number]], base + packer.made, window)
         if rows:
             yield pd.DataFrame(rows, columns=columns)
+        if kept < KEPT:  # where memory is short, the encoder goes with the task
+            del encode
+            forget(tokenizer_path)
 
     return unkeyed(keyed(docs, id_col, text=text_col).mapInPandas(run, SCHEMA))
 

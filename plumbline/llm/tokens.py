@@ -35,6 +35,12 @@ def encoder(path: str, kept: int = KEPT) -> "Encoder":
     return _encoders[path]
 
 
+def forget(path: str) -> None:
+    """Give a worker's encoder back: workers live on, and what they keep is missing in the stages that follow."""
+    _encoders.pop(path, None)
+    give_back()
+
+
 class Encoder:
     """Encodes as `Tokenizer.encode(text, add_special_tokens=False)` does, for tokenizers whose words end at white space.
 
