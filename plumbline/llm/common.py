@@ -32,15 +32,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and survives the loss of executors.
 
     By zstandard: smaller than the default codec's files, and without its buffers outside of the heap, of which many files
-    of many columns leave a pile until the next collection.
+    of many columns leave a pile until the next collection. "none" for tables of hashes and ids, which hardly get smaller:
+    each page that zstandard writes or reads takes MB outside of the heap, which executors don't give back.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

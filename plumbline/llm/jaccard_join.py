@@ -31,6 +31,8 @@ from plumbline.llm.common import NULL_ID, broadcast_small, connected_components,
 FANOUT, LEAST, MOST = 16, 64, 1024
 #: Classes and bytes of text in a block of a split subtree.
 MAX_BLOCK, MAX_BYTES = 3000, 32 << 20
+#: Parts of the keys to one of the usual shuffle partitions.
+FINER = 4
 #: Classes that share a key up to which their count vectors are compared.
 PRUNED = 1000
 
@@ -194,21 +196,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "h1": h1, "h2": h2, "keys": keys, "counts": counts})
 
     schema = "doc_id long, n long, h1 long, h2 long, keys array<long>, counts binary"
-    sets = materialize(rows.mapInPandas(sets_and_keys, schema), "jaccard-sets")
+    sets = materialize(rows.mapInPandas(sets_and_keys, schema), "jaccard-sets", "none")
     usable = sets.where(f"doc_id <> {NULL_ID} AND n > 0")
     classes = usable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = materialize(classes.drop("copies"), "jaccard-classes")
+    copies = materialize(classes.drop("copies"), "jaccard-classes", "none")
     # the keys, most of what is held here, move once: of further copies only the ids go round, as long as they are few
-    gone = materialize(usable.select("doc_id", "n", "h1", "h2").join(copies, ["n", "h1", "h2"]).where("doc_id <> class").select("doc_id", "h1", "h2").distinct(), "jaccard-copies")
+    gone = materialize(usable.select("doc_id", "n", "h1", "h2").join(copies, ["n", "h1", "h2"]).where("doc_id <> class").select("doc_id", "h1", "h2").distinct(), "jaccard-copies", "none")
     alone = usable.join(broadcast_small(gone), ["doc_id", "h1", "h2"], "left_anti")
     exploded = alone.select(F.col("doc_id").alias("v"), F.explode("keys").alias("key"))
+    # most keys are of one set, so sums before the shuffle would hold nearly all keys of a task and send twice the bytes;
+    # in smaller parts than others, as each holds a row for each of its keys. A key comes once from each class at most
+    dealt = exploded.repartition(FINER * partitions(docs.sparkSession), "key")
     # written before the join, so that the join alone is a stage and a frequent key can be split
-    firsts = materialize(exploded.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("most"), F.count(F.lit(1)).alias("members")).where("u <> most").drop("most"), "jaccard-firsts")
-    meeting = materialize(exploded.join(firsts, "key"), "jaccard-keys")
+    firsts = materialize(dealt.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("most"), F.count(F.lit(1)).alias("members")).where("u <> most").drop("most"), "jaccard-firsts", "none")
+    meeting = materialize(exploded.join(firsts, "key"), "jaccard-keys", "none")
     pruned = F.col("members") <= min(max_block, PRUNED)
     members = meeting.where(pruned).select("key", F.col("v").alias("doc_id")).distinct()
     many = meeting.where(~pruned & (F.col("u") != F.col("v"))).select("u", "v")
-    vectors = alone.join(broadcast_small(materialize(members.select("doc_id").distinct(), "jaccard-members")), "doc_id", "left_semi").select("doc_id", "n", "counts")
+    vectors = alone.join(broadcast_small(materialize(members.select("doc_id").distinct(), "jaccard-members", "none")), "doc_id", "left_semi").select("doc_id", "n", "counts")
     shared = members.join(vectors, "doc_id").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "doc_id")
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,7 +235,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)}).drop_duplicates()
 
     near = shared.mapInPandas(prune, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(many).distinct()
-    subtree = materialize(connected_components(near, "jaccard-near"), "jaccard-subtrees")
+    subtree = materialize(connected_components(near, "jaccard-near"), "jaccard-subtrees", "none")
     links = verified_links(rows, subtree, k, percent, max_block)
     found = connected_components(links, "jaccard-links")
     named = (
@@ -255,7 +260,7 @@ def verified_links(rows: DataFrame, subtree: DataFrame, k: int, percent: int, ma
     rows = rows.where(F.col("doc_id") != NULL_ID)
     sizes = rows.select("doc_id", F.octet_length("text").alias("bytes")).join(nodes, "doc_id").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
     blocks = F.ceil(F.greatest(F.col("size") / max_block, F.col("bytes") / MAX_BYTES)).cast("int")
-    large = materialize(sizes.withColumn("blocks", blocks).where("blocks > 1").select("component", "blocks", "size"), "jaccard-large")
+    large = materialize(sizes.withColumn("blocks", blocks).where("blocks > 1").select("component", "blocks", "size"), "jaccard-large", "none")
     wanted = rows.join(nodes, "doc_id").join(broadcast_small(large), "component", "left").select("doc_id", "text", "component", "size", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
 
@@ -311,12 +316,12 @@ def verified_links(rows: DataFrame, subtree: DataFrame, k: int, percent: int, ma
     every = F.sequence(zero, F.col("blocks") - 1)
     here = F.when(F.col("doc_id") == F.col("component"), F.transform(every, lambda b: task(b, zero, yes))).otherwise(F.array(task(own, zero, no)))
     held = dealt(of_large.select("doc_id", "text", "component", here.alias("tasks"))).sortWithinPartitions(*keys, F.col("left").desc(), "set")
-    held = materialize(held.mapInPandas(hold, "doc_id long, component long, near boolean"), "jaccard-held")
+    held = materialize(held.mapInPandas(hold, "doc_id long, component long, near boolean"), "jaccard-held", "none")
     links = links.union(held.where("near AND doc_id <> component").select(F.col("component").alias("u"), F.col("doc_id").alias("v")))
-    apart = materialize(held.where("NOT near").select("doc_id", "component").distinct(), "jaccard-apart")
+    apart = materialize(held.where("NOT near").select("doc_id", "component").distinct(), "jaccard-apart", "none")
     if apart.isEmpty():
         return links
-    apart_sizes = broadcast_small(materialize(apart.groupBy("component").agg(F.count(F.lit(1)).alias("n_apart")), "jaccard-apart-sizes"))
+    apart_sizes = broadcast_small(materialize(apart.groupBy("component").agg(F.count(F.lit(1)).alias("n_apart")), "jaccard-apart-sizes", "none"))
     rest = of_large.join(apart_sizes, "component").join(broadcast_small(apart.withColumn("apart", yes)), ["component", "doc_id"], "left")
     parts = F.ceil(F.col("blocks") * F.col("n_apart") / F.col("size")).cast("int")
     mine = F.pmod(F.xxhash64("doc_id", F.lit(1)), parts).cast("int")
@@ -332,5 +337,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id or without words all stay; of rows that repeat an id, all or none.
     """
     found = jaccard_components(docs, id_col, text_col, k, percent)
-    gone = broadcast_small(materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone"))
+    gone = broadcast_small(materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone", "none"))
     return docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")

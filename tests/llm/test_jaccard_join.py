@@ -145,3 +145,20 @@ def test_components(spark):
             parent[max(a, b)] = min(a, b)
     want = {(x, find(parent, x)) for u, v in edges if u is not None and u != v for x in (u, v)}
     assert {tuple(r) for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()} == want
+
+
+def test_hashes_are_not_compressed(spark, tmp_path, monkeypatch):
+    """By zstandard, these tables took near_copies of the pipeline hundreds of MB outside of the heap."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (3, " ".join(words[::-1])), (4, None)], "doc_id long, text string")
+    found = sorted(map(tuple, jaccard_join.jaccard_components(docs, k=3, percent=90).select("doc_id", "component_id").collect()))
+    assert found == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    for table in ("sets", "firsts", "keys"):
+        files = list(tmp_path.glob(f"plumbline/jaccard-{table}-*/part-*"))
+        assert files
+        for f in files:
+            about = pq.ParquetFile(f).metadata
+            assert all(about.row_group(g).column(c).compression == "UNCOMPRESSED" for g in range(about.num_row_groups) for c in range(about.num_columns))
