@@ -117,7 +117,7 @@ query("group_named_agg", "SELECT l_returnflag, l_linestatus, round(sum(l_quantit
 query("group_min_max_count", f"SELECT o_custkey, min(price) AS lo, max(price) AS hi, count(price) AS n FROM {NULLED} t GROUP BY o_custkey")(lambda t: nulled(t).agg(["o_custkey"], lo=F.min("price"), hi=F.max("price"), n=F.count("price")))
 query("group_dropna", f"SELECT status, count(*) AS n FROM {NULLED} t WHERE status IS NOT NULL GROUP BY status")(lambda t: nulled(t).agg(["status"], dropna=True, n=F.count(F.lit(1))))
 query("group_keepna", f"SELECT status, count(*) AS n FROM {NULLED} t GROUP BY status")(lambda t: nulled(t).agg(["status"], n=F.count(F.lit(1))))
-query("group_median", "SELECT o_orderpriority, round(median(o_totalprice), 4) AS mid FROM orders GROUP BY 1")(lambda t: t.orders.agg(["o_orderpriority"], mid=F.round(F.median("o_totalprice"), 4)))
+query("group_median", "SELECT o_orderpriority, round(median(o_totalprice), 4) AS mid FROM orders GROUP BY 1")(lambda t: t.orders.describe(["o_totalprice"], ["o_orderpriority"], (0.5,)).df.select("o_orderpriority", F.round("o_totalprice_p50", 4).alias("mid")))
 query("group_nunique", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")(lambda t: t.orders.agg(["o_orderstatus"], customers=F.count_distinct("o_custkey")))
 query("group_first_last", "SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS first_price, arg_max(o_totalprice, o_orderkey) AS last_price FROM orders GROUP BY 1")(lambda t: t.orders.agg(["o_custkey"], first_price=mode_first("o_totalprice", "o_orderkey"), last_price=mode_first("o_totalprice", "o_orderkey", last=True)))
 query("group_std_var", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS std, round(var_samp(l_quantity), 6) AS var FROM lineitem GROUP BY 1")(lambda t: t.lineitem.agg(["l_returnflag"], std=F.round(F.stddev_samp("l_quantity"), 6), var=F.round(F.var_samp("l_quantity"), 6)))
