@@ -517,13 +517,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         by_doc = seeds.select("doc_id", "at", "gap").repartition(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "at")
         return by_doc.mapInPandas(areas, f"owner long, areas {ranges}")
 
-    @F.pandas_udf(ranges)
-    def outside(areas: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([uncovered([(x["a"], x["b"]) for x in a], [] if s is None else [(x["start"], x["end"]) for x in s], min_words) for a, s in zip(areas, spans, strict=True)])
+    def outside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [uncovered([(x["a"], x["b"]) for x in a], [] if s is None else [(x["start"], x["end"]) for x in s], min_words) for a, s in zip(batch["areas"], batch["spans"], strict=True)]
+            yield pd.DataFrame([(o, f) for o, f in zip(batch["owner"], found, strict=True) if f], columns=["owner", "areas"])
 
     # runs that no passage covers, though each of their seeds occurs earlier; and whichever documents hold their seeds
     spans = found.groupBy(F.col("doc_id").alias("owner")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    left = areas_of(later).join(spans, "owner", "left").select("owner", outside("areas", "spans").alias("areas")).where(F.size("areas") > 0)
+    # written in between: Python functions one upon another in a stage take a worker each, and executors keep them all
+    shared = materialize(areas_of(later), "passage-shared")
+    left = shared.join(spans, "owner", "left").select("owner", "areas", "spans").mapInPandas(outside, f"owner long, areas {ranges}")
     left = materialize(left, "passage-left")
     if left.isEmpty():
         return found
@@ -581,6 +584,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def shorten(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else without_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(text, spans, strict=True)])
 
+    # else the filter behind it would run it a second time, in workers of its own
+    shorten = shorten.asNondeterministic()
     changed = F.col("__spans").isNotNull()
     short = joined.where(changed).withColumn(text_col, shorten(F.col(text_col), F.col("__spans"))).where(F.length(F.trim(F.regexp_replace(text_col, r"[\t-\r]", " "))) > 0)
     if "n_chars" in docs.columns:

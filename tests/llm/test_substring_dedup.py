@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -223,3 +224,40 @@ def test_recall_of_fuzzy_passages(spark):
     found = {r.doc_id for r in sd.repeated_passages(docs).where("end - start >= 50").collect()}
     recall = {c: sum(d in found for d, x in cells.items() if x == c) / pairs for c in set(cells.values())}
     assert found <= set(cells) and min(recall.values()) >= 0.9, sorted(recall.items())
+
+
+def python_functions_of_stages(plan):
+    """How many Python functions each stage of a plan (Spark's tree of text) runs one upon another."""
+    path, most = [], 0
+    for line in plan.splitlines():
+        at = re.search(r"[A-Za-z*(]", line)
+        if not at:
+            continue
+        path = [p for p in path if p[0] < at.start()]
+        name = line[at.start() :]
+        below = 0 if "Exchange" in name.split("(")[0] else path[-1][1] if path else 0
+        path.append((at.start(), below + bool(re.match(r"(\*\(\d+\) )?(\w+InPandas|\w+InArrow|\w*EvalPython)", name))))
+        most = max(most, path[-1][1])
+    return most
+
+
+def test_a_stage_runs_one_python_function(spark, monkeypatch):
+    """Each function that runs upon another takes a worker in each task, which the executor then keeps."""
+    plans, write = {}, sd.materialize
+
+    def noted(df, name, *how):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, *how)
+
+    monkeypatch.setattr(sd, "materialize", noted)
+    rng = random.Random(3)
+    passages = [filler(rng, 60) for _ in range(6)]
+    # the runs of the last document are of one whose seeds others hold first
+    rows = [(i, " ".join(filler(rng, 20) + p + filler(rng, 20))) for i, p in enumerate(passages)]
+    rows += [(10, " ".join(w for p in passages for w in p)), (11, " ".join(w for p in passages for w in p))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sd.without_repeats(docs)
+    plans["result"] = out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 6
+    assert "passage-left" in plans
+    assert {name: python_functions_of_stages(plan) for name, plan in plans.items() if python_functions_of_stages(plan) > 1} == {}
